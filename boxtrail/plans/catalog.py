@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from boxtrail.plans import matching_queries  # noqa: F401
+from boxtrail.plans import geometry_queries, matching_queries  # noqa: F401
 from boxtrail.plans.registry import ORACLES, QUERIES  # noqa: F401
