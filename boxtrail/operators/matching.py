@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from boxtrail.functions import geometry as g
 from boxtrail.operators.greedy import box_cells, disc_cells, greedy_keep, greedy_pairs
+from boxtrail.operators.ordered import top_k
 from boxtrail.operators.skew import split_hot
 
 IMAGE_CLASS = ["image_id", "class_id"]
@@ -160,9 +161,7 @@ def nms(
     keys = keys or IMAGE_CLASS
     rows = det.withColumn("_neg", -F.col("confidence"))
     if pre_topk:
-        from boxtrail.operators.ordered import indexed
-
-        rows = indexed(rows, keys, ["_neg", "det_idx"], "_k").filter(F.col("_k") <= pre_topk).drop("_k")
+        rows = top_k(rows, keys, ["_neg", "det_idx"], pre_topk)
 
     def conflict(old, new):
         a, b = (g.Box(*(f(c) for c in g.Box._fields)) for f in (old, new))

@@ -144,3 +144,9 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, points: dict[str, f
         frac = F.max(target - F.floor(target))
         aggs.append((lo + (hi - lo) * frac).alias(name))
     return ranks.groupBy(*keys).agg(*aggs)
+
+
+def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """First ``k`` rows of each key. Spark limits each map task to k rows a key before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*_name(order))
+    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")

@@ -60,13 +60,24 @@ def _median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def robust_z(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Adds ``z_<value>``: distance from the median in scaled median deviations (scale at least 1e-6)."""
-    out = df
-    for v in values:
-        stats = _median_mad(df, keys, v)
-        scale = F.greatest(1.4826 * F.col("mad"), F.lit(1e-6))
-        out = _with(out, stats, keys).withColumn(f"z_{v}", F.abs(F.col(v) - F.col("median")) / scale).drop("median", "mad")
-    return out
+    """Adds ``z_<value>``: distance from the median in scaled median deviations (scale at least 1e-6).
+
+    All metrics are stacked first, so two sorts serve any number of columns.
+    """
+    stack = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("v")) for v in values]))
+    long = df.select(*keys, stack.alias("_s")).select(*keys, "_s.metric", "_s.v")
+    stats = _median_mad(long, [*keys, "metric"], "v")
+
+    def pick(v, col):
+        return F.max(F.when(F.col("metric") == v, F.col(col)))
+
+    wide = stats.groupBy(*keys).agg(
+        *[pick(v, "median").alias(f"_m_{v}") for v in values], *[pick(v, "mad").alias(f"_d_{v}") for v in values]
+    )
+    z = {
+        f"z_{v}": F.abs(F.col(v) - F.col(f"_m_{v}")) / F.greatest(1.4826 * F.col(f"_d_{v}"), F.lit(1e-6)) for v in values
+    }
+    return _with(df, wide, keys).withColumns(z).drop(*[f"_{p}_{v}" for p in "md" for v in values])
 
 
 def robust_threshold(df: DataFrame, keys: list[str], value: str, sigma: float, floor: float) -> DataFrame:
@@ -96,7 +107,7 @@ def hardware_summary(reports: DataFrame, keys: list[str] | None = None) -> DataF
     """Verification rollup of frame reports (exact, mismatches, max_error, cycles, latency_ms)."""
     fps = 1000.0 / F.col("latency_ms")
     stats = [
-        f(c).alias(f"{n}_{p}")
+        f(c).alias(f"{p}_{n}")
         for p, c in (("cycles", F.col("cycles")), ("latency_ms", F.col("latency_ms")), ("fps", fps))
         for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))
     ]

@@ -1,4 +1,9 @@
 """Importing this module registers every query."""
 
-from boxtrail.plans import geometry_queries, matching_queries  # noqa: F401
+from boxtrail.plans import (  # noqa: F401
+    curation_queries,
+    geometry_queries,
+    matching_queries,
+    window_queries,
+)
 from boxtrail.plans.registry import ORACLES, QUERIES  # noqa: F401

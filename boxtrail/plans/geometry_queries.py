@@ -9,7 +9,7 @@ from boxtrail.operators import calibration as cal, decode as dec
 from boxtrail.plans import fixtures as fx
 from boxtrail.plans.matching_queries import both, r6
 from boxtrail.plans.registry import query
-from boxtrail.plans.sqltext import iou
+from boxtrail.plans.sqltext import inter, iou
 
 GT, DET, CAND = fx.ctes("fx_gt"), fx.ctes("fx_gt", "fx_det"), fx.ctes("fx_cand")
 ID = "image_id,gt_idx"
@@ -33,7 +33,7 @@ def pr1(spark, sf):
     "pr2_iou_guards",
     GT
     + f"""select a.image_id,a.gt_idx,b.gt_idx as other,round({iou('a', 'b')},6) as zero,round({iou('a', 'b')},6) as floor,
- round({iou('a', 'b')},5) as epsilon from fx_gt a join fx_gt b on a.image_id=b.image_id and b.gt_idx=a.gt_idx+1""",
+ round({inter('a', 'b')}/((a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)-{inter('a', 'b')}+1e-7),6) as epsilon from fx_gt a join fx_gt b on a.image_id=b.image_id and b.gt_idx=a.gt_idx+1""",
 )
 def pr2(spark, sf):
     """Overlap of each box with the next one of its image, under the three empty-union rules."""
@@ -47,7 +47,7 @@ def pr2(spark, sf):
         (F.col("b.gt_idx") + 1).alias("other"),
         F.round(g.iou(a, b), 6).alias("zero"),
         F.round(g.iou(a, b, "floor"), 6).alias("floor"),
-        F.round(g.iou(a, b, "epsilon"), 5).alias("epsilon"),
+        F.round(g.iou(a, b, "epsilon"), 6).alias("epsilon"),
     )
 
 
