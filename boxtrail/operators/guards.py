@@ -47,6 +47,29 @@ def associate(
     return others.unionByName(cells.filter(sure)).unionByName(held)
 
 
+def local_support(rows: DataFrame, support: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Strongest support point (response, contrast) within ``radius`` of a row on both axes; ties by (y, x).
+
+    Both sides meet on bins of the radius, so a crowded image is spread over its bins.
+    """
+    step = float(radius) if radius else 1.0
+
+    def binned(df):
+        return df.withColumns({"_bx": F.floor(F.col("x") / step), "_by": F.floor(F.col("y") / step)})
+
+    near = F.expr("explode(array(-1L,0L,1L))")
+    pts = binned(support).withColumn("_ox", near).withColumn("_oy", near)
+    pts = pts.withColumns({"_bx": F.col("_bx") + F.col("_ox"), "_by": F.col("_by") + F.col("_oy")})
+    on = [F.col(f"d.{k}") == F.col(f"s.{k}") for k in [*keys, "_bx", "_by"]]
+    close = (F.abs(F.col("d.x") - F.col("s.x")) <= radius) & (F.abs(F.col("d.y") - F.col("s.y")) <= radius)
+    hits = binned(rows).alias("d").join(pts.alias("s"), [*on, close])
+    strongest = F.struct("s.response", -F.col("s.y"), -F.col("s.x"), "s.contrast")
+    best = hits.groupBy(*[F.col(f"d.{k}").alias(k) for k in keys], F.col("d.det_idx").alias("det_idx")).agg(
+        F.max(strongest).alias("_best")
+    )
+    return best.select(*keys, "det_idx", F.col("_best.response").alias("response"), F.col("_best.contrast").alias("contrast"))
+
+
 def guarded_accept(
     det: DataFrame,
     support: DataFrame,
@@ -59,37 +82,22 @@ def guarded_accept(
 ) -> DataFrame:
     """Adds ``state`` accepted / guarded / rejected / ignored to detections with a center (x, y).
 
-    High confidence passes. The mid band passes when the strongest support point (keys, x, y, response, contrast)
-    within ``radius`` on both axes is strong enough; ties on response go to the first point by (y, x).
+    High confidence passes. The mid band passes when its strongest nearby support point (keys, x, y, response,
+    contrast) is strong enough.
     """
     keys = keys or ["image_id"]
     mid = det.filter((F.col("confidence") >= low) & (F.col("confidence") < high))
-    step = float(max(radius, 1e-9)) if radius else 1.0
-
-    def binned(df):
-        return df.withColumns({"_bx": F.floor(F.col("x") / step), "_by": F.floor(F.col("y") / step)})
-
-    near = F.expr("explode(array(-1L,0L,1L))")
-    pts = binned(support).withColumn("_ox", near).withColumn("_oy", near)
-    pts = pts.withColumns({"_bx": F.col("_bx") + F.col("_ox"), "_by": F.col("_by") + F.col("_oy")})
-    on = [F.col(f"d.{k}") == F.col(f"s.{k}") for k in [*keys, "_bx", "_by"]]
-    close = (F.abs(F.col("d.x") - F.col("s.x")) <= radius) & (F.abs(F.col("d.y") - F.col("s.y")) <= radius)
-    hits = binned(mid).alias("d").join(pts.alias("s"), [*on, close])
-    strongest = F.struct(F.col("s.response").alias("response"), -F.col("s.y"), -F.col("s.x"), F.col("s.contrast").alias("contrast"))
-    best = hits.groupBy(*[F.col(f"d.{k}").alias(k) for k in keys], F.col("d.det_idx").alias("det_idx")).agg(
-        F.max(strongest).alias("_best")
-    )
-    ok = F.col("_best.response") >= min_response
+    best = local_support(mid, support, radius, keys)
+    ok = F.col("response") >= min_response
     if min_contrast is not None:
-        ok = ok & (F.col("_best.contrast") >= min_contrast)
-    joined = det.join(best, [*keys, "det_idx"], "left")
+        ok = ok & (F.col("contrast") >= min_contrast)
     state = (
         F.when(F.col("confidence") >= high, "accepted")
         .when(F.col("confidence") < low, "ignored")
         .when(ok, "guarded")
         .otherwise("rejected")
     )
-    return joined.withColumn("state", state).drop("_best")
+    return det.join(best, [*keys, "det_idx"], "left").withColumn("state", state).drop("response", "contrast")
 
 
 def refine_by_circle(det: DataFrame, circles: DataFrame, keys: list[str] | None = None) -> DataFrame:

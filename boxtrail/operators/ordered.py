@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from boxtrail.operators.skew import union_routes
 from boxtrail.session import WINDOW_ROWS, materialize, setting
 
-PID, POS = "_pid", "_pos"
+PID, POS = "__pid", "__pos"
 
 
 def _name(order) -> list:

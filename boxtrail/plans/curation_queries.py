@@ -257,10 +257,7 @@ def jn8(spark, sf):
 def ag7(spark, sf):
     """Guarded F1 over low-confidence and response settings; support is found once, then every setting is a filter."""
     det, pts, truth = guard_inputs(spark, sf)
-    best = pts.alias("s")
-    near = gd.guarded_accept(det, pts, 0.0, 9.0, -1e9, 2, -1e9)  # every row gets its support looked up
-    on = [F.col("d.image_id") == F.col("s.image_id"), F.abs(F.col("d.x") - F.col("s.x")) <= 2, F.abs(F.col("d.y") - F.col("s.y")) <= 2]
-    strong = near.alias("d").join(best, on).groupBy("d.image_id", "d.det_idx").agg(F.max("s.response").alias("response"))
+    strong = gd.local_support(det, pts, 2, ["image_id"])
     rows = det.join(strong, ["image_id", "det_idx"], "left")
     grid = spark.createDataFrame(
         [(i, float(lo), float(r)) for i, (lo, r) in enumerate((lo, r) for lo in (0.5, 0.6, 0.7) for r in (20, 32, 44))],
@@ -331,7 +328,7 @@ def ag16t(spark, sf):
     return ds.label_totals(fx.gt(spark, sf), ["l_returnflag"])
 
 
-MANIFEST = """mf as (select doc_id,source as group_id,concat(source,'_',lang) as source_video,case when doc_id%10<7 then 'train' when doc_id%10<8 then 'valid' else 'test' end as split,
+MANIFEST = """mf as (select doc_id,source as group_id,concat(lang,'_',doc_id%23) as source_video,case when doc_id%10<7 then 'train' when doc_id%10<8 then 'valid' else 'test' end as split,
  case when n_chars%3=0 then 'native' else 'blur' end as quality_profile,cast(n_chars as double) as up,cast(doc_id%500+1 as double) as nat from documents)"""
 
 
@@ -341,7 +338,7 @@ def manifest(spark, sf):
     return d.select(
         "doc_id",
         F.col("source").alias("group_id"),
-        F.concat_ws("_", "source", "lang").alias("source_video"),
+        F.concat_ws("_", "lang", (F.col("doc_id") % 23).cast("string")).alias("source_video"),
         F.when(k < 7, "train").when(k < 8, "valid").otherwise("test").alias("split"),
         F.when(F.col("n_chars") % 3 == 0, "native").otherwise("blur").alias("quality_profile"),
         F.col("n_chars").cast("double").alias("up"),
