@@ -21,9 +21,10 @@ def estimate_velocity(det: DataFrame, keys: list[str], max_distance: float = 80.
     cur = det.join(known, [*keys, "frame_index"]).select(
         *keys, "frame_index", "prev_frame", (-F.col("confidence")).alias("neg"), F.col("det_idx").alias("cur_idx"), "x", "y"
     )
-    prev = det.join(known.withColumnRenamed("frame_index", "nf"), [F.col("frame_index") == F.col("prev_frame")] if not keys else [
-        *[det[k] == known[k] for k in keys], F.col("frame_index") == F.col("prev_frame")
-    ]).select(*[det[k] for k in keys], F.col("nf").alias("frame_index"), F.col("det_idx").alias("prev_idx"), "x", "y")
+    ahead = known.withColumnRenamed("frame_index", "next_frame").withColumnRenamed("prev_frame", "frame_index")
+    prev = det.join(ahead, [*keys, "frame_index"]).select(
+        *keys, F.col("next_frame").alias("frame_index"), F.col("det_idx").alias("prev_idx"), "x", "y"
+    )
     group = [*keys, "frame_index"]
     pairs = near_pairs(cur, prev, group, ("x", "y"), max_distance)
     gated = pairs.filter(F.abs(F.col("y") - F.col("y_r")) <= max_vertical).select(

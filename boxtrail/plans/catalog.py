@@ -6,6 +6,7 @@ from boxtrail.plans import (  # noqa: F401
     learning_queries,
     matching_queries,
     selection_queries,
+    source_queries,
     stream_queries,
     window_queries,
 )

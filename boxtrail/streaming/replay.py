@@ -84,7 +84,7 @@ def replay(
                     close()
                     here, seq = k, 0
                     kernel = make(dict(zip(keys, k)))
-                row = dict(zip(values, cell))
+                row = {**dict(zip(keys, k)), **dict(zip(values, cell))}
                 if mark:
                     flush()
                     emit(kernel.skip_to(int(row[frame])))

@@ -35,6 +35,7 @@ class KernelProcessor(StatefulProcessor):
             items += pdf[self.columns].to_dict("records")
         for r in items:
             r[self.frame] = int(r[self.frame])
+            r.update(zip(self.keys, key))
         items = [r for r in items if kernel.last is None or r[self.frame] > kernel.last]
         items.sort(key=lambda r: (r[self.frame], *[r[t] for t in self.tie]))
         newest = items[-1][self.frame] if items else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from boxtrail.operators import association as assoc
 from boxtrail.operators.ordered import indexed
@@ -55,6 +56,8 @@ def _run(df, keys, tie, kernel, cfg, out, config_key=None, drain=False, renumber
     def make(at):
         return kernel(pick(at))
 
+    # A key column is already in front of the output.
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromDDL(out).fields if f.name not in keys)
     if _is_stream(df):
         return run_stream(df, keys, frame, tie, make, out)
     return replay(df, keys, frame, tie, make, out, _widest(cfg) + slack, drain, renumber)
