@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.functions import geometry as g
 from boxtrail.operators import matching as m
-from boxtrail.operators.metrics import match_counts, prf, with_grid
+from boxtrail.operators.grid import with_grid, with_row
+from boxtrail.operators.metrics import match_counts, prf
 
 GRID = ["grid_id", "image_id", "class_id"]
 
 
-def grid_counts(det: DataFrame, gt: DataFrame, grid: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """tp/fp/fn per grid_id and class; ``det`` already carries grid_id, truth is repeated for the small grid."""
-    truth = with_grid(gt.select("image_id", "class_id", "gt_idx", *g.Box._fields), grid.select("grid_id"))
+def grid_counts(det: DataFrame, gt: DataFrame, settings: int, threshold: float = 0.5) -> DataFrame:
+    """tp/fp/fn per grid_id and class when settings move the boxes; ``det`` already carries grid_id 0..settings-1."""
+    slim = gt.select("image_id", "class_id", "gt_idx", *g.Box._fields)
+    truth = slim.withColumn("grid_id", F.explode(F.sequence(F.lit(0), F.lit(settings - 1))))
     found = m.match_best(det, truth, threshold, GRID)
     return match_counts(det, truth, found, ["grid_id", "class_id"])
 
 
+def filter_sweep(det: DataFrame, gt: DataFrame, keep: list[Column], threshold: float = 0.5) -> DataFrame:
+    """tp/fp/fn per grid_id and class when settings only filter detections.
+
+    Which truth a detection names does not depend on the others, and a truth counts once some kept detection names
+    it. So boxes are paired once, each truth gets one flag per setting, and no detection is copied per setting.
+    """
+    keys = m.IMAGE_CLASS
+    named = m.name_truths(det, gt, threshold, keys).select(*keys, "det_idx", F.col("c.gt_idx").alias("named"))
+    rows = det.join(named, [*keys, "det_idx"], "left")
+    flags = {f"k{i}": c for i, c in enumerate(keep)}
+    rows = rows.select(*keys, "named", *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in flags.items()])
+    truths = rows.filter("named is not null").groupBy(*keys, "named").agg(*[F.max(n).alias(n) for n in flags])
+
+    def stacked(df, name):
+        sums = df.groupBy("class_id").agg(*[F.sum(n).alias(n) for n in flags])
+        return sums.select("class_id", F.posexplode(F.array(*flags)).alias("grid_id", name))
+
+    tp, nd = stacked(truths, "tp"), stacked(rows, "nd")
+    ng = with_grid(gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("ng")), [{} for _ in keep])
+    out = ng.join(nd, ["class_id", "grid_id"], "left").join(tp, ["class_id", "grid_id"], "left").fillna(0, ["nd", "tp"])
+    return out.select(
+        "grid_id", "class_id", "tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn")
+    )
+
+
 def overall(counts: DataFrame) -> DataFrame:
     total = counts.groupBy("grid_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return total.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
@@ -65,10 +92,8 @@ def _moved(det: DataFrame) -> DataFrame:
 
 
 def _score(det: DataFrame, gt: DataFrame, settings: list[dict], threshold: float) -> list[dict]:
-    spark = det.sparkSession
-    rows = [(i, *(float(s[k]) for k in NEUTRAL)) for i, s in enumerate(settings)]
-    grid = spark.createDataFrame(rows, "grid_id int," + ",".join(f"{k} double" for k in NEUTRAL))
-    counts = overall(grid_counts(_moved(with_grid(det, grid)), gt, grid, threshold))
+    grid = [{k: float(s[k]) for k in NEUTRAL} for s in settings]
+    counts = overall(grid_counts(_moved(with_grid(det, grid)), gt, len(grid), threshold))
     # One row per setting comes back; a grid has about twenty settings.
     found = {r["grid_id"]: r for r in counts.collect()}
     zero = {"f1": 0.0, "recall": 0.0, "precision": 0.0}
@@ -108,30 +133,29 @@ def association_sweep(det: DataFrame, gt: DataFrame) -> DataFrame:
 
     Each inner box is described once by the smallest expansion that holds it; a setting is then a plain filter.
     """
-    spark = det.sparkSession
-    rows = [(i, float(e), bool(k), float(t)) for i, (e, k, t) in enumerate(ASSOCIATION_GRID)]
-    rows.append((len(rows), 1e9, True, -1.0))
-    grid = spark.createDataFrame(rows, "grid_id int, expansion double, keep_orphans boolean, orphan_threshold double")
     need = smallest_expansion(det, max(e for e, _, _ in ASSOCIATION_GRID))
-    gridded = with_grid(need, grid)
-    held = F.col("needed") <= F.col("expansion")
-    orphan = F.col("keep_orphans") & (F.col("confidence") >= F.col("orphan_threshold"))
-    kept = gridded.filter((F.col("class_id") != 0) | F.coalesce(held, F.lit(False)) | orphan)
-    counts = grid_counts(kept, gt, grid)
+    other = F.col("class_id") != 0
+    keep = [
+        other | (F.col("needed") <= e) | (F.col("confidence") >= t if orphans else F.lit(False))
+        for e, orphans, t in ASSOCIATION_GRID
+    ]
+    counts = filter_sweep(need, gt, [*keep, F.lit(True)])
     total = overall(counts)
     cell = counts.filter("class_id = 0").withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
-    joined = total.join(cell.select("grid_id", F.col("f1").alias("cell_f1")), "grid_id", "left").join(
-        F.broadcast(grid), "grid_id"
-    )
+    joined = total.join(cell.select("grid_id", F.col("f1").alias("cell_f1")), "grid_id", "left")
     rank = F.struct("f1", "cell_f1", "precision", -F.col("grid_id"))
-    base = joined.filter(F.col("grid_id") == len(ASSOCIATION_GRID)).select(
-        F.col("f1").alias("base_f1"), F.col("cell_f1").alias("base_cell_f1")
+    unfiltered = F.col("grid_id") == len(ASSOCIATION_GRID)
+    ends = joined.agg(
+        F.max(F.when(unfiltered, F.col("f1"))).alias("base_f1"),
+        F.max(F.when(unfiltered, F.col("cell_f1"))).alias("base_cell_f1"),
+        F.max_by(F.when(~unfiltered, F.col("grid_id")), F.when(~unfiltered, rank)).alias("best_id"),
     )
-    real = joined.filter(F.col("grid_id") < len(ASSOCIATION_GRID))
-    best = real.agg(F.max_by("grid_id", rank).alias("best_id"))
-    out = real.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(best))
+    names = [{"expansion": float(e), "keep_orphans": k, "orphan_threshold": float(t)} for e, k, t in ASSOCIATION_GRID]
+    table = F.create_map(*[v for i, r in enumerate(names) for v in (F.lit(i), F.struct(*[F.lit(x).alias(k) for k, x in r.items()]))])
+    out = with_row(joined.filter(~unfiltered), ends).withColumn("_s", table[F.col("grid_id")])
     gain = (F.col("f1") - F.col("base_f1") >= 0.005) & (F.col("cell_f1") >= F.col("base_cell_f1"))
-    return out.withColumns({"selected": F.col("grid_id") == F.col("best_id"), "accepted": gain}).drop("best_id")
+    flagged = out.withColumns({"selected": F.col("grid_id") == F.col("best_id"), "accepted": gain})
+    return flagged.select("*", "_s.*").drop("best_id", "_s")
 
 
 def smallest_expansion(det: DataFrame, largest: float, grid: float = 0.125) -> DataFrame:

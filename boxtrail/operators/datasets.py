@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.functions import geometry as g
+from boxtrail.operators.grid import with_row
 from boxtrail.operators.ordered import lagged
 from boxtrail.operators.skew import split_hot
 
@@ -129,7 +130,7 @@ def leakage_audit(manifest: DataFrame, group: str, video: str, profile: str, spl
     v1 = leaked(manifest, video, split).agg(F.count(F.lit(1)).alias("video_leakage"))
     synthetic = (F.col(split) != "train") & (F.col(profile) != "native")
     base = manifest.agg(F.count(F.lit(1)).alias("rows"), F.bool_or(synthetic).alias("synthetic_outside_train"))
-    one = base.crossJoin(F.broadcast(g1)).crossJoin(F.broadcast(v1))
+    one = with_row(with_row(base, g1), v1)
     reasons = F.array_compact(
         F.array(
             F.when(F.col("group_leakage") > 0, F.concat(F.lit("group_leakage="), F.col("group_leakage"))),
@@ -166,8 +167,13 @@ def median_hash(vector: Column, first: int = 1) -> Column:
     tail = F.array_sort(F.slice(values, first + 1, 64))
     n = F.size(tail)
     median = (tail[F.floor((n - 1) / 2).cast("int")] + tail[F.floor(n / 2).cast("int")]) / 2
-    # Bit i of the most significant first order is 2^(63-i); the top bit makes the LONG negative, which xor ignores.
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR((v > median).cast("long")))
+    # The median travels in the accumulator, so it is computed once per vector and not once per bit.
+    start = F.struct(F.lit(0).cast("long").alias("h"), median.alias("m"))
+
+    def step(acc, v):
+        return F.struct(F.shiftleft(acc["h"], 1).bitwiseOR((v > acc["m"]).cast("long")).alias("h"), acc["m"].alias("m"))
+
+    return F.aggregate(values, start, step)["h"]
 
 
 def near_duplicates(df: DataFrame, keys: list[str], order: str, hash_col: str, ident: str, limit: int = 2) -> DataFrame:

@@ -13,11 +13,8 @@ from boxtrail.operators.metrics import match_counts, prf
 def best_iou_per_truth(det: DataFrame, gt: DataFrame, margin: float, keys: list[str] | None = None) -> DataFrame:
     """Best overlap of each truth box (0 when nothing overlaps) and whether it touches the frame edge."""
     keys = keys or m.IMAGE_CLASS
-    best = m.pair(det, gt, 0.01, keys).groupBy(*keys, "gt_idx").agg(F.max("iou").alias("best"))
-    # Truths left over may still have a faint overlap, below the reach bound of the pair join.
-    faint = gt.join(best, [*keys, "gt_idx"], "left_anti").select(*keys, "gt_idx", *g.Box._fields)
-    seen = m.touching(det, faint, keys).groupBy(*keys, "gt_idx").agg(F.max("iou").alias("best"))
-    joined = gt.join(best.unionByName(seen), [*keys, "gt_idx"], "left")
+    best = m.touching(det, gt, keys).groupBy(*keys, "gt_idx").agg(F.max("iou").alias("best"))
+    joined = gt.join(best, [*keys, "gt_idx"], "left")
     edge = g.touches_edge(g.box(), g.unit_frame(), margin)
     return joined.select(*keys, "gt_idx", F.coalesce("best", F.lit(0.0)).alias("best_iou"), edge.alias("edge"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from boxtrail.operators.features import finite
+from boxtrail.operators.grid import with_row
 from boxtrail.operators.metrics import binary_counts, prf
 
 ERROR = 0.0001
@@ -51,7 +52,7 @@ def pca2(df: DataFrame, column: str = "features") -> tuple[DataFrame, list[float
     model = PCA(k=2, inputCol=column, outputCol="_pca").fit(df)
     out = model.transform(df).withColumn("_p", vector_to_array("_pca"))
     mid = out.agg(F.avg(F.col("_p")[0]).alias("_m1"), F.avg(F.col("_p")[1]).alias("_m2"))
-    out = out.crossJoin(F.broadcast(mid)).withColumns(
+    out = with_row(out, mid).withColumns(
         {"pca_1": F.col("_p")[0] - F.col("_m1"), "pca_2": F.col("_p")[1] - F.col("_m2")}
     )
     return out.drop("_pca", "_p", "_m1", "_m2"), [float(v) for v in model.explainedVariance]
@@ -154,7 +155,7 @@ def anomaly(
 
     scored = slim.withColumn("anomaly_score", score("v")).drop("v")
     cut = quantiles(scored, [], F.col("anomaly_score"), {"_cut": 1.0 - contamination})
-    flagged = scored.crossJoin(F.broadcast(cut))
+    flagged = with_row(scored, cut)
     return flagged.withColumn("is_anomaly", (F.col("anomaly_score") > F.col("_cut")).cast("int")).drop("_cut")
 
 
@@ -163,7 +164,7 @@ def balanced_weights(df: DataFrame, label: str, weight: str | None = None) -> Da
     base = F.col(weight) if weight else F.lit(1.0)
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = n.agg(F.sum("_c").alias("_t"))
-    joined = df.join(F.broadcast(n), label).crossJoin(F.broadcast(total))
+    joined = with_row(df.join(F.broadcast(n), label), total)
     return joined.withColumn("_w", base * F.col("_t") / (2.0 * F.col("_c"))).drop("_c", "_t")
 
 

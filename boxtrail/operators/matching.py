@@ -32,9 +32,10 @@ def _binned(det: DataFrame, gt: DataFrame, keys: list[str], threshold: float, ce
     return d, t, [*keys, "_bx", "_by"]
 
 
-def _join_pairs(d: DataFrame, t: DataFrame, on: list[str], keys: list[str], threshold: float) -> DataFrame:
+def _join_pairs(d, t, on: list[str], keys: list[str], threshold: float, also=None) -> DataFrame:
     overlap = g.iou(g.box("d"), g.box("t"))
     joined = d.alias("d").join(t.alias("t"), [F.col(f"d.{k}") == F.col(f"t.{k}") for k in on])
+    joined = joined if also is None else joined.filter(also)
     return joined.filter(overlap >= threshold).select(
         *[F.col(f"d.{k}").alias(k) for k in keys], "det_idx", "confidence", "gt_idx", overlap.alias("iou")
     )
@@ -55,8 +56,14 @@ def pair(
     out = _join_pairs(cold, t, keys, keys, threshold)
     if hot is None:
         return out
-    bd, bt, on = _binned(hot, t, keys, threshold, cell)
-    return out.unionByName(_join_pairs(bd, bt, on, keys, threshold))
+    if _reach(threshold) <= 2:
+        bd, bt, on = _binned(hot, t, keys, threshold, cell)
+        return out.unionByName(_join_pairs(bd, bt, on, keys, threshold))
+    # A low threshold allows distant centers; boxes then meet in the cells they cover, once, where the overlap starts.
+    spread = F.explode(box_cells(cell)).alias("_c")
+    bd, bt = hot.select("*", spread), t.select("*", spread)
+    start = F.struct(*[F.floor(F.greatest(F.col(f"d.{c}"), F.col(f"t.{c}")) / cell) for c in ("x1", "y1")])
+    return out.unionByName(_join_pairs(bd, bt, [*keys, "_c"], keys, threshold, F.col("d._c") == start))
 
 
 def touching(det: DataFrame, gt: DataFrame, keys: list[str], cell: float = CELL) -> DataFrame:
@@ -76,6 +83,15 @@ def touching(det: DataFrame, gt: DataFrame, keys: list[str], cell: float = CELL)
     return out.unionByName(join(hot.withColumn("_c", spread), t.withColumn("_c", spread), [*keys, "_c"]))
 
 
+def name_truths(
+    det: DataFrame, gt: DataFrame, threshold: float, keys: list[str], pairs: DataFrame | None = None
+) -> DataFrame:
+    """The truth each detection names: highest overlap, then lowest index (column ``c``: k = -iou, gt_idx, confidence)."""
+    pairs = pairs if pairs is not None else pair(det, gt, threshold, keys)
+    choice = F.struct((-F.col("iou")).alias("k"), F.col("gt_idx"), F.col("confidence"))
+    return pairs.groupBy(*keys, "det_idx").agg(F.min(choice).alias("c"))
+
+
 def match_best(
     det: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: list[str] | None = None, pairs: DataFrame | None = None
 ) -> DataFrame:
@@ -85,9 +101,7 @@ def match_best(
     named it, and the others get no second choice. Both steps are plain aggregates on the join's partitioning.
     """
     keys = keys or IMAGE_CLASS
-    pairs = pairs if pairs is not None else pair(det, gt, threshold, keys)
-    choice = F.struct((-F.col("iou")).alias("k"), F.col("gt_idx"), F.col("confidence"))
-    named = pairs.groupBy(*keys, "det_idx").agg(F.min(choice).alias("c"))
+    named = name_truths(det, gt, threshold, keys, pairs)
     claim = F.struct((-F.col("c.confidence")).alias("k"), F.col("det_idx"), F.col("c.k").alias("i"))
     won = named.groupBy(*keys, F.col("c.gt_idx").alias("gt_idx")).agg(F.min(claim).alias("w"))
     return won.select(

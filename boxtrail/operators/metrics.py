@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.operators import ordered
+from boxtrail.operators.grid import with_grid, with_row
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -105,34 +106,22 @@ def average_precision_101(curve: DataFrame, gt: DataFrame, by: str = "class_id")
     step = curve.groupBy(by, F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("reached")).agg(
         F.max("precision").alias("best")
     )
-    points = curve.sparkSession.range(0, 101).select(F.col("id").cast("int").alias("point"))
-    classes = gt.select(by).distinct()
-    # At most 101 rows per class on each side of this join.
-    grid = classes.crossJoin(F.broadcast(points))
+    # At most 101 rows per class on each side of the join below.
+    grid = gt.select(by).distinct().withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(100))))
     near = grid.join(step, [by]).filter(F.col("reached") >= F.col("point"))
     best = near.groupBy(by, "point").agg(F.max("best").alias("best"))
     filled = grid.join(best, [by, "point"], "left")
     return filled.groupBy(by).agg(F.avg(F.coalesce("best", F.lit(0.0))).alias("ap"))
 
 
-def grid_frame(spark, rows: list[dict]) -> DataFrame:
-    """A parameter grid (driver-sized by definition) as a frame with a ``grid_id``."""
-    return spark.createDataFrame([{"grid_id": i, **r} for i, r in enumerate(rows)])
-
-
-def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every row under every setting; the grid is a handful of rows and is broadcast."""
-    return df.crossJoin(F.broadcast(grid))
-
-
 def confidence_sweep(det: DataFrame, gt: DataFrame, matches_of, thresholds: list[float], by="class_id") -> DataFrame:
     """tp/fp/fn per class and confidence threshold without repeating the data per threshold.
 
     Best-then-check at threshold t matches a truth when the most confident detection naming it reaches t, so one
     match run gives every threshold: count matches and detections in bins, then sum from the top.
     """
-    spark = det.sparkSession
     edges = F.array(*[F.lit(float(t)) for t in thresholds])
+    steps = [{"pos": i + 1, "threshold": float(t)} for i, t in enumerate(thresholds)]
 
     def bins(df, name):
         reached = F.size(F.filter(edges, lambda t: t <= F.col("confidence")))
@@ -140,9 +129,7 @@ def confidence_sweep(det: DataFrame, gt: DataFrame, matches_of, thresholds: list
 
     counts = bins(det, "nd").unionByName(bins(matches_of, "tp"), True)
     counts = counts.groupBy(by, "bin").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("nd", "tp")])
-    grid = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thresholds)], "pos int, threshold double")
-    classes = gt.groupBy(by).agg(F.count(F.lit(1)).alias("ng"))
-    base = classes.crossJoin(F.broadcast(grid))
+    base = with_grid(gt.groupBy(by).agg(F.count(F.lit(1)).alias("ng")), steps).drop("grid_id")
     hit = base.join(counts, by, "left").filter((F.col("bin") >= F.col("pos")) | F.col("bin").isNull())
     summed = hit.groupBy(by, "threshold").agg(
         F.coalesce(F.sum("nd"), F.lit(0)).alias("nd"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp")
@@ -156,14 +143,12 @@ def confidence_sweep(det: DataFrame, gt: DataFrame, matches_of, thresholds: list
 
 def binary_sweep(df: DataFrame, label: str, score: str, thresholds: list[float]) -> DataFrame:
     """Confusion counts at every threshold from one histogram of scores over the threshold bins."""
-    spark = df.sparkSession
     edges = F.array(*[F.lit(float(t)) for t in thresholds])
     reached = F.size(F.filter(edges, lambda t: t <= F.col(score)))
     hist = df.groupBy(reached.alias("bin")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
     )
-    grid = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thresholds)], "pos int, threshold double")
-    joined = F.broadcast(grid).crossJoin(hist)
+    joined = with_grid(hist, [{"pos": i + 1, "threshold": float(t)} for i, t in enumerate(thresholds)])
     above = F.col("bin") >= F.col("pos")
     rows = joined.groupBy("threshold").agg(
         F.coalesce(F.sum(F.when(above, F.col("p"))), F.lit(0)).alias("tp"),
@@ -216,7 +201,9 @@ def combined_metrics(first: DataFrame, second: DataFrame) -> DataFrame:
     """Micro and macro F1 of every pair of class thresholds. Both inputs are sweep rows (one per threshold)."""
     a = first.select(*[F.col(c).alias(f"{c}_a") for c in ("threshold", "tp", "fp", "fn", "f1")])
     b = second.select(*[F.col(c).alias(f"{c}_b") for c in ("threshold", "tp", "fp", "fn", "f1")])
-    both = a.crossJoin(F.broadcast(b))
+    # Sweep rows are as many as thresholds: the second list rides along as one array.
+    other = b.agg(F.collect_list(F.struct(*b.columns)).alias("_b"))
+    both = with_row(a, other).withColumn("_b", F.explode("_b")).select(*a.columns, "_b.*")
     tp, fp, fn = (F.col(f"{c}_a") + F.col(f"{c}_b") for c in ("tp", "fp", "fn"))
     return both.select(
         "threshold_a",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from boxtrail.operators.grid import with_row
 from boxtrail.operators.skew import union_routes
 from boxtrail.session import WINDOW_ROWS, materialize, setting
 
@@ -116,7 +117,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     counts = df.filter(value.isNotNull()).groupBy(*keys, value.alias("value")).agg(F.count(F.lit(1)).alias("ties"))
     cum = running(counts, keys, ["value"], {"upto": F.col("ties")})
     totals = counts.groupBy(*keys).agg(F.sum("ties").alias("n"))
-    joined = cum.join(totals, keys) if keys else cum.crossJoin(F.broadcast(totals))
+    joined = cum.join(totals, keys) if keys else with_row(cum, totals)
     return joined.withColumn("below", F.col("upto") - F.col("ties"))
 
 

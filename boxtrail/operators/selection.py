@@ -7,14 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.operators.greedy import greedy_keep
+from boxtrail.operators.grid import with_row
 from boxtrail.operators.ordered import indexed, top_k
 from boxtrail.session import materialize
 
 
-def _on(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(other, keys) if keys else df.crossJoin(F.broadcast(other))
-
-
 def spaced_indices(n: Column, count: Column | int, mode: str = "round") -> Column:
     """0-based indices of ``count`` evenly spaced rows of ``n`` (half-even or truncated), in order, without repeats."""
     count = F.lit(count) if isinstance(count, int) else count
@@ -223,15 +220,15 @@ def balance_background(df: DataFrame, ident: str, positive: str, ambiguous: str,
     kinds = df.withColumn("_kind", F.when(pos, "positive").when(amb, "ambiguous").otherwise("background"))
     limit = kinds.agg(F.rint(F.count_if(F.col("_kind") == "positive") * ratio).cast("long").alias("_max"))
     clean = kinds.filter("_kind = 'background'").withColumn("_h", seeded_order(seed, F.col(ident)))
-    ranked = indexed(clean, [], ["_h", ident], "_n").crossJoin(F.broadcast(limit)).filter(F.col("_n") <= F.col("_max"))
+    ranked = with_row(indexed(clean, [], ["_h", ident], "_n"), limit).filter(F.col("_n") <= F.col("_max"))
     kept = kinds.filter("_kind = 'positive'").drop("_kind").unionByName(ranked.drop("_kind", "_h", "_n", "_max"))
-    stats = kinds.agg(
+    counts = kinds.agg(
         F.count(F.lit(1)).alias("source_images"),
         F.count_if(F.col("_kind") == "positive").alias("positive_images"),
         F.count_if(F.col("_kind") == "background").alias("clean_background_candidates"),
         F.count_if(amb).alias("dropped_ambiguous_fragments"),
-    ).crossJoin(F.broadcast(limit))
-    stats = stats.withColumn(
+    )
+    stats = with_row(counts, limit).withColumn(
         "selected_background_images", F.least(F.col("_max"), F.col("clean_background_candidates"))
     ).drop("_max")
     return kept, stats.withColumn("selected_images", F.col("positive_images") + F.col("selected_background_images"))

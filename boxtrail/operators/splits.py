@@ -15,11 +15,8 @@ def group_totals(rows: DataFrame, group: str, measures: dict) -> DataFrame:
 
 
 def _trial_orders(groups: DataFrame, group: str, trials: int, seed: int, keep: int | None = None) -> DataFrame:
-    spark = groups.sparkSession
-    numbers = spark.range(trials if keep is None else 1).select(
-        (F.col("id") if keep is None else F.lit(keep).cast("long")).alias("trial")
-    )
-    rows = groups.crossJoin(F.broadcast(numbers))
+    numbers = F.sequence(F.lit(0), F.lit(trials - 1)) if keep is None else F.array(F.lit(keep))
+    rows = groups.withColumn("trial", F.explode(numbers))
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col(group).cast("string")))
     return indexed(rows.withColumn("_h", mark), ["trial"], ["_h", group], "_pos")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from boxtrail.operators.grid import with_row
 from boxtrail.operators.ordered import lagged, quantiles
 from boxtrail.operators.windows import pct_rank_avg  # noqa: F401
 
 
 def _with(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(other, keys) if keys else df.crossJoin(F.broadcast(other))
+    return df.join(other, keys) if keys else with_row(df, other)
 
 
 def timing_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -172,4 +173,4 @@ def parity_report(df: DataFrame, expected: str, actual: str, ident: str, shown:
     )
     first = df.filter(bad).select(ident).orderBy(ident).limit(shown)
     listed = first.agg(F.sort_array(F.collect_list(ident)).alias("first_mismatches"))
-    return totals.crossJoin(F.broadcast(listed))
+    return with_row(totals, listed)

@@ -13,6 +13,7 @@ from boxtrail.operators import (
     matching as m,
     metrics as mt,
 )
+from boxtrail.operators.grid import with_grid
 from boxtrail.plans import fixtures as fx
 from boxtrail.plans.geometry_queries import TRACKS, WEAK, simple_tracks, weak_tracks
 from boxtrail.plans.matching_queries import both, r6
@@ -220,9 +221,8 @@ def ag2(spark, sf):
 )
 def jn12(spark, sf):
     d, _ = both(spark, sf)
-    grid = spark.createDataFrame([(i, 0.5 + 0.1 * i) for i in range(4)], "grid_id int, thr double")
-    grid = grid.withColumn("thr", F.round("thr", 1))
-    rows = mt.with_grid(d.select("class_id", "confidence"), grid).filter("confidence >= thr")
+    grid = [{"thr": t} for t in (0.5, 0.6, 0.7, 0.8)]
+    rows = with_grid(d.select("class_id", "confidence"), grid).filter("confidence >= thr")
     return rows.groupBy("grid_id", "class_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -259,16 +259,12 @@ def ag7(spark, sf):
     det, pts, truth = guard_inputs(spark, sf)
     strong = gd.local_support(det, pts, 2, ["image_id"])
     rows = det.join(strong, ["image_id", "det_idx"], "left")
-    grid = spark.createDataFrame(
-        [(i, float(lo), float(r)) for i, (lo, r) in enumerate((lo, r) for lo in (0.5, 0.6, 0.7) for r in (20, 32, 44))],
-        "grid_id int, low double, need double",
-    )
-    kept = mt.with_grid(rows, grid).filter(
-        (F.col("confidence") >= 0.9) | ((F.col("confidence") >= F.col("low")) & (F.col("response") >= F.col("need")))
-    )
-    cells = truth.filter("class_id = 0")
-    counts = cal.overall(cal.grid_counts(kept.select("grid_id", "image_id", "class_id", "det_idx", "confidence", *g.Box._fields), cells, grid))
-    out = cal.guard_policy(counts).join(F.broadcast(grid), "grid_id")
+    settings = [(lo, r) for lo in (0.5, 0.6, 0.7) for r in (20, 32, 44)]
+    keep = [
+        (F.col("confidence") >= 0.9) | ((F.col("confidence") >= lo) & (F.col("response") >= r)) for lo, r in settings
+    ]
+    counts = cal.overall(cal.filter_sweep(rows, truth.filter("class_id = 0"), keep))
+    out = cal.guard_policy(counts)
     return r6(cal.pick_guarded(out), "precision", "recall", "f1", "guarded_f1")
 
 

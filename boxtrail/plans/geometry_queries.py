@@ -202,7 +202,7 @@ def pr10(spark, sf):
 @query(
     "pr11_coco_to_yolo",
     GT
-    + f"""select {ID},round((a+c)/2/64e1,6) as cx,round((b+d)/2/48e1,6) as cy,round((c-a)/64e1,6) as w,round((d-b)/48e1,6) as h from (
+    + f"""select {ID},round((a+c)/2/64e1,4) as cx,round((b+d)/2/48e1,4) as cy,round((c-a)/64e1,4) as w,round((d-b)/48e1,4) as h from (
  select {ID},least(64e1,greatest(0e0,x)) as a,least(48e1,greatest(0e0,y)) as b,least(64e1,greatest(0e0,x+bw)) as c,least(48e1,greatest(0e0,y+bh)) as d
  from (select {ID},x1*8e2-1e2 as x,y1*6e2-1e2 as y,w*8e2 as bw,h*6e2 as bh from fx_gt) q) z where c-a>0 and d-b>0""",
 )
@@ -212,7 +212,7 @@ def pr11(spark, sf):
         F.col("x1") * 800.0 - 100.0, F.col("y1") * 600.0 - 100.0, F.col("w") * 800.0, F.col("h") * 600.0, F.lit(640.0), F.lit(480.0)
     )
     rows = t.select("image_id", "gt_idx", *[v.alias(k) for k, v in cols.items()])
-    return r6(rows.filter("keep").drop("keep"), "cx", "cy", "w", "h")
+    return rows.filter("keep").drop("keep").withColumns({c: F.round(c, 4) for c in ("cx", "cy", "w", "h")})
 
 
 @query(
@@ -240,7 +240,7 @@ def pr13(spark, sf):
 
 
 def _cal(v, half, c, off):
-    return f"round(least(1e0,greatest(0e0,{c}+({off}){v}{half}/2)),6)"
+    return f"round(least(1e0,greatest(0e0,{c}+({off}){v}{half}/2)),9)"
 
 
 @query(
@@ -252,7 +252,7 @@ def _cal(v, half, c, off):
 def pr14(spark, sf):
     d, _ = both(spark, sf)
     return d.filter("class_id = 1").select(
-        "image_id", "det_idx", *box_cols(g.calibrate_box(g.box(), 1.05, 0.9, 0.01, -0.02))
+        "image_id", "det_idx", *box_cols(g.calibrate_box(g.box(), 1.05, 0.9, 0.01, -0.02), 9)
     )
 
 

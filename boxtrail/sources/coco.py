@@ -33,7 +33,7 @@ def coco_tables(raw: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     cat = raw.select("split", F.explode("categories").alias("c")).select(
         "split", F.col("c.id").alias("category_id"), F.lower(F.trim("c.name")).alias("class_name")
     ).distinct()
-    kept = ann.join(F.broadcast(cat), ["split", "category_id"]).filter(F.col("class_name").isin(keep))
+    kept = ann.join(cat, ["split", "category_id"]).filter(F.col("class_name").isin(keep))
     boxes = kept.select("split", "image_id", "ann_id", "class_name", *[F.col("bbox")[i].alias(n) for i, n in enumerate("xywh")])
     return img.withColumnRenamed("id", "image_id"), boxes
 
