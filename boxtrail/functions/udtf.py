@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
+from boxtrail.session import ship_package
 from boxtrail.sources.records import SHORT_RECORD
 
 # Plain SQL bodies, so a call in a query is inlined by the optimizer like any built-in expression.
@@ -25,6 +26,7 @@ SQL_FUNCTIONS = {
 
 def register_functions(spark: SparkSession) -> None:
     """Temporary SQL functions and the ``decode_records`` table function."""
+    ship_package(spark)
     for name, (args, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
     spark.udtf.register("decode_records", DecodeRecords)

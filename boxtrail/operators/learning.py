@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from boxtrail.operators.features import finite
 from boxtrail.operators.grid import with_row
 from boxtrail.operators.metrics import binary_counts, prf
+from boxtrail.session import ship_package
 
 ERROR = 0.0001
 
@@ -112,6 +113,7 @@ def anomaly(
     from boxtrail.operators.ordered import quantiles
 
     spark = df.sparkSession
+    ship_package(spark)
     slim = df.select(ident, vector_to_array(column).alias("v"))
     n = max(slim.count(), 2)
     size = min(sample, n)

@@ -399,3 +399,30 @@ def fn_keep(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", keep_code(p, 0.05, 3).alias("code"))
 
 
+
+
+def pixels(spark, sf):
+    """Embeddings as 8x8 gray images."""
+    e = fx.table(spark, sf, "embeddings")
+    value = lambda v: F.least(F.greatest(F.rint(128 + v.cast("double") * 600), F.lit(0.0)), F.lit(255.0)).cast("int")
+    text = F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(value(v)), 2, "0")), "")
+    return e.select("vec_id", F.unhex(text).alias("data"))
+
+
+@query(
+    "pr30_image_quality",
+    """with p as (select vec_id,generate_subscripts(embedding,1)-1 as i,least(255e0,greatest(0e0,round_even(128e0+cast(unnest(embedding) as double)*6e2,0))) as v from embeddings),
+x as (select vec_id,i//8 as y,i%8 as x,v from p),
+l as (select c.vec_id,c.v,u.v+d.v+l.v+r.v-4*c.v as lap from x c join x u on u.vec_id=c.vec_id and u.x=c.x and u.y=case when c.y=0 then 1 else c.y-1 end
+ join x d on d.vec_id=c.vec_id and d.x=c.x and d.y=case when c.y=7 then 6 else c.y+1 end
+ join x l on l.vec_id=c.vec_id and l.y=c.y and l.x=case when c.x=0 then 1 else c.x-1 end join x r on r.vec_id=c.vec_id and r.y=c.y and r.x=case when c.x=7 then 6 else c.x+1 end),
+a as (select vec_id,avg(v) as b,stddev_pop(v) as c,var_pop(lap) as s,count(*) filter (v<=4)/64e0 as dk,count(*) filter (v>=251)/64e0 as br from l group by 1)
+select vec_id,round(b,4) as brightness,round(c,4) as contrast,round(s,6) as sharpness,round(dk,6) as clipped_dark,round(br,6) as clipped_bright,round(s*greatest(1e-1,1e0-dk-br),5) as score from a""",
+)
+def pr30(spark, sf):
+    from boxtrail.functions.images import image_quality
+
+    q = image_quality(F.lit(8), F.lit(8), F.lit(1), F.col("data"))
+    out = pixels(spark, sf).select("vec_id", q.alias("q")).select("vec_id", "q.*")
+    digits = {"brightness": 4, "contrast": 4, "sharpness": 6, "clipped_dark": 6, "clipped_bright": 6, "score": 5}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})

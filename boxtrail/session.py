@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +35,21 @@ def build_session(app: str = "boxtrail", cpus: str | int | None = None) -> Spark
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application (``--py-files`` does the same from outside)."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="boxtrail-pkg-"), "boxtrail_package")
+    # The archive is read by the driver only; Spark's file server copies it to every executor.
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+    _SHIPPED.add(context.applicationId)
+
+
 def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, DEFAULTS[name]))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from boxtrail.session import scratch_path
+
 SCHEMA = (
     "images array<struct<id:long,file_name:string,width:int,height:int>>,"
     "annotations array<struct<id:long,image_id:long,category_id:int,bbox:array<double>>>,"
@@ -11,16 +13,24 @@ SCHEMA = (
 )
 
 
+def _visible_copies(spark: SparkSession, root: str) -> str:
+    """The export's files start with an underscore, which Spark's file index hides: copy them, one per split, to the
+    shared folder under plain names with Hadoop's own file copy."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs_package = jvm.org.apache.hadoop.fs
+    pattern = fs_package.Path(f"{root}/*/_annotations.coco.json")
+    source = pattern.getFileSystem(conf)
+    target = scratch_path(spark, "coco-export")
+    for status in source.globStatus(pattern) or []:
+        file = status.getPath()
+        copy = fs_package.Path(f"{target}/split={file.getParent().getName()}/annotations.json")
+        fs_package.FileUtil.copy(source, file, copy.getFileSystem(conf), copy, False, conf)
+    return target
+
+
 def read_coco(spark: SparkSession, root: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of the split files ``<root>/<split>/_annotations.coco.json``."""
-    raw = (
-        spark.read.schema(SCHEMA)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "_annotations.coco.json")
-        .json(root)
-        .withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/_annotations\.coco\.json$", 1))
-    )
+    """(images, annotations) of the split files ``<root>/<split>/_annotations.coco.json``. One file is one JSON document."""
+    raw = spark.read.schema(SCHEMA + ", split string").option("multiLine", True).json(_visible_copies(spark, root))
     return coco_tables(raw, keep)
 
 

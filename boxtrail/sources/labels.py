@@ -10,7 +10,7 @@ from boxtrail.operators.skew import union_routes
 
 def scan_lines(spark: SparkSession, path: str, suffix: str = "*.txt") -> DataFrame:
     """Lines of label files: file, line_no (1-based), value. One row per file comes in, so a file is one image."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", suffix).option("recursiveFileLookup", True).text(path)
+    text = spark.read.text(path, wholetext=True, pathGlobFilter=suffix, recursiveFileLookup=True)
     named = text.select(F.col("_metadata.file_path").alias("file"), "value")
     return split_lines(named)
 

@@ -14,20 +14,24 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from boxtrail.operators.ordered import lagged, running
+from boxtrail.session import materialize, ship_package
 
 SEG, MARK, SEQ = "_seg", "_mark", "_seq"
 
 
-def _segments(df: DataFrame, keys: list[str], frame: str, tie: list[str], gap: int) -> DataFrame:
+def _segments(df: DataFrame, keys: list[str], frame: str, tie: list[str], gap: int, ends: DataFrame | None) -> DataFrame:
     """Adds the segment number, and one marker row after each segment with the frame up to which it must run on."""
     prev = lagged(df, keys, [frame, *tie], {"_pf": F.col(frame)})
     new = (F.col("_pf").isNull() | (F.col(frame) - F.col("_pf") > gap)).cast("long")
     cut = running(prev.withColumn("_new", new).drop("_pf"), keys, [frame, *tie], {SEG: F.col("_new")}).drop("_new")
     first = cut.groupBy(*keys, SEG).agg(F.min(frame).alias("_first"))
-    # The marker of segment s-1 sits just before the first frame of segment s; the last segment has none.
+    # The marker of segment s-1 sits just before the first frame of segment s.
     marks = first.filter(F.col(SEG) > 1).select(
         *keys, (F.col(SEG) - 1).alias(SEG), (F.col("_first") - 1).alias(frame), F.lit(1).alias(MARK)
     )
+    if ends is not None:  # the last segment runs on to the last frame of its source
+        last = first.groupBy(*keys).agg(F.max(SEG).alias(SEG)).join(ends, keys)
+        marks = marks.unionByName(last.select(*keys, SEG, F.col("last_frame").alias(frame), F.lit(1).alias(MARK)))
     return cut.withColumn(MARK, F.lit(0)).unionByName(marks, allowMissingColumns=True)
 
 
@@ -41,13 +45,16 @@ def replay(
     gap: int,
     drain: bool = False,
     renumber: bool = True,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Outputs of the kernels of all keys, with ``track_id`` numbered per key in order of creation.
 
     ``out`` is the DDL of the kernel's output columns. ``drain`` also reports tracks alive at the end of a source.
-    Segments hold rows of a key without a gap over ``gap`` frames.
+    Segments hold rows of a key without a gap over ``gap`` frames. ``ends`` (keys, last_frame) gives the last frame of
+    each source, when frames without rows follow its last row.
     """
-    rows = _segments(df, keys, frame, tie, gap)
+    ship_package(df.sparkSession)
+    rows = _segments(df, keys, frame, tie, gap, ends)
     laid = rows.repartition(*keys, SEG).sortWithinPartitions(*keys, SEG, MARK, frame, *tie)
     key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_ddl}, {SEG} long, {SEQ} long, _created long, {out}"
@@ -104,8 +111,6 @@ def replay(
     data = raw.filter(F.col("_created").isNull()).drop("_created")
     if not renumber or "track_id" not in names:
         return data.drop(SEG, SEQ)
-    from boxtrail.session import materialize
-
     done = materialize(raw)  # read twice below: once for the counts, once for the rows
     data = done.filter(F.col("_created").isNull()).drop("_created")
     counts = done.filter(F.col("_created").isNotNull()).select(*keys, SEG, "_created")

@@ -8,7 +8,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from boxtrail.session import ship_package
+
+
+# Schemas are built here, on the driver: a worker has no context to parse DDL text with.
+STATE = StructType([StructField("state", StringType())])
 
 
 class KernelProcessor(StatefulProcessor):
@@ -18,13 +24,13 @@ class KernelProcessor(StatefulProcessor):
     list state until a newer one arrives. Rows older than the last finished frame are late and are not replayed.
     """
 
-    def __init__(self, keys: list[str], frame: str, tie: list[str], make: Callable, out: str, columns: list[str], pending_ddl: str):
+    def __init__(self, keys: list[str], frame: str, tie: list[str], make: Callable, names: list[str], pending: StructType):
         self.keys, self.frame, self.tie, self.make = keys, frame, tie, make
-        self.out, self.columns, self.pending_ddl = out, columns, pending_ddl
+        self.names, self.pending, self.columns = names, pending, pending.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("kernel", "state string")
-        self.waiting = handle.getListState("pending", self.pending_ddl)
+        self.saved = handle.getValueState("kernel", STATE)
+        self.waiting = handle.getListState("waiting", self.pending)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kernel = self.make(dict(zip(self.keys, key)))
@@ -51,9 +57,8 @@ class KernelProcessor(StatefulProcessor):
         if keep:
             self.waiting.put([tuple(r[c] for c in self.columns) for r in keep])
         self.saved.update((json.dumps(kernel.state(), default=float),))
-        names = StructType.fromDDL(self.out).names
         if found:
-            body = pd.DataFrame([[r.get(n) for n in names] for r in found], columns=names)
+            body = pd.DataFrame([[r.get(n) for n in self.names] for r in found], columns=self.names)
             for i, k in enumerate(self.keys):
                 body.insert(i, k, key[i])
             yield body
@@ -64,11 +69,12 @@ class KernelProcessor(StatefulProcessor):
 
 def run_stream(df: DataFrame, keys: list[str], frame: str, tie: list[str], make, out: str, mode: str = "None") -> DataFrame:
     """Streaming twin of ``replay``: same kernels, same output columns, state kept per key in the state store."""
+    ship_package(df.sparkSession)
     columns = [c for c in df.columns if c not in keys]
     kinds = {c: df.schema[c].dataType.simpleString() for c in df.columns}
-    pending = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    pending = StructType([StructField(c, df.schema[c].dataType) for c in columns])
     key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    processor = KernelProcessor(keys, frame, tie, make, out, columns, pending)
+    processor = KernelProcessor(keys, frame, tie, make, StructType.fromDDL(out).names, pending)
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=f"{key_ddl}, {out}", outputMode="Append", timeMode=mode
     )

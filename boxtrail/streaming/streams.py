@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from boxtrail.session import ship_package
 
 
 def frame_time(frame: str, fps: float) -> Column:
@@ -42,6 +45,9 @@ def latest_only(batch: DataFrame, source: str, frame: str) -> DataFrame:
     return best.select(source, "_b.*", "dropped")
 
 
+LAST = StructType([StructField("frame", LongType())])
+
+
 class NewerThan(StatefulProcessor):
     """Per source: keep only the newest row of a micro-batch, and only when it is newer than the last one sent."""
 
@@ -49,7 +55,7 @@ class NewerThan(StatefulProcessor):
         self.frame, self.columns = frame, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "frame long")
+        self.last = handle.getValueState("last", LAST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best, seen = None, 0
@@ -70,6 +76,7 @@ class NewerThan(StatefulProcessor):
 
 def latest_stream(df: DataFrame, source: str, frame: str) -> DataFrame:
     """Load shedding on a stream: at most one row per source and micro-batch, never an old one."""
+    ship_package(df.sparkSession)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.groupBy(source).transformWithStateInPandas(
         statefulProcessor=NewerThan(frame, df.columns), outputStructType=f"{ddl}, dropped long", outputMode="Append", timeMode="None"

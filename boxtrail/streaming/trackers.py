@@ -50,7 +50,7 @@ def _is_stream(df: DataFrame) -> bool:
     return df.isStreaming
 
 
-def _run(df, keys, tie, kernel, cfg, out, config_key=None, drain=False, renumber=True, frame="frame_index", slack=1):
+def _run(df, keys, tie, kernel, cfg, out, config_key=None, drain=False, renumber=True, frame="frame_index", slack=1, ends=None):
     pick = _config_of(cfg, config_key)
 
     def make(at):
@@ -60,17 +60,19 @@ def _run(df, keys, tie, kernel, cfg, out, config_key=None, drain=False, renumber
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromDDL(out).fields if f.name not in keys)
     if _is_stream(df):
         return run_stream(df, keys, frame, tie, make, out)
-    return replay(df, keys, frame, tie, make, out, _widest(cfg) + slack, drain, renumber)
+    return replay(df, keys, frame, tie, make, out, _widest(cfg) + slack, drain, renumber, ends)
 
 
-def track_lines(det: DataFrame, keys: list[str], cfg, region_key: str | None = None, tie: list[str] | None = None) -> DataFrame:
+def track_lines(
+    det: DataFrame, keys: list[str], cfg, region_key: str | None = None, tie: list[str] | None = None, ends: DataFrame | None = None
+) -> DataFrame:
     """Crossing events (kind ``event``) and, when configured, track observations per frame (kind ``observation``).
 
-    ``det`` has keys, frame_index, class_id, class_name, confidence, x1..y2. On a table, events also get
-    ``cumulative_count`` per key and class.
+    ``det`` has keys, frame_index, class_id, class_name, confidence, x1..y2. ``ends`` (keys, last_frame) is for tables
+    whose sources go on without detections after their last row.
     """
     tie = tie or ["det_idx"]
-    out = _run(det, keys, tie, k.LineTracker, cfg, LINE_OUT, region_key)
+    out = _run(det, keys, tie, k.LineTracker, cfg, LINE_OUT, region_key, ends=ends)
     return out if _is_stream(det) else out.withColumnRenamed("_seg", "segment").withColumnRenamed("_seq", "seq")
 
 
