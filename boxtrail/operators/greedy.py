@@ -61,7 +61,8 @@ def greedy_pairs(edges: DataFrame, keys: list[str], left: str, right: str, order
             rest = materialize(rest.join(won.select(*keys, right), [*keys, right], "left_anti"))
         return (rest if taken is None else taken).select(*keys, *cols)
 
-    return union_routes(edges.select(*keys, *cols), keys, fold, rounds)
+    # Edges come out of a join: write them once, so that counting group sizes does not run the join a second time.
+    return union_routes(materialize(edges.select(*keys, *cols)), keys, fold, rounds)
 
 
 Conflict = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]

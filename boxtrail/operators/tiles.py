@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from boxtrail.operators.matching import nms
+from boxtrail.operators.ordered import lagged
 
 
 def owned_boxes(det: DataFrame, tiles: DataFrame) -> DataFrame:
     """Region-normalized boxes, each kept only by the tile whose center is nearest (half-open boundaries).
 
-    ``tiles`` has one row per image: source_id, image_id, tile_x, tile_y, tile_w, tile_h. A source has few tiles.
+    ``tiles`` has one row per image: source_id, image_id, tile_x, tile_y, tile_w, tile_h.
     """
-    w = Window.partitionBy("source_id").orderBy("tile_x", "image_id")
-    every = Window.partitionBy("source_id")
     mid = F.col("tile_x") + F.col("tile_w") / 2
-    bounds = tiles.select(
-        "*",
-        ((mid + F.lag(mid).over(w)) / 2).alias("_lo"),
-        ((mid + F.lead(mid).over(w)) / 2).alias("_hi"),
-        F.min("tile_x").over(every).alias("_rx1"),
-        F.min("tile_y").over(every).alias("_ry1"),
-        F.max(F.col("tile_x") + F.col("tile_w")).over(every).alias("_rx2"),
-        F.max(F.col("tile_y") + F.col("tile_h")).over(every).alias("_ry2"),
+    rows = tiles.withColumn("_mid", mid)
+    rows = lagged(rows, ["source_id"], ["tile_x", "image_id"], {"_before": F.col("_mid")})
+    back = {"_nx": -F.col("tile_x"), "_ni": -F.col("image_id")}
+    rows = lagged(rows.withColumns(back), ["source_id"], ["_nx", "_ni"], {"_after": F.col("_mid")})
+    region = tiles.groupBy("source_id").agg(
+        F.min("tile_x").alias("_rx1"),
+        F.min("tile_y").alias("_ry1"),
+        F.max(F.col("tile_x") + F.col("tile_w")).alias("_rx2"),
+        F.max(F.col("tile_y") + F.col("tile_h")).alias("_ry2"),
+    )
+    bounds = rows.join(region, "source_id").withColumns(
+        {"_lo": (F.col("_mid") + F.col("_before")) / 2, "_hi": (F.col("_mid") + F.col("_after")) / 2}
     )
     d = det.join(bounds, "image_id")
     ax1, ax2 = (F.col("tile_x") + F.col(c) * F.col("tile_w") for c in ("x1", "x2"))

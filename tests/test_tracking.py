@@ -1,6 +1,8 @@
 """Behaviour cases of trackers and association, and table/stream parity."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +238,47 @@ def test_gated_score_scores_once(spark):
     obs = spark.createDataFrame([(1, 5, 2, 0.9), (1, 6, 3, 0.9), (1, 7, 4, 0.9), (2, 5, 2, 0.9)], "track long, frame long, hits int, p double")
     rows = st.gated_score(obs, ["track"], "frame", "hits", 3, F.col("p"), 0.5, 0.5).collect()
     assert [(r.track, r.hits, r.confirmed) for r in rows] == [(1, 3, True)]
+
+
+def test_confidence_policy_can_be_replaced(spark):
+    obs = spark.createDataFrame([(1, 6, 3, 0.9)], "track long, frame long, hits int, p double")
+    rows = st.gated_score(obs, ["track"], "frame", "hits", 3, F.col("p"), 0.5, 0.5, policy=lambda p, h, n: p * 0.5).collect()
+    assert rows[0].confidence == pytest.approx(0.45) and not rows[0].confirmed
+
+
+def timed_stream(spark, df, path, run, want, seconds=40):
+    """A stream whose state uses clock timers never finishes by itself: wait for ``want`` rows, then stop it."""
+    df.coalesce(1).write.parquet(f"{path}/in")
+    src = spark.readStream.schema(df.schema).parquet(f"{path}/in")
+    out = run(src)
+    q = (
+        out.writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").option("path", f"{path}/out")
+        .outputMode("append").trigger(processingTime="500 milliseconds").start()
+    )
+    try:
+        end = time.time() + seconds
+        while time.time() < end and q.exception() is None:
+            time.sleep(1)
+            if os.path.isdir(f"{path}/out/_spark_metadata"):
+                rows = spark.read.schema(out.schema).parquet(f"{path}/out").collect()
+                if len(rows) >= want:
+                    return rows
+    finally:
+        q.stop()
+    raise AssertionError(f"the stream did not give {want} rows in time")
+
+
+def test_reassembly_stream(spark, tmp_path):
+    from test_sources import PACKET, packets
+
+    payload = bytes(range(13)) * 7
+    whole = packets(payload)
+    gap = [{**r, "frame_id": 2} for r in packets(payload) if r["chunk_index"] != 1]
+    bad = [{**r, "frame_id": 3} for r in packets(payload)]
+    bad[1] = {**bad[1], "qnn_us": 9}
+    rows = [*whole, whole[0], *gap, *bad]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, PACKET)
+    got = timed_stream(spark, df, str(tmp_path), lambda s: st.reassemble_stream(s, ["frame_id", "roi_id"], 13, 39, 1500), 3)
+    assert {r.frame_id: r.state for r in got} == {1: "complete", 2: "timeout", 3: "inconsistent_header"}
+    assert bytes(next(r.payload for r in got if r.frame_id == 1)) == payload
