@@ -31,15 +31,19 @@ def filter_sweep(det: DataFrame, gt: DataFrame, keep: list[Column], threshold: f
     rows = det.join(named, [*keys, "det_idx"], "left")
     flags = {f"k{i}": c for i, c in enumerate(keep)}
     rows = rows.select(*keys, "named", *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in flags.items()])
-    truths = rows.filter("named is not null").groupBy(*keys, "named").agg(*[F.max(n).alias(n) for n in flags])
-
-    def stacked(df, name):
-        sums = df.groupBy("class_id").agg(*[F.sum(n).alias(n) for n in flags])
-        return sums.select("class_id", F.posexplode(F.array(*flags)).alias("grid_id", name))
-
-    tp, nd = stacked(truths, "tp"), stacked(rows, "nd")
+    # One pass: per truth (or per group, for detections that name none) whether and how many detections each setting keeps.
+    cells = rows.groupBy(*keys, "named").agg(
+        *[F.max(n).alias(f"any_{n}") for n in flags], *[F.sum(n).alias(f"all_{n}") for n in flags]
+    )
+    held = F.col("named").isNotNull()
+    sums = cells.groupBy("class_id").agg(
+        *[F.coalesce(F.sum(F.when(held, F.col(f"any_{n}"))), F.lit(0)).alias(f"any_{n}") for n in flags],
+        *[F.sum(f"all_{n}").alias(f"all_{n}") for n in flags],
+    )
+    pairs = F.array(*[F.struct(F.col(f"any_{n}").alias("tp"), F.col(f"all_{n}").alias("nd")) for n in flags])
+    found = sums.select("class_id", F.posexplode(pairs).alias("grid_id", "c")).select("class_id", "grid_id", "c.*")
     ng = with_grid(gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("ng")), [{} for _ in keep])
-    out = ng.join(nd, ["class_id", "grid_id"], "left").join(tp, ["class_id", "grid_id"], "left").fillna(0, ["nd", "tp"])
+    out = ng.join(found, ["class_id", "grid_id"], "left").fillna(0, ["nd", "tp"])
     return out.select(
         "grid_id", "class_id", "tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn")
     )

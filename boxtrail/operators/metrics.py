@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.operators import ordered
 from boxtrail.operators.grid import with_grid, with_row
+from boxtrail.session import materialize
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -84,8 +85,9 @@ def pr_curve(det: DataFrame, gt: DataFrame, matches: DataFrame, by: str = "class
         matches.select("image_id", by, "det_idx", F.lit(1).alias("hit")), ["image_id", by, "det_idx"], "left"
     )
     flags = flags.withColumns({"hit": F.coalesce("hit", F.lit(0)), "neg": -F.col("confidence")})
+    # The join is written once; sizing, sampling and sorting then read the narrow result.
     cum = ordered.running(
-        flags, [by], ["neg", "image_id", "det_idx"], {"ctp": F.col("hit"), "seen": F.lit(1).cast("long")}
+        materialize(flags), [by], ["neg", "image_id", "det_idx"], {"ctp": F.col("hit"), "seen": F.lit(1).cast("long")}
     )
     totals = gt.groupBy(by).agg(F.count(F.lit(1)).alias("n_gt"))
     return cum.join(F.broadcast(totals), by).select(

@@ -115,6 +115,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     Equal values are collapsed before the sort, so a value held by a third of the rows is one row here.
     """
     counts = df.filter(value.isNotNull()).groupBy(*keys, value.alias("value")).agg(F.count(F.lit(1)).alias("ties"))
+    counts = materialize(counts)  # read by the sampling, the sort and the totals
     cum = running(counts, keys, ["value"], {"upto": F.col("ties")})
     totals = counts.groupBy(*keys).agg(F.sum("ties").alias("n"))
     joined = cum.join(totals, keys) if keys else with_row(cum, totals)

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 # Rows of one key that a single task may fold (array in memory) or window (sorted, spillable).
 FOLD_ROWS = "boxtrail.hot.foldRows"
 WINDOW_ROWS = "boxtrail.hot.windowRows"
-DEFAULTS = {FOLD_ROWS: "4096", WINDOW_ROWS: "2000000"}
+DEFAULTS = {FOLD_ROWS: "4096", WINDOW_ROWS: "200000"}
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
