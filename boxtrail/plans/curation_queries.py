@@ -253,15 +253,32 @@ def jn8(spark, sf):
     return gd.guarded_accept(det, pts, 0.5, 0.9, 28, 2, 12).select("image_id", "det_idx", "state")
 
 
-@query("ag7_guard_grid_search")
+GUARD_GRID = [(lo, r) for lo in (0.5, 0.6, 0.7) for r in (20, 32, 44)]
+
+
+@query(
+    "ag7_guard_grid_search",
+    matched(0.5).rstrip()
+    + ",\n"
+    + GUARD
+    + ",st as (select * from (values "
+    + ",".join(f"({i},{lo:e},{r})" for i, (lo, r) in enumerate(GUARD_GRID))
+    + f""") v(grid_id,lo,need)),
+nm as (select image_id,det_idx,gt_idx from b1 where r=1 and class_id=0),
+kp as (select st.grid_id,ce.image_id,nm.gt_idx from ce cross join st left join hit h on ce.image_id=h.image_id and ce.det_idx=h.det_idx and h.r=1
+ left join nm on nm.image_id=ce.image_id and nm.det_idx=ce.det_idx where ce.confidence>=9e-1 or (ce.confidence>=lo and h.response>=need)),
+ct as (select grid_id,count(*) as nd,count(distinct case when gt_idx is not null then (image_id,gt_idx) end) as tp,(select count(*) from fx_gt where class_id=0) as ng from kp group by 1),
+q as (select grid_id,tp,nd-tp as fp,ng-tp as fn,2e0*tp/(nd+ng) as f,tp*1e0/nd as p,tp*1e0/ng as r from ct),
+g as (select *,case when p>=7e-1 then f else f*p/7e-1 end as gf from q)
+select cast(grid_id as int) as grid_id,{big('tp', 'fp', 'fn')},{prf()},round(gf,6) as guarded_f1 from g order by round(gf,12) desc,round(r,12) desc,round(p,12) desc,grid_id limit 1""",
+)
 def ag7(spark, sf):
     """Guarded F1 over low-confidence and response settings; support is found once, then every setting is a filter."""
     det, pts, truth = guard_inputs(spark, sf)
     strong = gd.local_support(det, pts, 2, ["image_id"])
     rows = det.join(strong, ["image_id", "det_idx"], "left")
-    settings = [(lo, r) for lo in (0.5, 0.6, 0.7) for r in (20, 32, 44)]
     keep = [
-        (F.col("confidence") >= 0.9) | ((F.col("confidence") >= lo) & (F.col("response") >= r)) for lo, r in settings
+        (F.col("confidence") >= 0.9) | ((F.col("confidence") >= lo) & (F.col("response") >= r)) for lo, r in GUARD_GRID
     ]
     counts = cal.overall(cal.filter_sweep(rows, truth.filter("class_id = 0"), keep))
     out = cal.guard_policy(counts)

@@ -385,7 +385,26 @@ def jn17_owned(spark, sf):
     return r6(out, "x1", "y1", "x2", "y2")
 
 
-@query("jn17_merge_tiles")
+def merged_sql() -> str:
+    owned = tile_sql().replace("round(", "(").replace(",6)", ")").replace("d.class_id,", "d.class_id,d.confidence,")
+    head, body = owned.rsplit("\nselect t.source_id", 1)
+    return (
+        head
+        + ",\now as (select t.source_id"
+        + body
+        + f"""),
+e as (select *,row_number() over (partition by source_id,class_id order by confidence desc,image_id,det_idx) as rk from ow),
+s(source_id,class_id,rk,kept,ok) as (
+ select source_id,class_id,rk,[{{'x1':x1,'y1':y1,'x2':x2,'y2':y2}}],true from e where rk=1
+ union all
+ select e.source_id,e.class_id,e.rk,case when len(list_filter(s.kept,lambda k: {iou('k', 'e')}>5e-1))=0 then list_append(s.kept,{{'x1':e.x1,'y1':e.y1,'x2':e.x2,'y2':e.y2}}) else s.kept end,
+  len(list_filter(s.kept,lambda k: {iou('k', 'e')}>5e-1))=0 from s join e on s.source_id=e.source_id and s.class_id=e.class_id and e.rk=s.rk+1)
+select e.source_id,e.class_id,e.image_id,e.det_idx,round(e.confidence,6) as confidence,round(e.x1,6) as x1,round(e.y1,6) as y1,round(e.x2,6) as x2,round(e.y2,6) as y2
+ from s join e on s.source_id=e.source_id and s.class_id=e.class_id and s.rk=e.rk where s.ok"""
+    )
+
+
+@query("jn17_merge_tiles", merged_sql())
 def jn17(spark, sf):
     from boxtrail.operators.tiles import merge_tiles
 

@@ -226,7 +226,32 @@ def so12(spark, sf):
     return sp.grouped_split(groups, "group_id", ["cells", "droplets"], 60, 7)
 
 
-@query("so12_grouped_split_weighted")
+def trial_sql(groups: str, trials: int, seed: int, train: str, valid: str, error: str, ok: str) -> str:
+    """The trial search in SQL: ``error`` and ``ok`` are written over a split's sums c (size), d (positives), b."""
+    return f"""with gp as ({groups}),
+tt as (select count(*) as n,sum(c) as tc,sum(d) as td,sum(b) as tb from gp),
+tr as (select t.k as trial,gp.*,row_number() over (partition by t.k order by md5(concat('{seed}:',t.k,':',group_id)),group_id) as p from gp cross join (select unnest(range(0,{trials})) as k) t),
+sp as (select trial,group_id,c,d,b,case when p<={train} then 'train' when p<={train}+{valid} then 'valid' else 'test' end as split from tr,tt),
+ag as (select trial,split,sum(c) as c,sum(d) as d,sum(b) as b,case split when 'train' then 7e-1 else 15e-2 end as q from sp group by 1,2),
+sc as (select trial,sum({error}) as score from ag,tt group by 1 having bool_and({ok}) and count(*)=3),
+bt as (select arg_min(trial,(round(score,12),trial)) as trial from sc)
+select group_id,split from sp join bt using (trial)"""
+
+
+def _square(value: str, total: str) -> str:
+    return f"power(({value}-{total}*q)/greatest({total}*q,1e0),2)"
+
+
+VALID, HALF = "greatest(1,round_even(n*15e-2,0))", "round_even(n*15e-2,0)"
+
+
+@query(
+    "so12_grouped_split_weighted",
+    trial_sql(
+        "select d.doc_id%40 as group_id,count(*) as c,count(*) filter (quality=1) as d,count(*) filter (quality=0) as b from documents d join labels l on d.doc_id=l.doc_id group by 1",
+        60, 7, f"(n-{VALID}-{VALID})", VALID, f"{_square('c', 'tc')}+4e0*{_square('d', 'td')}+{_square('b', 'tb')}", "d>0",
+    ),
+)
 def so12w(spark, sf):
     """Weighted 1/4/1 variant that needs positives in every split."""
     d = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id")
@@ -242,7 +267,13 @@ def so12w(spark, sf):
     )
 
 
-@query("so12_grouped_split_rate")
+@query(
+    "so12_grouped_split_rate",
+    trial_sql(
+        "select doc_id%40 as group_id,count(*) as c,count(*) filter (quality=1) as d,0 as b from labels group by 1",
+        120, 42, "round_even(n*7e-1,0)", HALF, "abs(c*1e0/tc-q)+8e-1*abs(d*1e0/c-td*1e0/tc)", "d>0 and d<c",
+    ),
+)
 def so12r(spark, sf):
     """Absolute size error plus 0.8 rate error; both classes must be in every split."""
     d = fx.table(spark, sf, "labels").select((F.col("doc_id") % 40).alias("group_id"), "quality")

@@ -105,14 +105,48 @@ def _two_sources(spark, sf):
     return c.filter("event_type = 'click'").select(*pick), c.filter("event_type = 'purchase'").select(*pick)
 
 
-@query("jn15_consensus")
+FUSED = """cr as (select source_id,event_type,cast(event_id%2 as int) as class_id,event_id,frame_index,cast(event_id%23 as double) as center_y,
+ 5e-1+cast(event_id%50 as double)/1e2 as confidence from fx_timed),
+a as (select *,frame_index+3 as cur,(frame_index+3)*2 as arr from cr where event_type='click'),
+b as (select *,frame_index as cur,frame_index*2+1 as arr from cr where event_type='purchase'),
+p0 as (select a.source_id,a.class_id,a.event_id as ue,b.event_id as de,a.frame_index as uf,b.frame_index as df,b.frame_index-a.frame_index as delay,
+ abs(b.center_y-a.center_y) as cd,greatest(a.arr,b.arr) as step,greatest(a.cur,b.cur) as now_f,a.arr as ua,b.arr as da,a.confidence as ca,b.confidence as cb
+ from a join b on a.source_id=b.source_id and a.class_id=b.class_id and b.frame_index-a.frame_index between 1 and 15 and abs(b.center_y-a.center_y)<=14e0),
+p1 as (select *,58e-2*(abs(delay-6e0)/14e0)+42e-2*(cd/14e0)-15e-2*(5e-1*(ca+cb)) as cost from p0 where uf>=now_f-15 and df>=now_f-30),
+e as (select *,row_number() over (partition by source_id,class_id order by step,cost,ua,ue,da,de) as rk from p1),
+s(source_id,class_id,rk,us,ds,ok) as (
+ select source_id,class_id,rk,[ue],[de],true from e where rk=1
+ union all
+ select e.source_id,e.class_id,e.rk,case when list_contains(s.us,e.ue) or list_contains(s.ds,e.de) then s.us else list_append(s.us,e.ue) end,
+  case when list_contains(s.us,e.ue) or list_contains(s.ds,e.de) then s.ds else list_append(s.ds,e.de) end,
+  not (list_contains(s.us,e.ue) or list_contains(s.ds,e.de)) from s join e on s.source_id=e.source_id and s.class_id=e.class_id and e.rk=s.rk+1),
+f as (select e.*,row_number() over (partition by e.source_id,e.class_id order by e.rk) as n from s join e on s.source_id=e.source_id and s.class_id=e.class_id and s.rk=e.rk where s.ok)"""
+
+
+@query(
+    "jn15_consensus",
+    fx.ctes("fx_timed").rstrip()
+    + ",\n"
+    + FUSED
+    + """ select source_id,class_id,step,ue as first_id,de as second_id,uf as first_frame,df as second_frame,delay as delay_frames,round(cd,6) as cross_axis_distance,
+ round(sqrt(ca*cb),6) as fused_confidence,n as cumulative_count from f""",
+)
 def jn15(spark, sf):
     a, b = _two_sources(spark, sf)
     out = assoc.consensus(a, b, ["source_id", "class_id"], 1, 15, 6.0, 14.0)
     return r6(out, "cross_axis_distance", "fused_confidence")
 
 
-@query("jn15_consensus_leftovers")
+@query(
+    "jn15_consensus_leftovers",
+    fx.ctes("fx_timed").rstrip()
+    + ",\n"
+    + FUSED
+    + """,mx as (select source_id,class_id,max(cur) as m from (select source_id,class_id,cur from a union all select source_id,class_id,cur from b) z group by 1,2),
+l as (select 'first' as side,a.source_id,a.class_id,a.frame_index<mx.m-15 as gone from a join mx using (source_id,class_id) where not exists (select 1 from f where f.source_id=a.source_id and f.class_id=a.class_id and f.ue=a.event_id)
+ union all select 'second',b.source_id,b.class_id,b.frame_index<mx.m-30 from b join mx using (source_id,class_id) where not exists (select 1 from f where f.source_id=b.source_id and f.class_id=b.class_id and f.de=b.event_id))
+select side,source_id,class_id,count(*) filter (gone) as rejected,count(*) filter (not gone) as pending from l group by 1,2,3""",
+)
 def jn15l(spark, sf):
     a, b = _two_sources(spark, sf)
     keys = ["source_id", "class_id"]
@@ -138,11 +172,26 @@ def st4(spark, sf):
     )
 
 
-@query("st5_consensus_stream")
+@query(
+    "st5_consensus_stream",
+    fx.ctes("fx_timed").rstrip()
+    + ",\n"
+    + FUSED
+    + " select source_id,class_id,ue as first_id,de as second_id,delay as delay_frames,round(sqrt(ca*cb),6) as fused_confidence from f",
+)
 def st5(spark, sf):
+    """The streaming consensus replayed over the table; its fused rows must agree with the set-based form."""
     rows = tagged(spark, sf).withColumnRenamed("frame_index", "event_frame")
-    out = tr.consensus_stream(rows, ["source_id", "class_id"], PAIR).drop("_seg", "_seq")
-    return r6(out, "cross_axis_distance", "fused_confidence")
+    out = tr.consensus_stream(rows, ["source_id", "class_id"], PAIR).filter("state = 'fused'")
+    cols = ["source_id", "class_id", "first_id", "second_id", "delay_frames", "fused_confidence"]
+    return r6(out.select(*cols), "fused_confidence")
+
+
+@query("st5_consensus_rejections")
+def st5r(spark, sf):
+    rows = tagged(spark, sf).withColumnRenamed("frame_index", "event_frame")
+    out = tr.consensus_stream(rows, ["source_id", "class_id"], PAIR).filter("state = 'rejected'")
+    return out.select("source_id", "class_id", "frame_index", "first_id", "second_id")
 
 
 @query("st6_consensus_counter")
@@ -208,7 +257,19 @@ def st9(spark, sf):
     return r6(rows, "x", "y", "mean_score", "max_score", "confidence")
 
 
-@query("st10_sequence_filter")
+SEQUENCE = """r as (select source_id,frame_index,(x1+x2)/2+event_id%5 as x,(y1+y2)/2 as y,row_number() over (partition by source_id order by frame_index) as rk from fx_stream),
+s(source_id,rk,frame_index,x,y,v,track_id,is_new,raw) as (
+ select source_id,rk,frame_index,cast(x as double),y,0e0,cast(1 as bigint),true,y from r where rk=1
+ union all
+ select r.source_id,r.rk,r.frame_index,case when r.frame_index-s.frame_index>3 or r.y-s.raw>4 then r.x else 75e-2*r.x+25e-2*s.x end,
+  case when r.frame_index-s.frame_index>3 or r.y-s.raw>4 then r.y else 75e-2*r.y+25e-2*(s.y+s.v*(r.frame_index-s.frame_index)) end,
+  case when r.frame_index-s.frame_index>3 or r.y-s.raw>4 then 0e0 else 65e-2*s.v+35e-2*((75e-2*r.y+25e-2*(s.y+s.v*(r.frame_index-s.frame_index))-s.y)/(r.frame_index-s.frame_index)) end,
+  case when r.frame_index-s.frame_index>3 or r.y-s.raw>4 then s.track_id+1 else s.track_id end,r.frame_index-s.frame_index>3 or r.y-s.raw>4,r.y
+ from s join r on r.source_id=s.source_id and r.rk=s.rk+1)
+select source_id,frame_index,track_id,round(x,6) as x,round(y,6) as y,round(v,6) as velocity,is_new from s"""
+
+
+@query("st10_sequence_filter", fx.ctes("fx_stream").rstrip() + ",\n" + SEQUENCE)
 def st10(spark, sf):
     rows = points(spark, sf).select("source_id", "frame_index", "x", "y")
     return r6(tr.sequence_filter(rows, ["source_id"], k.SequenceConfig(jump=4.0, max_missing=3)), "x", "y", "velocity")

@@ -678,7 +678,7 @@ class Consensus(Kernel):
                 if x["class_id"] == y["class_id"] and c.min_delay <= delay <= c.max_delay and cross <= c.max_cross:
                     late = abs(delay - c.nominal) / max(1.0, c.max_delay - c.min_delay)
                     sure = 0.5 * (x["confidence"] + y["confidence"])
-                    pairs.append((0.58 * late + 0.42 * cross / max(1.0, c.max_cross) - 0.15 * sure, i, j))
+                    pairs.append((0.58 * late + 0.42 * (cross / max(1.0, c.max_cross)) - 0.15 * sure, i, j))
                     info[i, j] = (delay, cross)
         links = take_cheapest(pairs)
         out = []
