@@ -194,7 +194,39 @@ def jn7(spark, sf):
     return out.select("image_id", "source", F.col("det_idx").cast("long").alias("det_idx"))
 
 
-@query("jn5_refine_labels_totals")
+FREE = "list_filter(e1.wish,lambda x: not list_contains(s1.used,x))[1]"
+CLEAR = f"len(list_filter(s2.kept,lambda k: {iou('k', 'cd')}>=3e-1))=0"
+REFINE = (
+    fx.ctes("fx_gt", "fx_det").rstrip()
+    + ",\n"
+    + pairs(0.5)
+    + f""",
+w as (select image_id,class_id,gt_idx,list(det_idx order by iou desc,det_idx desc) as wish from pairs group by 1,2,3),
+e1 as (select *,row_number() over (partition by image_id,class_id order by gt_idx) as rk from w),
+s1(image_id,class_id,rk,used,gt_idx,det_idx) as (
+ select image_id,class_id,rk,[wish[1]],gt_idx,wish[1] from e1 where rk=1
+ union all
+ select e1.image_id,e1.class_id,e1.rk,case when {FREE} is null then s1.used else list_append(s1.used,{FREE}) end,e1.gt_idx,{FREE}
+ from s1 join e1 on e1.image_id=s1.image_id and e1.class_id=s1.class_id and e1.rk=s1.rk+1),
+ln as (select s1.image_id,s1.class_id,s1.gt_idx,s1.det_idx,p.iou from s1 join pairs p on p.image_id=s1.image_id and p.class_id=s1.class_id and p.gt_idx=s1.gt_idx and p.det_idx=s1.det_idx),
+rf as (select g.image_id,g.class_id,ln.iou,"""
+    + ",".join(f"case when ln.det_idx is null then g.{c} else 5e-1*g.{c}+5e-1*d.{c} end as {c}" for c in ("x1", "y1", "x2", "y2"))
+    + f""" from fx_gt g left join ln on ln.image_id=g.image_id and ln.class_id=g.class_id and ln.gt_idx=g.gt_idx
+ left join fx_det d on d.image_id=ln.image_id and d.class_id=ln.class_id and d.det_idx=ln.det_idx),
+cd as (select d.*,row_number() over (partition by image_id,class_id order by confidence desc,det_idx) as rk from fx_det d
+ where confidence>=case when class_id=0 then 7e-1 else 75e-2 end and not exists (select 1 from ln where ln.image_id=d.image_id and ln.class_id=d.class_id and ln.det_idx=d.det_idx)),
+s2(image_id,class_id,rk,kept,ok) as (
+ select image_id,class_id,cast(0 as bigint),list({{'x1':x1,'y1':y1,'x2':x2,'y2':y2}}),false from rf group by 1,2
+ union all
+ select cd.image_id,cd.class_id,cd.rk,case when {CLEAR} then list_append(s2.kept,{{'x1':cd.x1,'y1':cd.y1,'x2':cd.x2,'y2':cd.y2}}) else s2.kept end,{CLEAR}
+ from s2 join cd on cd.image_id=s2.image_id and cd.class_id=s2.class_id and cd.rk=s2.rk+1),
+t as (select (select count(distinct image_id) from fx_gt) as images,(select count(*) from rf) as ground_truth,(select count(*) from ln) as matched,
+ (select count(*) from s2 where ok) as added,(select avg(iou) from ln) as mi)
+select images,ground_truth,matched,added,ground_truth+added as output,round(mi,6) as mean_match_iou from t"""
+)
+
+
+@query("jn5_refine_labels_totals", REFINE)
 def jn5(spark, sf):
     """Totals over all images of teacher refinement with blend one half."""
     d, t = both(spark, sf)

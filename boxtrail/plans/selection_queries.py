@@ -32,7 +32,28 @@ def so3(spark, sf):
     return out.select("source_id", "frame_index")
 
 
-@query("so3_fill_representative")
+OPEN = "list_filter(q.fr,lambda f: len(list_filter(q.used,lambda u: abs(u-f)<8))=0)"
+NEAREST = f"list_sort(list_transform({OPEN},lambda f: {{'d':abs(f-(q.lo+q.i*((q.hi-q.lo)/greatest(q.need-1,1)))),'f':f}}))[1].f"
+FILL = (
+    TIMED.rstrip()
+    + """,
+e as (select *,row_number() over (partition by source_id order by value desc,frame_index) rk from fx_timed),
+s(source_id,rk,kept) as (
+ select source_id,rk,[frame_index] from e where rk=1
+ union all
+ select e.source_id,e.rk,case when len(s.kept)<3 and len(list_filter(s.kept,lambda k: abs(k-e.frame_index)<8))=0 then list_append(s.kept,e.frame_index) else s.kept end
+ from s join e on s.source_id=e.source_id and e.rk=s.rk+1),
+h as (select source_id,arg_max(kept,rk) as used from s group by 1),
+b as (select source_id,list(frame_index order by frame_index) as fr,cast(min(frame_index) as double) as lo,cast(max(frame_index) as double) as hi from fx_timed group by 1),
+q(source_id,i,used,fr,lo,hi,need,pick) as (
+ select source_id,0,used,fr,lo,hi,6-len(used),cast(null as bigint) from h join b using (source_id)
+ union all
+ select source_id,i+1,case when {N} is null then used else list_append(used,{N}) end,fr,lo,hi,need,{N} from q where i<need)
+select source_id,pick as frame_index from q where pick is not null""".replace("{N}", NEAREST)
+)
+
+
+@query("so3_fill_representative", FILL)
 def so3_fill(spark, sf):
     f = fx.timed(spark, sf)
     hard = sel.select_with_gap(f, ["source_id"], "frame_index", "value", 3, 8)
