@@ -26,9 +26,15 @@ def bodies(spark, sf, digits=6):
     return lb.label_bodies(fx.gt(spark, sf), "image_id", ["gt_idx"], digits)
 
 
-@query("sc7_label_bodies")
+@query(
+    "sc7_label_bodies",
+    GT
+    + "select image_id,string_agg(printf('%d %.8f %.8f %.8f %.8f',class_id,"
+    + ",".join(CENTER.values())
+    + "),chr(10) order by gt_idx) as body from fx_gt group by 1",
+)
 def sc7(spark, sf):
-    return bodies(spark, sf)
+    return bodies(spark, sf, 8)
 
 
 @query(

@@ -8,7 +8,8 @@ from boxtrail.operators import association as assoc, windows as wn
 from boxtrail.operators.motion import estimate_velocity
 from boxtrail.plans import fixtures as fx
 from boxtrail.plans.matching_queries import r6
-from boxtrail.plans.registry import query
+from boxtrail.plans.registry import ORACLES, query
+from boxtrail.plans.sqltext import iou
 from boxtrail.streaming import kernels as k, streams as st, trackers as tr
 
 LINE = k.LineConfig(
@@ -225,7 +226,41 @@ def st7(spark, sf):
     return tr.refractory(peaks, ["source_id"], "frame_index", 7).select("source_id", "frame_index")
 
 
-@query("st7_two_hit")
+# The feed has one row per source and frame, so a frame links one row to the nearest live track. The SQL keeps the live
+# tracks of a source in a list and walks its rows in order.
+LIVE = "list_filter(s.tr,lambda t: r.frame_index-1-t.seen<={missed})"
+
+
+def walk_sql(rows: str, keys: list[str], missed: int, cost: str, within: str, fresh: str, updated: str) -> str:
+    """``cost``/``within`` over a live track t and the row r; ``fresh``/``updated`` are the new track structs."""
+    live = LIVE.replace("{missed}", str(missed))
+    pick = f"list_sort(list_transform(list_filter({live},lambda t: {within}),lambda t: {{'c':{cost},'id':t.id}}))[1].id"
+    on = " and ".join(f"r.{k}=s.{k}" for k in keys)
+    cols, rcols = ",".join(keys), ",".join(f"r.{k}" for k in keys)
+    first = fresh.replace("{new}", "cast(1 as bigint)")
+    other = fresh.replace("{new}", "s.n+1")
+    return f"""r as ({rows}),
+s({cols},rk,tr,n,hit) as (
+ select {cols},rk,[{first}],cast(1 as bigint),cast(1 as bigint) from r where rk=1
+ union all
+ select {rcols},r.rk,case when {pick} is null then list_append({live},{other}) else list_transform({live},lambda t: case when t.id={pick} then {updated} else t end) end,
+  case when {pick} is null then s.n+1 else s.n end,coalesce({pick},s.n+1)
+ from s join r on {on} and r.rk=s.rk+1),
+o as (select {",".join(f"s.{k}" for k in keys)},r.frame_index,r.det_idx,list_filter(s.tr,lambda t: t.id=s.hit)[1] as t from s join r on {on} and r.rk=s.rk)"""
+
+
+TWO_HIT = walk_sql(
+    "select source_id,frame_index,event_id as det_idx,y1 as y,confidence as score,row_number() over (partition by source_id order by frame_index) as rk from fx_stream",
+    ["source_id"], 1, "abs(t.y-r.y)", "abs(t.y-r.y)<=3e0",
+    "{'id':{new},'y':r.y,'hits':1,'best':r.score,'seen':r.frame_index}",
+    "{'id':t.id,'y':r.y,'hits':t.hits+1,'best':greatest(t.best,r.score),'seen':r.frame_index}",
+)
+
+
+@query(
+    "st7_two_hit",
+    fx.ctes("fx_stream").rstrip() + ",\n" + TWO_HIT + " select source_id,frame_index,t.id as track_id,round(t.y,6) as y,round(t.best,6) as score from o where t.hits=2",
+)
 def st7t(spark, sf):
     rows = detections(spark, sf).select("source_id", "frame_index", "det_idx", F.col("y1").alias("y"), F.col("confidence").alias("score"))
     return r6(tr.two_hit(rows, ["source_id"], k.TwoHitConfig(max_motion=3.0, max_missed=1)), "y", "score")
@@ -243,18 +278,51 @@ def points(spark, sf):
     )
 
 
-@query("st8_track_candidates")
+POINT_ROWS = """select source_id,frame_index//12 as sequence_id,frame_index,event_id as det_idx,cast((x1+x2)/2+event_id%5 as double) as x,(y1+y2)/2 as y,confidence as score,
+ row_number() over (partition by source_id,frame_index//12 order by frame_index) as rk from fx_stream"""
+AWAY = "sqrt((t.x-r.x)*(t.x-r.x)+(t.y-r.y)*(t.y-r.y))"
+
+
+def points_sql(reach: str, smooth: str, rest: str) -> str:
+    return walk_sql(
+        POINT_ROWS, ["source_id", "sequence_id"], 2, AWAY, f"{AWAY}<={reach}",
+        "{'id':{new},'x':r.x,'y':r.y,'first':r.frame_index,'seen':r.frame_index,'hits':1,'total':r.score,'top':r.score,'best':r.frame_index}",
+        f"{{'id':t.id,'x':{smooth}*r.x+{rest}*t.x,'y':{smooth}*r.y+{rest}*t.y,'first':t.first,'seen':r.frame_index,'hits':t.hits+1,'total':t.total+r.score,"
+        "'top':greatest(t.top,r.score),'best':case when r.score>t.top then r.frame_index else t.best end}",
+    )
+
+
+TRACK_COLS = """t.id as track_id,round(t.x,6) as x,round(t.y,6) as y,t.first as first_frame,t.seen as last_frame,cast(t.hits as int) as hits,round(t.total/t.hits,6) as mean_score,
+ round(t.top,6) as max_score,t.best as best_frame,round(least(1e0,greatest(0e0,65e-2*(t.total/t.hits)+35e-2*least(t.hits/4e0,1e0))),9) as confidence,
+ t.hits>=3 and least(1e0,greatest(0e0,65e-2*(t.total/t.hits)+35e-2*least(t.hits/4e0,1e0)))>={gate} as confirmed"""
+
+
+@query(
+    "st8_track_candidates",
+    fx.ctes("fx_stream").rstrip()
+    + ",\n"
+    + points_sql("14e0", "1e0", "0e0")
+    + ",z as (select *,row_number() over (partition by source_id,sequence_id,t.id order by frame_index desc) as k from o) select source_id,sequence_id,"
+    + TRACK_COLS.replace("{gate}", "5e-1")
+    + " from z where k=1",
+)
 def st8(spark, sf):
     rows = tr.track_points(points(spark, sf), ["source_id", "sequence_id"], k.PointConfig(max_distance=14.0, max_missed=2))
     rows = rows.filter("kind = 'track'").drop("kind", "det_idx", "frame_index")
-    return r6(rows, "x", "y", "mean_score", "max_score", "confidence")
+    return r6(rows, "x", "y", "mean_score", "max_score").withColumn("confidence", F.round("confidence", 9))
 
 
-@query("st9_track_particles")
+SMOOTH = fx.ctes("fx_stream").rstrip() + ",\n" + points_sql("16e0", "7e-1", "(1e0-7e-1)")
+
+
+@query(
+    "st9_track_particles",
+    SMOOTH + " select source_id,sequence_id,frame_index,det_idx," + TRACK_COLS.replace("{gate}", "6e-1") + " from o",
+)
 def st9(spark, sf):
     cfg = k.PointConfig(max_distance=16.0, max_missed=2, smoothing=0.7, min_hits=3, confidence=0.6)
     rows = tr.track_points(points(spark, sf), ["source_id", "sequence_id"], cfg).filter("kind = 'observation'").drop("kind")
-    return r6(rows, "x", "y", "mean_score", "max_score", "confidence")
+    return r6(rows, "x", "y", "mean_score", "max_score").withColumn("confidence", F.round("confidence", 9))
 
 
 SEQUENCE = """r as (select source_id,frame_index,(x1+x2)/2+event_id%5 as x,(y1+y2)/2 as y,row_number() over (partition by source_id order by frame_index) as rk from fx_stream),
@@ -275,7 +343,13 @@ def st10(spark, sf):
     return r6(tr.sequence_filter(rows, ["source_id"], k.SequenceConfig(jump=4.0, max_missing=3)), "x", "y", "velocity")
 
 
-@query("st11_gated_score")
+@query(
+    "st11_gated_score",
+    SMOOTH
+    + """,g as (select source_id,sequence_id,t.id as track_id,cast(t.hits as int) as hits,t.total/t.hits as m from o where t.hits=3)
+select source_id,sequence_id,track_id,hits,round(m,6) as mean_score,round(m,6) as probability,round(least(1e0,greatest(0e0,8e-1*m+2e-1*least(hits/4e0,1e0))),6) as confidence,
+ m>=7e-1 and least(1e0,greatest(0e0,8e-1*m+2e-1*least(hits/4e0,1e0)))>=75e-2 as confirmed from g""",
+)
 def st11(spark, sf):
     cfg = k.PointConfig(max_distance=16.0, max_missed=2, smoothing=0.7, min_hits=3, confidence=0.6)
     obs = tr.track_points(points(spark, sf), ["source_id", "sequence_id"], cfg).filter("kind = 'observation'")
@@ -355,3 +429,22 @@ def jn16(spark, sf):
         "source_id", "frame_index", "det_idx", "confidence", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")
     )
     return r6(estimate_velocity(d, ["source_id"]), "vx", "vy")
+
+
+SHARED = iou("t", "r")
+AHEAD = "sqrt(((r.x1+r.x2)*5e-1-(2*t.x-t.px))*((r.x1+r.x2)*5e-1-(2*t.x-t.px))+((r.y1+r.y2)*5e-1-(2*t.y-t.py))*((r.y1+r.y2)*5e-1-(2*t.y-t.py)))"
+OPT_COST = f"65e-2*{AHEAD}/325e-1+35e-2*(1e0-{SHARED})"
+ORIGIN = "case when (r.x1+r.x2)*5e-1<=155e0-39e-1 then -1 when (r.x1+r.x2)*5e-1>=155e0+39e-1 then 1 else 0 end"
+OPTIMAL = walk_sql(
+    "select source_id,frame_index,event_id as det_idx,class_id,x1,y1,x2,y2,row_number() over (partition by source_id order by frame_index) as rk from fx_stream",
+    ["source_id"], 3, OPT_COST, f"({AHEAD}<=325e-1 or {SHARED}>=5e-2) and {OPT_COST}<1e0",
+    f"{{'id':{{new}},'x':(r.x1+r.x2)*5e-1,'y':(r.y1+r.y2)*5e-1,'px':(r.x1+r.x2)*5e-1,'py':(r.y1+r.y2)*5e-1,'x1':r.x1,'y1':r.y1,'x2':r.x2,'y2':r.y2,'org':{ORIGIN},'hits':1,'seen':r.frame_index,'done':false,'now':false}}",
+    f"{{'id':t.id,'x':(r.x1+r.x2)*5e-1,'y':(r.y1+r.y2)*5e-1,'px':t.x,'py':t.y,'x1':r.x1,'y1':r.y1,'x2':r.x2,'y2':r.y2,'org':case when t.org=0 then {ORIGIN} else t.org end,'hits':t.hits+1,'seen':r.frame_index,"
+    f"'done':t.done or (t.org=-1 and {ORIGIN}=1 and t.hits+1>=2),'now':not t.done and t.org=-1 and {ORIGIN}=1 and t.hits+1>=2}}",
+)
+ORACLES["st3_track_optimal"] = (
+    fx.ctes("fx_stream").rstrip()
+    + ",\n"
+    + OPTIMAL
+    + " select o.source_id,o.frame_index,o.det_idx,t.id as track_id,f.class_id,round(t.x,6) as center_x,round(t.y,6) as center_y,t.now as crossed from o join fx_stream f on f.event_id=o.det_idx"
+)
