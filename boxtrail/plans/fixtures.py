@@ -100,6 +100,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wall_micros(ts):
+    """Microseconds of a timestamp as it is written, whatever the session's time zone is."""
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+
+
 def _from(spark: SparkSession, sql: str, **inputs: DataFrame) -> DataFrame:
     for name in inputs:
         sql = sql.replace(f"from {name}", f"from {{{name}}}")

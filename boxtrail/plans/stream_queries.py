@@ -393,7 +393,7 @@ def st14(spark, sf):
         F.col("user_id").alias("src"), F.col("ts").cast("timestamp").alias("ts"), F.round("value").cast("int").alias("size")
     )
     out = st.burst_sessions(e, ["src"], "6 hours")
-    return out.select("src", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "bytes", "packets")
+    return out.select("src", fx.wall_micros(F.col("start_ts")).alias("start_us"), fx.wall_micros(F.col("end_ts")).alias("end_us"), "bytes", "packets")
 
 
 @query(
@@ -403,7 +403,7 @@ def st14(spark, sf):
 def st15(spark, sf):
     e = fx.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     out = st.running_counts(e, ["event_type"], "1 hour")
-    return out.select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+    return out.select(fx.wall_micros(F.col("window_start")).alias("window_us"), "event_type", "n")
 
 
 @query("st16_fusion_counts")

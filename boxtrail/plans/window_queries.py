@@ -98,7 +98,7 @@ def wn6(spark, sf):
     e = fx.table(spark, sf, "events")
     p = e.select(
         F.col("user_id").alias("src"),
-        (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("ts"),
+        (fx.wall_micros(F.col("ts")).cast("double") / 1e6).alias("ts"),
         F.col("event_id").alias("seq"),
         F.round("value").cast("int").alias("size"),
     )
