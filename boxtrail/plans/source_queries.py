@@ -324,11 +324,11 @@ def fragments(spark, sf):
     n = F.greatest(F.lit(1), F.ceil(size / limit)).cast("int")
     rows = packed.select(
         F.col("image_id").alias("frame_id"), "payload", size.alias("total_bytes"), n.alias("chunk_count"),
-        (size / 13).cast("int").alias("record_count"), F.lit(1000).alias("qnn_us"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"),
+        (size / 13).cast("int").alias("record_count"), F.lit(1000).alias("infer_us"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"),
     )
     off = F.col("chunk_index") * limit
     rows = rows.select(
-        "frame_id", (F.col("frame_id") % 2).cast("int").alias("roi_id"), "chunk_index", "chunk_count", "total_bytes", off.alias("offset"), "record_count", "qnn_us",
+        "frame_id", (F.col("frame_id") % 2).cast("int").alias("roi_id"), "chunk_index", "chunk_count", "total_bytes", off.alias("offset"), "record_count", "infer_us",
         F.col("payload").substr(off + 1, F.lit(limit)).alias("payload"),
     )
     # Every third result repeats its fragments; every fifth loses its last one.

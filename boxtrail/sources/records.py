@@ -172,7 +172,7 @@ def reassemble(packets: DataFrame, keys: list[str], record_bytes: int = LONG_REC
         | (F.col("offset") != F.col("chunk_index") * max_payload)
         | (size != F.least(F.lit(max_payload), F.col("total_bytes") - F.col("offset")))
     )
-    head = ["total_bytes", "chunk_count", "record_count", "qnn_us"]
+    head = ["total_bytes", "chunk_count", "record_count", "infer_us"]
     cols = [*keys, *head, "chunk_index", "offset", "payload"]
     # Repeats collapse here; what is left of a chunk are its distinct contents.
     once = packets.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_wrong", wrong)
@@ -197,7 +197,7 @@ def reassemble(packets: DataFrame, keys: list[str], record_bytes: int = LONG_REC
         .when(F.col("_have") < F.col("_lo.chunk_count"), "timeout")
         .otherwise("complete")
     )
-    judged = group.select(*keys, state.alias("state"), "_lo.record_count", "_lo.qnn_us")
+    judged = group.select(*keys, state.alias("state"), "_lo.record_count", "_lo.infer_us")
     good = per_chunk.join(judged.filter("state = 'complete'").select(*keys), keys, "left_semi")
     joined = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "_p"))).alias("_c"))
     payload = F.unhex(F.array_join(F.transform("_c", lambda c: F.hex(c["_p"])), ""))

@@ -89,7 +89,7 @@ FRAGMENT = StructType(
         StructField(n, t)
         for n, t in (
             ("total_bytes", IntegerType()), ("chunk_count", IntegerType()), ("record_count", IntegerType()),
-            ("qnn_us", IntegerType()), ("offset", IntegerType()), ("payload", BinaryType()),
+            ("infer_us", IntegerType()), ("offset", IntegerType()), ("payload", BinaryType()),
         )
     ]
 )
@@ -133,7 +133,7 @@ class Reassembler(StatefulProcessor):
 
     def _row(self, key, state: str, f: tuple, payload: bytes | None) -> pd.DataFrame:
         values = [*key, state, f[2], f[3], payload]
-        return pd.DataFrame([values], columns=[*self.keys, "state", "record_count", "qnn_us", "payload"])
+        return pd.DataFrame([values], columns=[*self.keys, "state", "record_count", "infer_us", "payload"])
 
     def _finish(self, key, state: str, f: tuple, payload: bytes | None = None) -> pd.DataFrame:
         self.chunks.clear()
@@ -184,7 +184,7 @@ def reassemble_stream(
     ddl = ", ".join(f"`{k}` {packets.schema[k].dataType.simpleString()}" for k in keys)
     return packets.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Reassembler(keys, record_bytes, max_payload, timeout_ms),
-        outputStructType=f"{ddl}, state string, record_count int, qnn_us int, payload binary",
+        outputStructType=f"{ddl}, state string, record_count int, infer_us int, payload binary",
         outputMode="Append",
         timeMode="ProcessingTime",
     )

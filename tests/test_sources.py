@@ -68,12 +68,12 @@ def packets(payload, limit=39, **change):
     n = max(1, -(-len(payload) // limit))
     rows = []
     for i in range(n):
-        row = dict(frame_id=1, roi_id=0, chunk_index=i, chunk_count=n, total_bytes=len(payload), offset=i * limit, record_count=len(payload) // 13, qnn_us=5, payload=payload[i * limit : (i + 1) * limit])
+        row = dict(frame_id=1, roi_id=0, chunk_index=i, chunk_count=n, total_bytes=len(payload), offset=i * limit, record_count=len(payload) // 13, infer_us=5, payload=payload[i * limit : (i + 1) * limit])
         rows.append(row)
     return rows
 
 
-PACKET = "frame_id int, roi_id int, chunk_index int, chunk_count int, total_bytes int, offset int, record_count int, qnn_us int, payload binary"
+PACKET = "frame_id int, roi_id int, chunk_index int, chunk_count int, total_bytes int, offset int, record_count int, infer_us int, payload binary"
 
 
 @pytest.mark.parametrize("case,state", [("ok", "complete"), ("repeat", "complete"), ("gap", "timeout"), ("conflict", "conflicting_duplicate"), ("mixed", "inconsistent_header"), ("truncated", "invalid_geometry")])
@@ -88,7 +88,7 @@ def test_reassembly(spark, case, state):
     if case == "conflict":
         rows.append({**rows[0], "payload": bytes([255]) + rows[0]["payload"][1:]})
     if case == "mixed":
-        rows[0] = {**rows[0], "qnn_us": 6}
+        rows[0] = {**rows[0], "infer_us": 6}
     if case == "truncated":
         rows[0] = {**rows[0], "payload": rows[0]["payload"][:-1]}
     got = rc.reassemble(spark.createDataFrame(rows, PACKET), ["frame_id", "roi_id"], 13, 39).first()

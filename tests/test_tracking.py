@@ -275,7 +275,7 @@ def test_reassembly_stream(spark, tmp_path):
     whole = packets(payload)
     gap = [{**r, "frame_id": 2} for r in packets(payload) if r["chunk_index"] != 1]
     bad = [{**r, "frame_id": 3} for r in packets(payload)]
-    bad[1] = {**bad[1], "qnn_us": 9}
+    bad[1] = {**bad[1], "infer_us": 9}
     rows = [*whole, whole[0], *gap, *bad]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame(rows, PACKET)
