@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxtrail.llm.bpe import encode_decode
+from boxtrail.llm.brown import brown_scores
 from boxtrail.llm.decontaminate import decontaminate
 from boxtrail.llm.neardup import near_duplicates
 from boxtrail.llm.quality import quality_rules
@@ -112,3 +113,8 @@ def op9(spark, sf_dir):
 @query("op5_near_duplicates")
 def op5(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op4_brown_scores")
+def op4(spark, sf_dir):
+    return brown_scores(table(spark, sf_dir, "documents")).drop("perplexity")
