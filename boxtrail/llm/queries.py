@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxtrail.llm import pii, secrets
 from boxtrail.llm.bpe import encode_decode
 from boxtrail.llm.brown import brown_scores
 from boxtrail.llm.decontaminate import decontaminate
@@ -118,3 +119,27 @@ def op5(spark, sf_dir):
 @query("op4_brown_scores")
 def op4(spark, sf_dir):
     return brown_scores(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
+def span_list(spans):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    named = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(named) - F.size(F.array_remove(named, kind))).cast("long").alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
+@query("op6_pii")
+def op6(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return span_digest(pii.find_pii(documents, pii.train(documents)), pii.KINDS)
+
+
+@query("op10_secrets")
+def op10(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return span_digest(secrets.find_secrets(documents, secrets.train(documents)), secrets.KINDS[:3])
