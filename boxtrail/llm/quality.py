@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxtrail.llm.flat import Words, distinct_per_text, flat_texts, grams, mix, prefix_codes, slices, span_codes, words_of
+from boxtrail.llm.passes import filter_rows
 from boxtrail.session import ship_package
 
 BUCKETS = 1 << 17
@@ -101,6 +102,21 @@ def bucket_weights(counts: DataFrame, buckets: int) -> np.ndarray:
     return np.log(p_good / p_raw)
 
 
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def judge(column: pa.Array, weights: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """Base counts, ``base_failed``, ``score`` and ``kept`` of each text of a slice."""
+    texts = flat_texts(column)
+    words = words_of(texts)
+    out = base_counts(texts, words)
+    doc, bucket = gram_buckets(words, len(weights))
+    out["score"] = np.bincount(doc, weights=weights[bucket], minlength=texts.rows) / np.maximum(1, np.bincount(doc, minlength=texts.rows))
+    out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
+    out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
+    return out
+
+
 def quality_rules(
     documents: DataFrame, trusted_ids: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -111,23 +127,24 @@ def quality_rules(
     """
     ship_package(documents.sparkSession)
     weights = bucket_weights(gram_counts(documents, trusted_ids, text, key, buckets), buckets)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = flat_texts(part.column("text"))
-                words = words_of(texts)
-                base = base_counts(texts, words)
-                doc, bucket = gram_buckets(words, buckets)
-                score = np.bincount(doc, weights=weights[bucket], minlength=texts.rows) / np.maximum(1, np.bincount(doc, minlength=texts.rows))
-                failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))],
-                    names=["key", *names, "base_failed", "score", "kept"],
-                )
+                found = judge(part.column("text"), weights, threshold)
+                columns = [pa.array(found[n].astype(np.int64)) for n in NAMES] + [pa.array(found[n]) for n in ("base_failed", "score", "kept")]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *columns], names=["key", *NAMES, "base_failed", "score", "kept"])
 
     rows = documents.select(documents[key].alias("key"), documents[text].alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, {', '.join(f'{n} long' for n in names)}, base_failed boolean, score double, kept boolean"
+    schema = f"key {kind}, {', '.join(f'{n} long' for n in NAMES)}, base_failed boolean, score double, kept boolean"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def keep_good(
+    documents: DataFrame, trusted_ids: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows that ``quality_rules`` keeps, with all their columns."""
+    ship_package(documents.sparkSession)
+    weights = bucket_weights(gram_counts(documents, trusted_ids, text, key, buckets), buckets)
+    return filter_rows(documents, text, lambda column: pa.array(judge(column, weights, threshold)["kept"]))

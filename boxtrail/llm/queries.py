@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxtrail.llm import pii, secrets
+from boxtrail.llm import licenses, pii, secrets
 from boxtrail.llm.bpe import encode_decode
 from boxtrail.llm.brown import brown_scores
 from boxtrail.llm.decontaminate import decontaminate
+from boxtrail.llm.license_texts import known_texts
 from boxtrail.llm.neardup import near_duplicates
 from boxtrail.llm.quality import quality_rules
 from boxtrail.llm.token_counts import count_tokens
@@ -143,3 +144,27 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return span_digest(secrets.find_secrets(documents, secrets.train(documents)), secrets.KINDS[:3])
+
+
+def license_sql() -> str:
+    plain = "regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
+    for old, new in licenses.SPELLINGS:
+        plain = f"replace({plain}, '{old}', '{new}')"
+    lines = f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{licenses.COPYRIGHT}'))"
+    values = ", ".join(f"('{i}', '{t}')" for i, t in ((i, t.replace("'", "''")) for i, t in known_texts()))
+    return f"""
+WITH known AS (SELECT sha256(array_to_string({lines}, ' ')) AS digest, min(license) AS license FROM (VALUES {values}) AS k(license, text) GROUP BY 1),
+docs AS (SELECT doc_id, {lines} AS lines FROM documents),
+units AS (SELECT doc_id, true AS whole, sha256(array_to_string(lines, ' ')) AS digest FROM docs WHERE len(lines) > 0
+  UNION ALL SELECT doc_id, false, sha256(line) FROM (SELECT doc_id, unnest(lines) AS line FROM docs)),
+found AS (SELECT doc_id, min(license) FILTER (whole) AS text_license, string_agg(DISTINCT license, ',' ORDER BY license) FILTER (NOT whole) AS line_licenses,
+  count(*) FILTER (NOT whole) AS n FROM units JOIN known USING (digest) GROUP BY doc_id)
+SELECT d.doc_id, text_license, coalesce(line_licenses, '') AS line_licenses, coalesce(n, 0)::BIGINT AS n_license_lines
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op8_licenses", license_sql())
+def op8(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
