@@ -1,13 +1,14 @@
 """Near-duplicates by a chosen-path set similarity join over word shingles.
 
-Documents with equal shingle sets form one class. Classes are branched by minwise tokens: each of ``TREES`` independent
-trees puts a class into the node of one minwise token; a node of at most ``NODE`` classes is compared exhaustively, a larger
-one is branched again by further tokens chosen from the node's own hash. Candidates pass a minwise estimate and are then
+Documents with equal shingle sets form one class. Classes are branched by minwise tokens: each independent tree puts a class
+into the node of its first ``PATH`` tokens; a node of at most ``NODE`` classes is compared exhaustively, a larger one is branched
+again by further tokens chosen from the node's own hash. Candidates pass a minwise estimate and are then
 confirmed on the full sets.
 
 Large groups of copies stay linear: in each node every class is first compared with a leader only, the confirmed links are
 contracted to components, and later comparisons look only at classes of different components. A node within one component is
-dropped. What is still mixed and large at ``DEPTH`` is compared, outside its largest component, with the whole node.
+dropped. Where a crowded node has at most ``OUTSIDE`` classes outside its largest component, these are compared with the whole
+node, so its cost stays linear; the others are branched further, and what is still mixed at ``DEPTH`` is compared the same way.
 """
 
 from __future__ import annotations
@@ -23,7 +24,13 @@ from boxtrail.llm.components import components, keep
 from boxtrail.llm.flat import Words, distinct_per_text, flat_texts, grams, mix, slices, words_of
 from boxtrail.session import ship_package
 
-SHINGLE, MINWISE, TREES, BRANCHES, NODE, DEPTH = 5, 64, 16, 2, 64, 6
+SHINGLE, MINWISE, BRANCHES, NODE, DEPTH = 5, 64, 2, 64, 2
+# A pair of similarity s stays together in one of the trees with probability 1 - (1 - s^PATH)^TREES. Longer paths of some trees
+# make small nodes inside large groups of copies; they only add to what the short paths find.
+TREES, PATH, LONG_TREES, LONG_PATH = 20, 3, 10, 9
+FIRST_TREES = 6
+OUTSIDE = 64
+SLICE = 1 << 20
 # A pair at the threshold is lost by the estimate with probability below 1e-8 (six deviations of MINWISE draws).
 DEVIATIONS = 6.0
 KEY_BROADCAST_ROWS = 1_000_000
@@ -59,7 +66,7 @@ def signatures(documents: DataFrame, text: str, key: str, size: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = flat_texts(part.column("text"), lower=True)
                 doc, code = shingle_sets(words_of(texts), texts.rows, size)
                 n, d1, d2 = set_digests(doc, code, texts.rows)
@@ -85,7 +92,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = flat_texts(part.column("text"), lower=True)
                 doc, code = shingle_sets(words_of(texts), texts.rows, size)
                 n, d1, d2 = set_digests(doc, code, texts.rows)
@@ -104,7 +111,6 @@ class PathJoin:
         self.documents, self.classes = documents, classes
         self.text, self.key, self.size, self.percent = text, key, size, percent
         self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
         share = percent / 100
         self.least_equal = int(np.floor(MINWISE * share - DEVIATIONS * np.sqrt(MINWISE * share * (1 - share))))
@@ -123,18 +129,18 @@ class PathJoin:
         sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         return sized.select("a", "b", equal.alias("equal")).where(F.col("equal") >= self.least_equal)
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the pairs that are linked on their full sets, and renew the components."""
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Take the pairs that are linked on their full sets into the components; whether there were any."""
         one = self.sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"))
         two = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"))
         both = F.size(F.array_intersect("ca", "cb"))
         linked = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
         linked = keep(linked.where(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b"), "links")
         if linked.isEmpty():
-            return
+            return False
         old = self.roots.select(F.col("id").alias("a"), F.col("root").alias("b")) if self.roots is not None else None
         self.roots = components(linked if old is None else linked.union(old))
-        self.links = linked if self.links is None else self.links.union(linked)
+        return True
 
     def mixed(self, nodes: DataFrame) -> DataFrame:
         """(node, id, comp, n, leader, own): rows of nodes that hold more than one component."""
@@ -146,31 +152,53 @@ class PathJoin:
         info = keep(info.where("rows > 1 and low < high").select("node", "rows", F.col("lead.id").alias("leader"), F.col("lead.comp").alias("leader_comp")), "node-info")
         return keep(rows.join(info, "node"), "mixed")
 
+    def star(self, nodes: DataFrame) -> DataFrame:
+        """Compare every class with its node's leader, the likeliest leader of each first; the nodes' mixed rows."""
+        rows = self.mixed(nodes)
+        pairs = rows.where("comp <> leader_comp").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = keep(self.likely(pairs), "star")
+        if pairs.isEmpty():
+            return rows
+        self.fetch(pairs)
+        left = pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m")).select("a", "m.b")
+        right = pairs.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b")
+        return rows if not self.confirm(left.unionByName(right).distinct()) else self.mixed(rows.select("node", "id"))
+
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
         """Compare what can be compared in these nodes; the rows of the crowded mixed ones, if any are left."""
-        rows = self.mixed(nodes)
-        if rows.isEmpty():
-            return None
-        star = rows.where("comp <> leader_comp").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), F.col("id").alias("own")).distinct()
-        star = keep(self.likely(star.select("a", "b")).distinct(), "star")
-        if self.sets is None:
-            wanted = self.classes.join(rows.select("id").distinct(), "id").select("id", "key", "n", "d1", "d2")
-            self.sets = keep(full_sets(self.documents, keep(wanted, "wanted"), self.text, self.key, self.size), "sets")
-        best = star.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("b", "m.a")
-        self.confirm(best.unionByName(star.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m")).select("a", "m.b")).distinct())
-        rows = self.mixed(rows.select("node", "id"))
+        rows = self.star(nodes)
         small = rows.where(F.col("rows") <= NODE)
-        self.confirm(keep(self.likely(self.cross(small, small)).distinct(), "pairs"))
+        if self.compare(self.cross(small, small)):
+            rows = self.mixed(rows.where(F.col("rows") > NODE).select("node", "id"))
         crowd = rows.where(F.col("rows") > NODE)
         if crowd.isEmpty():
             return None
-        crowd = self.mixed(crowd.select("node", "id"))
-        if not last:
-            return None if crowd.isEmpty() else crowd
-        sizes = crowd.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"))
-        main = keep(sizes.select("node", F.col("m.comp").alias("main")), "main")
-        self.confirm(keep(self.likely(self.cross(crowd.join(main, "node").where("comp <> main"), crowd)).distinct(), "pairs"))
-        return None
+        sizes = crowd.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
+        main = keep(sizes.select("node", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.k")).alias("outside")), "main")
+        near = crowd.join(main if last else main.where(F.col("outside") <= OUTSIDE), "node").where("comp <> main")
+        self.compare(self.cross(near, crowd))
+        if last:
+            return None
+        rest = keep(crowd.join(main.where(F.col("outside") > OUTSIDE).select("node"), "node").select("node", "id"), "crowd")
+        return None if rest.isEmpty() else rest
+
+    def fetch(self, pairs: DataFrame) -> None:
+        """Make the full sets of the classes in ``pairs`` that are not there yet."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("id"), "id", "left_anti")
+        wanted = keep(self.classes.join(ids, "id").select("id", "key", "n", "d1", "d2"), "wanted")
+        if self.sets is not None and wanted.isEmpty():
+            return
+        new = keep(full_sets(self.documents, wanted, self.text, self.key, self.size), "sets")
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+
+    def compare(self, pairs: DataFrame) -> bool:
+        pairs = keep(self.likely(pairs), "pairs")
+        if pairs.isEmpty():
+            return False
+        self.fetch(pairs)
+        return self.confirm(pairs)
 
     def cross(self, left: DataFrame, right: DataFrame) -> DataFrame:
         one = left.select("node", F.col("id").alias("x"), F.col("comp").alias("cx"))
@@ -178,9 +206,15 @@ class PathJoin:
         pairs = one.join(two, "node").where("x <> y and cx <> cy")
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    def nodes(self, trees: int, long_trees: int) -> DataFrame:
+        """(node, id): the node of each class in the first trees, at the end of their short and long paths."""
+        ends = [(t, PATH) for t in range(trees)] + [(t, LONG_PATH) for t in range(long_trees)]
+        paths = [F.xxhash64(F.lit(t), F.lit(size), *(F.get("mh", F.lit((PATH * t + k) % MINWISE)) for k in range(size))) for t, size in ends]
+        return self.classes.select("id", F.explode(F.array(*paths)).alias("node"))
+
     def run(self) -> None:
-        tree = F.slice("mh", 1, TREES)
-        nodes = self.classes.select("id", F.posexplode(tree).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id")
+        self.star(self.nodes(FIRST_TREES, FIRST_TREES))
+        nodes = self.nodes(TREES, LONG_TREES)
         for depth in range(DEPTH + 1):
             crowd = self.level(nodes, last=depth == DEPTH)
             if crowd is None:
