@@ -7,6 +7,7 @@ record separator, so any file system Spark knows will do.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -77,15 +78,15 @@ def warc_records(resolved: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Dat
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write ``pages`` as uncompressed WARC files under ``path``; a file holds about ``FILE_BYTES`` of records."""
+    """Write ``pages`` as gzipped WARC files under ``path``; a file holds about ``FILE_BYTES`` of records before packing."""
     mean = pages.agg(F.avg(F.coalesce(F.octet_length(pages[html]), F.lit(0)))).first()[0] or 0
     records = warc_records(resolve_revisits(pages, key, url, html), date)
-    records.write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(path)
+    records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(path)
 
 
-def parse_archive(content: memoryview) -> Iterator[tuple]:
-    """The records of one WARC file, by their stated lengths (payloads may hold any bytes)."""
-    data, at = bytes(content), 0
+def parse_archive(content: bytes) -> Iterator[tuple]:
+    """The records of one WARC file, gzipped or plain, by their stated lengths (payloads may hold any bytes)."""
+    data, at = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
         first, *lines = data[at:stop].decode("utf-8").split("\r\n")
@@ -111,7 +112,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                for row in parse_archive(content.as_buffer()):
+                for row in parse_archive(content.as_py()):
                     if row[-1] is not None and row[5] != "sha256:" + hashlib.sha256(row[-1]).hexdigest():
                         raise ValueError(f"payload of {row[0]} does not match its digest")
                     rows.append(row)
