@@ -17,6 +17,20 @@ from boxtrail.operators.skew import union_routes
 from boxtrail.session import materialize
 
 
+def _on(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Join on ``names`` with null equal to null, keeping one copy of them."""
+    other = right.select(*[F.col(n).alias(f"_r_{n}") if n in names else F.col(n) for n in right.columns])
+    same = [left[n].eqNullSafe(other[f"_r_{n}"]) for n in names]
+    return left.join(other, same, how).drop(*[f"_r_{n}" for n in names])
+
+
+def _progress(won: DataFrame) -> DataFrame:
+    """Every round takes at least the first row of what is left; anything else would never end."""
+    if won.isEmpty():
+        raise RuntimeError("a selection round took no row: the order is not total or the cells are wrong")
+    return won
+
+
 def greedy_pairs(edges: DataFrame, keys: list[str], left: str, right: str, order: list[str]) -> DataFrame:
     """Accepted rows of ``edges`` (keys, left, right, order columns). ``order`` must be total within a group."""
     cols = list(dict.fromkeys([*order, left, right]))
@@ -46,19 +60,18 @@ def greedy_pairs(edges: DataFrame, keys: list[str], left: str, right: str, order
         return taken.select(*keys, *[F.col(f"_t.{c}").alias(c) for c in cols])
 
     def rounds(rows):
-        rest = materialize(rows.select(*keys, *cols))
+        # A pair with a null end is never taken, as in the fold.
+        rest = materialize(rows.select(*keys, *cols).where(F.col(left).isNotNull() & F.col(right).isNotNull()))
         taken = None
         while rest.take(1):
             first_l = rest.groupBy(*keys, left).agg(F.min(item).alias("_bl"))
             first_r = rest.groupBy(*keys, right).agg(F.min(item).alias("_br"))
             # An edge wins when it is the first one at both of its ends.
-            both = first_l.select(*keys, F.col("_bl").alias("_b")).join(
-                first_r.select(*keys, F.col("_br").alias("_b")), [*keys, "_b"]
-            )
-            won = materialize(both.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in cols]))
+            both = _on(first_l.select(*keys, F.col("_bl").alias("_b")), first_r.select(*keys, F.col("_br").alias("_b")), [*keys, "_b"], "inner")
+            won = _progress(materialize(both.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in cols])))
             taken = won if taken is None else taken.unionByName(won)
-            rest = rest.join(won.select(*keys, left), [*keys, left], "left_anti")
-            rest = materialize(rest.join(won.select(*keys, right), [*keys, right], "left_anti"))
+            rest = _on(rest, won.select(*keys, left), [*keys, left], "left_anti")
+            rest = materialize(_on(rest, won.select(*keys, right), [*keys, right], "left_anti"))
         return (rest if taken is None else taken).select(*keys, *cols)
 
     # Edges come out of a join: write them once, so that counting group sizes does not run the join a second time.
@@ -113,20 +126,23 @@ def greedy_keep(
         """
         base = df.select(*keys, *cols, cells.alias("_cells"), item["o"].alias("_o"))
         rest = materialize(base)
-        taken = None
+        # A row without cells (a null box) conflicts with nothing and is kept at once.
+        placed = F.coalesce(F.size("_cells") > 0, F.lit(False))
+        taken = rest.filter(~placed)
+        rest = rest.filter(placed)
         if seed:
-            taken = rest.filter(F.col(seed))
-            rest = materialize(_suppress(rest.filter(~F.col(seed)), taken))
+            taken = taken.unionByName(rest.filter(F.col(seed)))
+            rest = materialize(_suppress(rest.filter(~F.col(seed)), rest.filter(F.col(seed))))
         while rest.take(1):
             spots = rest.select(*keys, "_o", "_cells", F.explode("_cells").alias("_cell"))
             lead = spots.groupBy(*keys, "_cell").agg(F.min("_o").alias("_lead"))
             held = lead.groupBy(*keys, F.col("_lead").alias("_o")).agg(F.count(F.lit(1)).alias("_held"))
-            won = rest.join(held, [*keys, "_o"]).filter(F.col("_held") == F.size(F.array_distinct("_cells")))
-            won = materialize(won.drop("_held"))
-            taken = won if taken is None else taken.unionByName(won)
-            rest = rest.join(won.select(*keys, "_o"), [*keys, "_o"], "left_anti")
+            won = _on(rest, held, [*keys, "_o"], "inner").filter(F.col("_held") == F.size(F.array_distinct("_cells")))
+            won = _progress(materialize(won.drop("_held")))
+            taken = taken.unionByName(won)
+            rest = _on(rest, won.select(*keys, "_o"), [*keys, "_o"], "left_anti")
             rest = materialize(_suppress(rest, won))
-        out = (rest if taken is None else taken).select(*keys, *cols)
+        out = taken.select(*keys, *cols)
         return _first_n(out) if limit else out
 
     def _suppress(rest, kept):
@@ -135,7 +151,7 @@ def greedy_keep(
         on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_cell"]]
         clash = conflict(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}"))
         gone = a.join(b, [*on, clash], "left_semi").select(*[f"a.{k}" for k in keys], "a._o").distinct()
-        return rest.join(gone, [*keys, "_o"], "left_anti")
+        return _on(rest, gone, [*keys, "_o"], "left_anti")
 
     def _first_n(df):
         from boxtrail.operators.ordered import indexed
