@@ -16,16 +16,23 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every end of ``links`` (columns a, b); ``root`` is the smallest id of its component.
+    """(id, root) for every end of ``links`` (columns a, b); ``root`` is one id of its component, the same for all of it.
 
-    Each round points every vertex at its smallest neighbour and contracts the links, so the number of vertices at least
-    halves and the rounds grow with its logarithm. A vertex with many links is aggregated before the shuffle.
+    Each round points every vertex at the first of its neighbours and itself and contracts the links. First is the smallest
+    id in the two opening rounds and every second one after them, which ends stars; in the others it is the smallest of a
+    hash that is new in each round, which shrinks a chain in any order of ids by a constant share, so the rounds grow with
+    the logarithm of the longest chain. A vertex with many links is aggregated before the shuffle.
     """
     edges = keep(links.select("a", "b").where("a <> b"), "edges")
-    roots = None
+    roots, round_ = None, 0
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        step = keep(both.groupBy("id").agg(F.least("id", F.min("to")).alias("root")), "step")
+        if round_ < 2 or round_ % 2:
+            first = F.least("id", F.min("to"))
+        else:
+            first = F.least(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), "id"), F.min(F.struct(F.xxhash64("to", F.lit(round_)).alias("h"), F.col("to").alias("id"))))["id"]
+        step = keep(both.groupBy("id").agg(first.alias("root")), "step")
+        round_ += 1
         if roots is None:
             roots = step
         else:

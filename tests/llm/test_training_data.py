@@ -202,10 +202,21 @@ def test_near_duplicates_in_a_crowded_node(spark, monkeypatch):
     assert {i: found[i][0].component_id for i in root} == root
 
 
-def test_components(spark):
-    chain = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (101, 100), (7, 7)]
+def test_components(spark, monkeypatch):
+    from boxtrail.llm import components as module
+
+    writes = []
+    real = module.keep
+    monkeypatch.setattr(module, "keep", lambda df, label: writes.append(label) or real(df, label))
+    chain = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 50)] + [(3000 + k, 3500) for k in range(50)] + [(7, 7)]
+    want = {k: 0 for k in range(301)} | {1000 + k: 1 for k in range(50)} | {3000 + k: 2 for k in range(50)} | {3500: 2}
     found = {r.id: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert found.keys() == want.keys()
+    pairs = {(found[k], want[k]) for k in want}
+    assert len(pairs) == len({f for f, _ in pairs}) == 3
+    # A chain in the order of its ids takes rounds with the logarithm of its length.
+    assert writes.count("step") <= 20
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_pii(docs, none):
