@@ -15,6 +15,17 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables written by ``keep`` that nothing reads any more; what was made from them is a written table itself."""
+    for table in tables:
+        spark = table.sparkSession
+        root = scratch_path(spark, "x").rsplit("/", 1)[0]
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() == root.rsplit("/", 1)[-1]:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every end of ``links`` (columns a, b); ``root`` is one id of its component, the same for all of it.
 
@@ -37,7 +48,12 @@ def components(links: DataFrame) -> DataFrame:
             roots = step
         else:
             moved = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            roots = keep(roots.join(moved, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
+            old, roots = roots, keep(roots.join(moved, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
+            forget(old)
         a, b = step.select(F.col("id").alias("a"), F.col("root").alias("x")), step.select(F.col("id").alias("b"), F.col("root").alias("y"))
+        old = edges
         edges = keep(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        forget(old)
+        if step is not roots:
+            forget(step)
     return roots if roots is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.components import components, keep
+from boxtrail.llm.components import components, forget, keep
 from boxtrail.llm.flat import Words, distinct_per_text, flat_texts, grams, mix, slices, words_of
 from boxtrail.session import ship_package
 
@@ -28,7 +28,10 @@ SHINGLE, MINWISE, BRANCHES, NODE, DEPTH = 5, 64, 2, 64, 2
 # A pair of similarity s stays together in one of the trees with probability 1 - (1 - s^PATH)^TREES. Longer paths of some trees
 # make small nodes inside large groups of copies; they only add to what the short paths find.
 TREES, PATH, LONG_TREES, LONG_PATH = 20, 3, 10, 9
-FIRST_TREES = 6
+# (short, long) paths of the opening rounds, in which classes meet leaders only; each round sees what the last left apart.
+OPENING = ((2, 1), (4, 3))
+SKETCH = 4
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
 OUTSIDE = 64
 SLICE = 1 << 20
 # A pair at the threshold is lost by the estimate with probability below 1e-8 (six deviations of MINWISE draws).
@@ -62,7 +65,10 @@ def set_digests(text: np.ndarray, code: np.ndarray, rows: int) -> tuple[np.ndarr
 
 
 def signatures(documents: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(key, n, d1, d2, mh): set size, set digest and ``MINWISE`` minwise tokens (null for an empty set)."""
+    """(key, n, d1, d2, s0 .., mh): set size, set digest, sketch and ``MINWISE`` minwise tokens (null for an empty set).
+
+    Bit k of the sketch's ``SKETCH`` longs is one low bit each of token k.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +83,13 @@ def signatures(documents: DataFrame, text: str, key: str, size: int) -> DataFram
                     high = ((code * _STEP[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
                     mh[real, k] = np.minimum.reduceat(high, first).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.rows + 1, dtype=np.int32) * MINWISE), pa.array(mh.ravel()), mask=pa.array(n == 0))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), lists], names=["key", "n", "d1", "d2", "mh"])
+                bits = [np.packbits((mh >> b & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel() for b in range(SKETCH)]
+                columns = [part.column("key"), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), *map(pa.array, bits), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "d1", "d2", *SKETCHES, "mh"])
 
     rows = documents.select(documents[key].alias("key"), documents[text].alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n long, d1 long, d2 long, mh array<int>")
+    sketch = ", ".join(f"{s} long" for s in SKETCHES)
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n long, d1 long, d2 long, {sketch}, mh array<int>")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -139,7 +148,8 @@ class PathJoin:
         if linked.isEmpty():
             return False
         old = self.roots.select(F.col("id").alias("a"), F.col("root").alias("b")) if self.roots is not None else None
-        self.roots = components(linked if old is None else linked.union(old))
+        before, self.roots = self.roots, components(linked if old is None else linked.union(old))
+        forget(linked, *([] if before is None else [before]))
         return True
 
     def mixed(self, nodes: DataFrame) -> DataFrame:
@@ -150,7 +160,9 @@ class PathJoin:
         )
         # Written first, so that the join shuffles both sides and the runtime can split a crowded node.
         info = keep(info.where("rows > 1 and low < high").select("node", "rows", F.col("lead.id").alias("leader"), F.col("lead.comp").alias("leader_comp")), "node-info")
-        return keep(rows.join(info, "node"), "mixed")
+        out = keep(rows.join(info, "node"), "mixed")
+        forget(rows, info)
+        return out
 
     def star(self, nodes: DataFrame) -> DataFrame:
         """Compare every class with its node's leader, the likeliest leader of each first; the nodes' mixed rows."""
@@ -162,14 +174,19 @@ class PathJoin:
         self.fetch(pairs)
         left = pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m")).select("a", "m.b")
         right = pairs.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b")
-        return rows if not self.confirm(left.unionByName(right).distinct()) else self.mixed(rows.select("node", "id"))
+        if self.confirm(left.unionByName(right).distinct()):
+            old, rows = rows, self.mixed(rows.select("node", "id"))
+            forget(old)
+        forget(pairs)
+        return rows
 
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
         """Compare what can be compared in these nodes; the rows of the crowded mixed ones, if any are left."""
         rows = self.star(nodes)
         small = rows.where(F.col("rows") <= NODE)
         if self.compare(self.cross(small, small)):
-            rows = self.mixed(rows.where(F.col("rows") > NODE).select("node", "id"))
+            old, rows = rows, self.mixed(rows.where(F.col("rows") > NODE).select("node", "id"))
+            forget(old)
         crowd = rows.where(F.col("rows") > NODE)
         if crowd.isEmpty():
             return None
@@ -198,23 +215,37 @@ class PathJoin:
         if pairs.isEmpty():
             return False
         self.fetch(pairs)
-        return self.confirm(pairs)
+        found = self.confirm(pairs)
+        forget(pairs)
+        return found
 
     def cross(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        one = left.select("node", F.col("id").alias("x"), F.col("comp").alias("cx"))
-        two = right.select("node", F.col("id").alias("y"), F.col("comp").alias("cy"))
+        """(a, b): pairs of a node that differ in component and may pass ``likely``, judged inside the join.
+
+        Equal tokens have equal bits, so the sketches agree in at least as many places as the tokens: no likely pair is lost.
+        """
+        sketch = self.classes.select("id", "n", *SKETCHES)
+        one = left.select("node", "id", F.col("comp").alias("cx")).join(sketch, "id").withColumnsRenamed({"id": "x", "n": "nx", **{s: f"x{s}" for s in SKETCHES}})
+        two = right.select("node", "id", F.col("comp").alias("cy")).join(sketch, "id").withColumnsRenamed({"id": "y", "n": "ny", **{s: f"y{s}" for s in SKETCHES}})
+        differ = F.lit(0).cast("long")
+        for s in SKETCHES:
+            differ = differ.bitwiseOR(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}")))
         pairs = one.join(two, "node").where("x <> y and cx <> cy")
+        pairs = pairs.where(100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")).where(MINWISE - F.bit_count(differ) >= self.least_equal)
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def nodes(self, trees: int, long_trees: int) -> DataFrame:
-        """(node, id): the node of each class in the first trees, at the end of their short and long paths."""
-        ends = [(t, PATH) for t in range(trees)] + [(t, LONG_PATH) for t in range(long_trees)]
+    def nodes(self, trees: range, long_trees: range) -> DataFrame:
+        """(node, id): the node of each class in these trees, at the end of their short and long paths."""
+        ends = [(t, PATH) for t in trees] + [(t, LONG_PATH) for t in long_trees]
         paths = [F.xxhash64(F.lit(t), F.lit(size), *(F.get("mh", F.lit((PATH * t + k) % MINWISE)) for k in range(size))) for t, size in ends]
         return self.classes.select("id", F.explode(F.array(*paths)).alias("node"))
 
     def run(self) -> None:
-        self.star(self.nodes(FIRST_TREES, FIRST_TREES))
-        nodes = self.nodes(TREES, LONG_TREES)
+        short, long = 0, 0
+        for more, more_long in OPENING:
+            forget(self.star(self.nodes(range(short, short + more), range(long, long + more_long))))
+            short, long = short + more, long + more_long
+        nodes = self.nodes(range(TREES), range(LONG_TREES))
         for depth in range(DEPTH + 1):
             crowd = self.level(nodes, last=depth == DEPTH)
             if crowd is None:
@@ -237,7 +268,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     real = rows.where("n > 0 and key is not null")
     found = keep(real.groupBy("n", "d1", "d2").agg(F.min("uid").alias("id"), F.min("key").alias("low"), F.count("*").alias("copies")), "classes")
     own = found.select("id", "low", "copies").join(real.withColumnRenamed("uid", "id"), "id")
-    classes = keep(own.select("id", "key", "low", "copies", "n", "d1", "d2", "mh"), "class-rows")
+    classes = keep(own.select("id", "key", "low", "copies", "n", "d1", "d2", *SKETCHES, "mh"), "class-rows")
     join = PathJoin(documents, classes, text, key, size, percent)
     join.run()
     with_root = join.with_comp(classes.select("id", "low", "copies", "n", "d1", "d2"))
