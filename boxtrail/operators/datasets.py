@@ -162,8 +162,11 @@ def exact_duplicates(df: DataFrame, content: str) -> DataFrame:
 
 
 def median_hash(vector: Column, first: int = 1) -> Column:
-    """64 bits of a vector: bit is value > median of the values from index ``first`` on (the constant term is skipped)."""
-    values = F.transform(F.slice(vector, 1, 64), lambda v: v.cast("double"))
+    """64 bits of a vector of 64 values: bit is value > median of the values from index ``first`` on (the constant term is
+    skipped). A null vector has no hash, another length is an error."""
+    length = F.raise_error(F.concat(F.lit("a hash needs 64 values, not "), F.size(vector).cast("string")))
+    vector = F.when(vector.isNull() | (F.size(vector) == 64), vector).otherwise(length)
+    values = F.transform(vector, lambda v: v.cast("double"))
     tail = F.array_sort(F.slice(values, first + 1, 64))
     n = F.size(tail)
     median = (tail[F.floor((n - 1) / 2).cast("int")] + tail[F.floor(n / 2).cast("int")]) / 2

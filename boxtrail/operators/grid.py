@@ -17,5 +17,7 @@ def with_grid(df: DataFrame, rows: list[dict]) -> DataFrame:
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row."""
-    return df.join(F.broadcast(one.limit(1)), how="cross")
+    """Add the columns of a one-row aggregate to every row; no row gives no rows, more than one is an error."""
+    held = one.agg(F.count(F.lit(1)).alias("_rows"), F.first(F.struct("*")).alias("_one")).filter("_rows > 0")
+    checked = F.when(F.col("_rows") == 1, F.col("_one")).otherwise(F.raise_error(F.lit("with_row needs one row")))
+    return df.join(F.broadcast(held.select(checked.alias("_one")).select("_one.*")), how="cross")

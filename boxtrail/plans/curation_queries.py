@@ -287,10 +287,9 @@ def ag7(spark, sf):
 
 @query("ag8_calibrate_geometry")
 def ag8(spark, sf):
-    """Two rounds over a coarse grid of each parameter (the full 21/17-step grid is the default of the operator)."""
+    """Coordinate descent over the full grid of each parameter."""
     d, t = both(spark, sf)
-    steps = {k: v[::4] for k, v in cal.STEPS.items()}
-    res = cal.calibrate_geometry(d.filter("class_id = 1"), t.filter("class_id = 1"), rounds=2, steps=steps)
+    res = cal.calibrate_geometry(d.filter("class_id = 1"), t.filter("class_id = 1"))
     return spark.createDataFrame([res]).select(*sorted(res))
 
 

@@ -10,14 +10,14 @@ from boxtrail.plans import fixtures as fx
 from boxtrail.plans.matching_queries import r6
 from boxtrail.plans.registry import query
 
-FEATURES = [f"f{i}" for i in range(12)]
+FEATURES = [f"f{i}" for i in range(64)]
 SHAPE = ["pixel_area", "circularity", "solidity", "extent", "blackhat_mean", "blackhat_max", "blackhat_threshold", "bbox_width", "bbox_height", "radial_distance_norm"]
 
 
 def vectors(spark, sf):
-    """Twelve embedding columns per vector; a few values are missing."""
+    """All values of each embedding as columns; a few values are missing."""
     e = fx.table(spark, sf, "embeddings")
-    cols = [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(12)]
+    cols = [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(len(FEATURES))]
     cols[0] = F.when(F.col("vec_id") % 50 != 0, F.col("embedding")[0].cast("double")).alias("f0")
     return e.select("vec_id", "label", *cols)
 
@@ -45,7 +45,7 @@ def ml3(spark, sf):
 
 @query("ml4_anomaly")
 def ml4(spark, sf):
-    out = ml.anomaly(ml.preprocess(vectors(spark, sf), FEATURES), "vec_id", trees=50)
+    out = ml.anomaly(ml.preprocess(vectors(spark, sf), FEATURES), "vec_id", trees=250)
     return r6(out, "anomaly_score")
 
 
@@ -53,7 +53,7 @@ def ml4(spark, sf):
 def priority(spark, sf):
     """Clusters, anomaly ranks and distance ranks feed the review priority and the queue."""
     prepared = ml.cluster(ml.preprocess(vectors(spark, sf), FEATURES), 5).select("vec_id", "label", "cluster_id", "cluster_distance", "features")
-    scored = prepared.join(ml.anomaly(prepared, "vec_id", trees=50), "vec_id").drop("features")
+    scored = prepared.join(ml.anomaly(prepared, "vec_id", trees=250), "vec_id").drop("features")
     ranked = wn.pct_rank_avg(wn.pct_rank_avg(scored, [], "anomaly_score", "ar"), [], "cluster_distance", "dr")
     hits = F.col("label").cast("double")
     value = s.review_priority(F.col("label") / 10.0, hits, (hits + 1) / 10.0, F.col("ar"), F.col("dr"))
@@ -67,11 +67,17 @@ def learning_rows(spark, sf):
     return vectors(spark, sf).withColumns({"target": (F.col("label") < 4).cast("int"), "split": split})
 
 
+SEARCHES: dict = {}
+
+
 def search(spark, sf):
-    rows = learning_rows(spark, sf)
-    grid = {k: v[::4] for k, v in ml.model_grid(trees=20).items()}
-    parts = [rows.filter(F.col("split") == p) for p in ("train", "valid", "test")]
-    return ml.model_search(*parts, FEATURES, "target", grid=grid)
+    """One search over the full grid, shared by the queries of a session that ask for it."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in SEARCHES:
+        rows = learning_rows(spark, sf)
+        parts = [rows.filter(F.col("split") == p) for p in ("train", "valid", "test")]
+        SEARCHES[at] = ml.model_search(*parts, FEATURES, "target")
+    return SEARCHES[at]
 
 
 @query("ml5_model_search")
@@ -89,8 +95,7 @@ def ml6(spark, sf):
 @query("ml7_surrogate_tree")
 def ml7(spark, sf):
     c = fx.candidates(spark, sf).withColumn("gate", s.bright_round_gate()["gate_pass"].cast("int"))
-    c = c.withColumn("split_group", F.col("sequence_id") % 400)
-    return r6(ml.surrogate_tree(c, SHAPE, "gate", "split_group"), "precision", "recall", "f1", "accuracy")
+    return r6(ml.surrogate_tree(c, SHAPE, "gate", "sequence_id"), "precision", "recall", "f1", "accuracy")
 
 
 @query("ml8_importance")
@@ -99,7 +104,7 @@ def ml8(spark, sf):
 
     rows = ml.clean(learning_rows(spark, sf), FEATURES).withColumn("label", F.col("target").cast("double"))
     weighted = ml.balanced_weights(rows, "label")
-    tree = ml.model_grid()["decision_tree"][2]
+    tree = ml.model_grid(1.0)["decision_tree"][2]
     model = Pipeline(stages=[*ml.preprocessing(FEATURES, False), tree]).fit(weighted)
     return r6(ml.importance(model, FEATURES), "importance")
 

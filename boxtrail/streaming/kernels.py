@@ -125,7 +125,7 @@ class LineConfig:
 # Weights and gates of the line tracker's pair cost and smoothing.
 COST_DISTANCE, COST_OVERLAP, COST_SIZE = 0.62, 0.23, 0.15
 SIZE_GATE, VERTICAL_GATE, GATE_GROWTH, GATE_FRAMES = 2.25, 0.38, 0.35, 4
-VELOCITY_GAIN, SIZE_GAIN, HISTORY = 0.42, 0.40, 32
+VELOCITY_GAIN, SIZE_GAIN = 0.42, 0.40
 
 
 class LineTracker(Kernel):
@@ -188,7 +188,6 @@ class LineTracker(Kernel):
             t["w"] += SIZE_GAIN * (w - t["w"])
             t["h"] += SIZE_GAIN * (h - t["h"])
         t.update(x=x, y=y, confidence=d["confidence"], seen=frame, hits=t["hits"] + 1, misses=0, matched=True)
-        t["history"] = [*t["history"], [frame, x, y]][-HISTORY:]
 
     def _crossing(self, t: dict, frame: int, x: float, y: float) -> list[dict]:
         side = self._side(x)
@@ -250,7 +249,7 @@ class LineTracker(Kernel):
         self.tracks[i] = {
             "id": i, "class_id": d["class_id"], "class_name": d["class_name"], "confidence": d["confidence"],
             "x": x, "y": y, "w": w, "h": h, "x0": x, "seen": frame, "vx": 0.0, "vy": 0.0, "hits": 1, "misses": 0,
-            "armed": self._side(x) < 0, "counted": False, "matched": True, "history": [[frame, x, y]],
+            "armed": self._side(x) < 0, "counted": False, "matched": True,
         }
 
     def _observe(self, frame: int) -> list[dict]:
