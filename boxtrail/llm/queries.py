@@ -44,7 +44,8 @@ def op1(spark, sf_dir):
 
 @query("op2_quality_rules")
 def op2(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    labels = table(spark, sf_dir, "labels")
+    return quality_rules(table(spark, sf_dir, "documents"), labels.where("quality = 1"), threshold=None, poor_ids=labels.where("quality = 0"))
 
 
 OP3_SQL = r"""

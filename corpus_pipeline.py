@@ -26,9 +26,9 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or score below the threshold."""
+    """Drop documents that fail the base rules or score below the threshold learned from the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return keep_good(docs, labels.where("quality = 1"))
+    return keep_good(docs, labels.where("quality = 1"), threshold=None, poor_ids=labels.where("quality = 0"))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from boxtrail.llm import bpe, brown, licenses, neardup, pii, quality, secrets, token_counts, warc
+from boxtrail.llm import queries as llm_queries
 from boxtrail.llm.components import components
 from boxtrail.llm.decontaminate import decontaminate
 
@@ -107,6 +108,39 @@ def test_quality_score_is_the_mean_log_ratio(spark):
         assert found[i][0].score == pytest.approx(np.mean([weight[g] for g in own]), rel=1e-9)
 
 
+@pytest.mark.parametrize("size", [90, 900])
+def test_quality_keeps_unlabelled_clean_documents_at_any_size(spark, tmp_path, size):
+    rng = np.random.default_rng(size)
+    draw = lambda stem, n: " ".join(f"{stem}{int(k)}" for k in rng.zipf(1.3, n) % 50_000)
+    texts = [draw("junk", 120) if k % 10 == 9 else draw("word", 120) for k in range(size)]
+    pd.DataFrame({"doc_id": range(size), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    named = [k for k in range(size) if k % 3 == 0]
+    pd.DataFrame({"doc_id": named, "quality": [int(k % 10 != 9) for k in named]}).to_parquet(tmp_path / "labels.parquet")
+    found = {r.doc_id: r for r in llm_queries.op2(spark, str(tmp_path)).collect()}
+    clean = [found[k].kept for k in range(size) if k % 3 and k % 10 != 9]
+    junk = [found[k].kept for k in range(size) if k % 3 and k % 10 == 9]
+    assert np.mean(clean) > 0.95 and not any(junk)
+    staged = corpus_pipeline.quality(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.doc_id for r in staged.collect()} == {k for k, r in found.items() if r.kept}
+
+
+def test_quality_scores_a_trusted_text_as_if_it_were_unlabelled(spark):
+    texts = [(k, " ".join(f"w{(k * j * j + j) % 40}" for j in range(60))) for k in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    trusted = docs.where("doc_id < 4")
+    held = rows(quality.quality_rules(docs, trusted, buckets=1 << 10, threshold=None))
+    for i in range(6):
+        plain = rows(quality.quality_rules(docs, trusted.where(f"doc_id <> {i}"), buckets=1 << 10))
+        assert held[i][0].score == pytest.approx(plain[i][0].score, rel=1e-9)
+
+
+def test_quality_threshold_parts_trusted_from_poor():
+    assert quality.best_step({10: 3, 12: 1}, {-6: 2, 3: 1}) * quality.SCORE_STEPS == 7
+    assert quality.best_step({10: 3, 12: 1}, {}) * quality.SCORE_STEPS == 10
+    assert quality.best_step({-5: 1, 10: 9}, {-4: 5, -3: 5}) * quality.SCORE_STEPS == 4
+    assert quality.best_step({}, {1: 1}) == -np.inf
+
+
 def hits_of(text, items, window=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
     words, hit, ids = cut(text), set(), set()
