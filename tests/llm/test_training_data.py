@@ -300,6 +300,29 @@ def test_secret_tags_learn_held_out_tokens():
     assert [1 for r in secrets.runs("the Word77number77here now") for _ in model.decode(r)] == []
 
 
+def test_secret_sample_holds_distinct_runs_and_ordinary_tokens(spark):
+    code = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    hot = [f'token = "{code(1)}" then' for _ in range(900)]
+    rare = [f"SECRET: {code(k)}; secrets hold" for k in range(5)] + [f"AKIA{code(k).upper()[:16]}" for k in range(5)]
+    prose = [f"extraordinary circumstances {k} notwithstanding Build2024release everything" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(hot + rare + prose)), "doc_id long, text string").repartition(3)
+    every = Counter()
+    for t in hot + rare + prose:
+        for one in secrets.runs(t):
+            every[repr(secrets.labelled_run(one, secrets.base_spans(t)))] += 1
+    sample = secrets.sample_runs(docs, "text", 800)
+    assert {repr(r): n for r, n in sample} == every and len(sample) == len(every)
+    tags = Counter(g for r, _ in sample for _, g in r)
+    assert tags["O"] and tags["B"]
+    few = secrets.sample_runs(docs, "text", 4)
+    assert len(few) == 4 and {any(g != "O" for _, g in r) for r, _ in few} == {True, False}
+    model = secrets.train(docs)
+    held = f'authkey = "{code(7)[:23]}X{code(8)[:16]}" end'
+    assert secrets.base_spans(held) == [] and [held[a:b] for _, a, b, _ in secrets.all_spans(held, model)] == [held[11:51]]
+    ordinary = "an extraordinary Build2031release notwithstanding"
+    assert secrets.all_spans(ordinary, model) == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>\r\n\r\nWARC/1.1\r\n" + "é" * 100
     pages = [(1, "http://a/\nx", body), (2, None, body), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", body), (6, "u", "z" * 300000), (2, None, body)]
