@@ -75,7 +75,26 @@ NAMES: list[tuple[str, str]] = [
 FRAMES = [f"{start}{verb} under {the}" for start in ("", "This work is ", "This file is ", "This software is ") for verb in ("licensed", "released", "distributed") for the in ("", "the ")]
 
 
+# Title lines that licence files start with, and copyright lines of templates nobody filled in.
+TITLES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "New BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+}
+BLANKS = [
+    f"Copyright {mark}{fields}{end}"
+    for mark in ("", "(c) ")
+    for fields in ("<year> <copyright holders>", "<year> <copyright holder>", "<year> <holder>", "<year> <owner>", "<year> <name>", "[year] [fullname]", "[yyyy] [name of copyright owner]")
+    for end in ("", " All rights reserved.")
+]
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text): full texts, and each name in each statement frame and alone after the identifier tag."""
+    """(licence, text): full texts, plain, under each title and unfilled copyright line; each title alone; each name in each
+    statement frame and alone after the identifier tag."""
     lines = [(i, frame + name) for i, name in NAMES for frame in FRAMES]
-    return TEXTS + lines + [(i, f"SPDX-License-Identifier: {i}") for i, _ in NAMES]
+    headed = [(i, f"{title}\n{blank}\n{body}") for i, body in TEXTS if i in TITLES for title in ("", *TITLES[i]) for blank in ("", *BLANKS) if title or blank]
+    titles = [(i, title) for i, names in TITLES.items() for title in names]
+    return TEXTS + headed + titles + lines + [(i, f"SPDX-License-Identifier: {i}") for i, _ in NAMES]

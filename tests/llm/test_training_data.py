@@ -355,6 +355,21 @@ def test_licenses(docs, none, spark):
     assert licenses.scan_licenses(none, known).count() == 0
 
 
+def test_licenses_under_a_title_and_with_unfilled_copyright_lines(spark):
+    body = dict(licenses.known_texts()[:6])
+    texts = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + body["MIT"].replace(". ", ".\n")),
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) <year> <copyright holders>\n\n" + body["MIT"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n" + body["BSD-3-Clause"]),
+        ("ISC", "ISC License\n\nCopyright <year> <owner>\n\n" + body["ISC"]),
+        (None, "A guide\n\n" + body["MIT"]),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = rows(licenses.scan_licenses(docs, licenses.known_digests(spark)))
+    assert [found[k][0].text_license for k in range(5)] == [i for i, _ in texts]
+    assert found[0][0].line_licenses == ["MIT"] and found[0][0].n_license_lines == 1
+
+
 def test_bpe(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
