@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators over whole tables, and their SQL twins where SQL can express them."""
+"""Registered queries of the operators over whole tables, and their SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -16,7 +16,9 @@ from boxtrail.llm.license_texts import known_texts
 from boxtrail.llm.neardup import near_duplicates
 from boxtrail.llm.quality import quality_rules
 from boxtrail.llm.token_counts import count_tokens
+from boxtrail.llm.vector_codes import ENTRIES, PARTS, ROUNDS, compress
 from boxtrail.llm.warc import read_archives, resolved_records, write_archives
+from boxtrail.llm.whitening import whiten
 from boxtrail.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +171,39 @@ FROM documents d LEFT JOIN found USING (doc_id)
 def op8(spark, sf_dir):
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
     return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+def code_sql(parts: int, entries: int, rounds: int) -> str:
+    step = """
+near{k} AS MATERIALIZED (SELECT rid, part, min((xx + yy - 2 * list_inner_product(px, bx))::BIGINT * {entries} + entry) AS m FROM p JOIN b{k} USING (part) GROUP BY rid, part),"""
+    update = """
+cells{k} AS (SELECT part, m % {entries} AS entry, unnest(px) AS v, generate_subscripts(px, 1) AS pos FROM p JOIN near{k} USING (rid, part)),
+sums{k} AS (SELECT part, entry, pos, sum(v)::BIGINT AS s, count(*) AS n FROM cells{k} GROUP BY part, entry, pos),
+new{k} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY pos) AS fresh FROM sums{k} GROUP BY part, entry),
+b{next} AS MATERIALIZED (SELECT part, entry, bx, list_inner_product(bx, bx) AS yy FROM (SELECT b.part, b.entry, coalesce(fresh, bx) AS bx FROM b{k} b LEFT JOIN new{k} w ON w.part = b.part AND w.entry = b.entry)),"""
+    steps = "".join(step.format(k=k, entries=entries) + (update.format(k=k, next=k + 1, entries=entries) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS rid, vec_id, label, x FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+p AS MATERIALIZED (SELECT rid, part, px, list_inner_product(px, px) AS xx FROM (
+  SELECT rid, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS px FROM kept, (SELECT unnest(range({parts})) AS part))),
+b0 AS MATERIALIZED (SELECT part, rid AS entry, px AS bx, xx AS yy FROM p WHERE rid < {entries}),{steps}
+coded AS (SELECT rid, string_agg(printf('%02x', (m % {entries})::INT), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM near{rounds} GROUP BY rid),
+digest AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS d FROM (SELECT part, entry, unnest(bx) AS v, generate_subscripts(bx, 1) AS pos FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, d AS codebooks_sha256
+FROM kept JOIN coded USING (rid), digest
+"""
+
+
+@query("op11_vector_codes", code_sql(PARTS, ENTRIES, ROUNDS))
+def op11(spark, sf_dir):
+    rows, books = compress(table(spark, sf_dir, "embeddings"))
+    listed = ",".join(map(str, books.ravel().tolist()))
+    return rows.withColumn("codebooks_sha256", F.sha2(F.lit(listed).cast("binary"), 256))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
