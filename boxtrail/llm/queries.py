@@ -15,6 +15,7 @@ from boxtrail.llm.decontaminate import decontaminate
 from boxtrail.llm.license_texts import known_texts
 from boxtrail.llm.neardup import near_duplicates
 from boxtrail.llm.quality import quality_rules
+from boxtrail.llm.repeats import LENGTH, remove_repeats
 from boxtrail.llm.token_counts import count_tokens
 from boxtrail.llm.vector_codes import ENTRIES, PARTS, ROUNDS, compress
 from boxtrail.llm.warc import read_archives, resolved_records, write_archives
@@ -204,6 +205,29 @@ def op11(spark, sf_dir):
     return rows.withColumn("codebooks_sha256", F.sha2(F.lit(listed).cast("binary"), 256))
 
 
+# Windows are compared by their md5 digests, two hex digits a byte.
+OP12_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS MATERIALIZED (SELECT rid, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS w FROM (SELECT rid, h, unnest(range(len(h) // 2 - {LENGTH - 1})) AS i FROM docs)),
+hits AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY w) AS n FROM wins) WHERE n > 1),
+marks AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS opens FROM hits),
+runs AS (SELECT rid, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT rid, i, sum(opens) OVER (PARTITION BY rid ORDER BY i) AS run FROM marks) GROUP BY rid, run),
+gaps AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM runs),
+tail AS (SELECT rid, max(b) AS b, sum(b - a) AS n, count(*) AS k FROM runs GROUP BY rid),
+heads AS (SELECT rid, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gaps JOIN docs USING (rid) GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN tail USING (rid) LEFT JOIN heads USING (rid)
+"""
+
+
+@query("op12_repeats", OP12_SQL)
+def op12(spark, sf_dir):
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op13_whitening")
 def op13(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
