@@ -32,7 +32,7 @@ from boxtrail.llm.flat import flat_texts, mix, prefix_codes, slices, span_codes
 from boxtrail.session import ship_package
 
 LENGTH, ANCHOR = 200, 32
-BLOCK_BYTES, PIECE = 2 << 20, 4 << 20
+BLOCK_BYTES, PIECE = 1 << 20, 1 << 20
 GROUP = 4096
 # A spot is one long: first string's start in the block, number of strings, place of the anchor in the first string.
 COUNT_BITS, PLACE_BITS = 12, 12
