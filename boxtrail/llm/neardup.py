@@ -1,14 +1,16 @@
 """Near-duplicates by a chosen-path set similarity join over word shingles.
 
-Documents with equal shingle sets form one class. Classes are branched by minwise tokens: each independent tree puts a class
-into the node of its first ``PATH`` tokens; a node of at most ``NODE`` classes is compared exhaustively, a larger one is branched
-again by further tokens chosen from the node's own hash. Candidates pass a minwise estimate and are then
-confirmed on the full sets.
-
-Large groups of copies stay linear: in each node every class is first compared with a leader only, the confirmed links are
-contracted to components, and later comparisons look only at classes of different components. A node within one component is
-dropped. Where a crowded node has at most ``OUTSIDE`` classes outside its largest component, these are compared with the whole
-node, so its cost stays linear; the others are branched further, and what is still mixed at ``DEPTH`` is compared the same way.
+Documents with equal shingle sets form one class. Independent trees grow from the root, which holds all classes: a node of more
+than ``NODE`` classes is branched by the values of minwise tokens that the node itself chooses, a smaller one is compared
+exhaustively inside one task, on samples of the shingle sets that cannot miss a link of sets up to ``SAMPLE`` shingles. A node
+puts out only a maximum spanning forest of its likely pairs, so its output is linear; the pairs are confirmed on full sets and
+contracted to components. Where a confirmation fails, the nodes that relied on it are compared again and put out every likely
+pair between different components.
+
+Large groups of near copies branch slowly, as they share most tokens. In a crowded node all classes first meet a few leaders
+(the class with the most copies, and some by hash); these links are confirmed and contracted. A node within one component is
+dropped, and where at most ``NODE`` classes lie outside its largest component, only these meet the node, in chunks. The others
+branch on.
 """
 
 from __future__ import annotations
@@ -24,21 +26,21 @@ from boxtrail.llm.components import components, forget, keep
 from boxtrail.llm.flat import Words, distinct_per_text, flat_texts, grams, mix, slices, words_of
 from boxtrail.session import ship_package
 
-SHINGLE, MINWISE, BRANCHES, NODE, DEPTH = 5, 64, 2, 64, 2
-# A pair of similarity s stays together in one of the trees with probability 1 - (1 - s^PATH)^TREES. Longer paths of some trees
-# make small nodes inside large groups of copies; they only add to what the short paths find.
-TREES, PATH, LONG_TREES, LONG_PATH = 20, 3, 10, 9
-# (short, long) paths of the opening rounds, in which classes meet leaders only; each round sees what the last left apart.
-OPENING = ((2, 1), (4, 3))
-SKETCH = 4
-SKETCHES = [f"s{k}" for k in range(SKETCH)]
-OUTSIDE = 64
+SHINGLE, MINWISE, TREES = 5, 32, 12
+# Classes that are compared exhaustively; rows of a bucket of nodes; leaders of a crowded node.
+NODE, BUCKET, LEADERS = 1024, 4096, 4
+# Levels of a tree, and those at which a crowded node has two children for certain, not by chance.
+LEVELS, WIDE, EXTRA = 64, 3, 0.2
+# Levels between two rounds of leaders.
+LEADER_STEP = 4
+SAMPLE = 512
+# A link between sampled sets is missed by the estimate with probability below 1e-6 (five deviations).
+DEVIATIONS = 5.0
 SLICE = 1 << 20
-# A pair at the threshold is lost by the estimate with probability below 1e-8 (six deviations of MINWISE draws).
-DEVIATIONS = 6.0
 KEY_BROADCAST_ROWS = 1_000_000
 _STEP = mix(np.arange(7001, 7001 + MINWISE, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(9001, 9001 + MINWISE, dtype=np.uint64))
+_SAMPLE_SALT = np.uint64(0x51ED270B)
 
 
 def shingle_sets(words: Words, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +66,31 @@ def set_digests(text: np.ndarray, code: np.ndarray, rows: int) -> tuple[np.ndarr
     return np.diff(bounds), *out
 
 
-def signatures(documents: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(key, n, d1, d2, s0 .., mh): set size, set digest, sketch and ``MINWISE`` minwise tokens (null for an empty set).
+def samples(text: np.ndarray, code: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(level, deeper, bounds, marks): 16-bit marks of a consistent sample of each text's set.
 
-    Bit k of the sketch's ``SKETCH`` longs is one low bit each of token k.
+    A set of up to ``SAMPLE`` shingles is marked whole (level 0); a larger one keeps those whose hash has ``level`` zero bits.
+    The first ``deeper`` marks of a text are its sample one level further up.
     """
+    n = np.diff(np.searchsorted(text, np.arange(rows + 1)))
+    level = np.ceil(np.log2(np.maximum(n, 1) / SAMPLE)).clip(0).astype(np.int64)
+    hashed = mix(code ^ _SAMPLE_SALT)
+    low = np.uint64(1) << level.astype(np.uint64)
+    stay = (hashed & (low - np.uint64(1))[text]) == 0
+    text, hashed = text[stay], hashed[stay]
+    deep = (hashed & low[text]) == 0
+    bounds = np.searchsorted(text, np.arange(rows + 1))
+    run = np.concatenate(([0], np.cumsum(deep)))
+    deeper = run[bounds[1:]] - run[bounds[:-1]]
+    before, start = run[:-1] - run[bounds[text]], bounds[text]
+    place = np.where(deep, start + before, start + deeper[text] + np.arange(len(text)) - start - before)
+    marks = np.empty(len(text), dtype="<u2")
+    marks[place] = (hashed >> np.uint64(40)).astype(np.uint16)
+    return level, deeper, bounds, marks
+
+
+def signatures(documents: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(key, n, d1, d2, level, deeper, marks, mh): set size, set digest, marked sample and minwise tokens (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,13 +105,13 @@ def signatures(documents: DataFrame, text: str, key: str, size: int) -> DataFram
                     high = ((code * _STEP[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
                     mh[real, k] = np.minimum.reduceat(high, first).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.rows + 1, dtype=np.int32) * MINWISE), pa.array(mh.ravel()), mask=pa.array(n == 0))
-                bits = [np.packbits((mh >> b & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel() for b in range(SKETCH)]
-                columns = [part.column("key"), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), *map(pa.array, bits), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "d1", "d2", *SKETCHES, "mh"])
+                level, deeper, bounds, marks = samples(doc, code, texts.rows)
+                packed = pa.Array.from_buffers(pa.binary(), texts.rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(marks)])
+                columns = [part.column("key"), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array(level.astype(np.int32)), pa.array(deeper.astype(np.int32)), packed, lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "d1", "d2", "level", "deeper", "marks", "mh"])
 
     rows = documents.select(documents[key].alias("key"), documents[text].alias("text"))
-    sketch = ", ".join(f"{s} long" for s in SKETCHES)
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n long, d1 long, d2 long, {sketch}, mh array<int>")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n long, d1 long, d2 long, level int, deeper int, marks binary, mh array<int>")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -113,16 +135,95 @@ def full_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str, size
     return sets.join(wanted, ["key", "n", "d1", "d2"]).groupBy("id", "n").agg(F.first("codes").alias("codes"))
 
 
+def likeness(n: np.ndarray, level: np.ndarray, deeper: np.ndarray, marks: list[np.ndarray], percent: int) -> np.ndarray:
+    """Similarity of every two classes by their marks, -1 where they cannot be linked.
+
+    On whole sets the number of common shingles is at most the number of common marks and of the doubled marks of either set,
+    so no link is missed.
+    """
+    out, share = np.full((len(n), len(n)), -1.0), percent / 100
+    for top in np.unique(level):
+        rows = np.flatnonzero((level == top) | (level == top - 1))
+        own = [marks[r] if level[r] == top else marks[r][: deeper[r]] for r in rows]
+        size = np.array([len(m) for m in own])
+        kinds, at = np.unique(np.concatenate(own), return_inverse=True)
+        row, column = np.divmod(np.unique(np.repeat(np.arange(len(rows)), size) * max(len(kinds), 1) + at), max(len(kinds), 1))
+        doubled = size - np.bincount(row, minlength=len(rows))
+        shared = np.bincount(column, minlength=len(kinds)) > 1
+        row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        both = np.minimum.outer(doubled, doubled).astype(np.float64)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for a in range(0, int(shared.sum()), NODE):
+            part = slice(*np.searchsorted(column, [a, a + NODE]))
+            held = np.zeros((len(rows), min(NODE, int(shared.sum()) - a)), dtype=np.float32)
+            held[row[part], column[part] - a] = 1
+            both += held @ held.T
+        union = np.maximum(size[:, None] + size - both, 1)
+        least = share if top == 0 else share - DEVIATIONS * np.sqrt(share * (1 - share) / union)
+        fits = (both >= least * union - 1e-9) & (100 * np.minimum.outer(n[rows], n[rows]) >= percent * np.maximum.outer(n[rows], n[rows]))
+        fits &= np.maximum.outer(level[rows], level[rows]) == top
+        np.fill_diagonal(fits, False)
+        x, y = np.nonzero(fits)
+        out[rows[x], rows[y]] = (both / union)[x, y]
+    return out
+
+
+def forest(weight: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest between the components, grown class by class; a component counts as joined."""
+    left, best, by = np.ones(len(comp), dtype=bool), np.full(len(comp), -1.0), np.zeros(len(comp), dtype=np.int64)
+    edges = []
+    while left.any():
+        v = int(np.argmax(np.where(left, best, -2.0)))
+        if best[v] >= 0:
+            edges.append((int(by[v]), v))
+        new = np.flatnonzero(left & (comp == comp[v]))
+        left[new] = False
+        top = weight[new].max(0)
+        better = top > best
+        best[better], by[better] = top[better], new[weight[new].argmax(0)[better]]
+    return edges
+
+
+def cell_pairs(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b): likely pairs of classes in the cells of ``rows`` (cell, id, lead, comp, n, level, deeper, marks).
+
+    One of the two is a lead, their components differ, and only a spanning forest of each cell is put out unless ``every`` is set.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cell", "ascending"), ("id", "ascending")]).combine_chunks()
+        cell, ids, comp, n, level, deeper = (table.column(c).to_numpy() for c in ("cell", "id", "comp", "n", "level", "deeper"))
+        lead = table.column("lead").to_numpy(zero_copy_only=False)
+        marks = [np.frombuffer(m, dtype="<u2") for m in table.column("marks").to_pylist()]
+        bounds = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)) if len(cell) else np.zeros(1, np.int64)
+        one, two = [], []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if (comp[a:b] == comp[a]).all():
+                continue
+            weight = likeness(n[a:b], level[a:b], deeper[a:b], marks[a:b], percent)
+            weight[~(lead[a:b, None] | lead[None, a:b])] = -1
+            weight[comp[a:b, None] == comp[None, a:b]] = -1
+            if every:
+                x, y = np.nonzero(np.triu(weight >= 0))
+            else:
+                x, y = np.array(forest(weight, comp[a:b]), dtype=np.int64).reshape(-1, 2).T
+            one.append(ids[a + np.minimum(x, y)])
+            two.append(ids[a + np.maximum(x, y)])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(one or none), "b": np.concatenate(two or none)})
+
+    return rows.groupBy("bucket").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 class PathJoin:
-    """State of one join: classes with their minwise tokens, their full sets, and the components found so far."""
+    """State of one join: the classes, the full sets that were needed, and the components found so far."""
 
     def __init__(self, documents: DataFrame, classes: DataFrame, text: str, key: str, size: int, percent: int):
         self.documents, self.classes = documents, classes
         self.text, self.key, self.size, self.percent = text, key, size, percent
         self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
-        share = percent / 100
-        self.least_equal = int(np.floor(MINWISE * share - DEVIATIONS * np.sqrt(MINWISE * share * (1 - share))))
 
     def with_comp(self, rows: DataFrame) -> DataFrame:
         if self.roots is None:
@@ -130,75 +231,6 @@ class PathJoin:
         found = self.roots.select("id", F.col("root").alias("comp"))
         return rows.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, equal): pairs whose sizes and minwise estimate allow a link."""
-        one = self.classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("mh").alias("ma"))
-        two = self.classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("mh").alias("mb"))
-        equal = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda same: same))
-        sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        return sized.select("a", "b", equal.alias("equal")).where(F.col("equal") >= self.least_equal)
-
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Take the pairs that are linked on their full sets into the components; whether there were any."""
-        one = self.sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"))
-        two = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"))
-        both = F.size(F.array_intersect("ca", "cb"))
-        linked = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
-        linked = keep(linked.where(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b"), "links")
-        if linked.isEmpty():
-            return False
-        old = self.roots.select(F.col("id").alias("a"), F.col("root").alias("b")) if self.roots is not None else None
-        before, self.roots = self.roots, components(linked if old is None else linked.union(old))
-        forget(linked, *([] if before is None else [before]))
-        return True
-
-    def mixed(self, nodes: DataFrame) -> DataFrame:
-        """(node, id, comp, n, leader, own): rows of nodes that hold more than one component."""
-        rows = keep(self.with_comp(nodes), "nodes")
-        info = rows.groupBy("node").agg(
-            F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id", "comp")).alias("lead")
-        )
-        # Written first, so that the join shuffles both sides and the runtime can split a crowded node.
-        info = keep(info.where("rows > 1 and low < high").select("node", "rows", F.col("lead.id").alias("leader"), F.col("lead.comp").alias("leader_comp")), "node-info")
-        out = keep(rows.join(info, "node"), "mixed")
-        forget(rows, info)
-        return out
-
-    def star(self, nodes: DataFrame) -> DataFrame:
-        """Compare every class with its node's leader, the likeliest leader of each first; the nodes' mixed rows."""
-        rows = self.mixed(nodes)
-        pairs = rows.where("comp <> leader_comp").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = keep(self.likely(pairs), "star")
-        if pairs.isEmpty():
-            return rows
-        self.fetch(pairs)
-        left = pairs.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m")).select("a", "m.b")
-        right = pairs.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b")
-        if self.confirm(left.unionByName(right).distinct()):
-            old, rows = rows, self.mixed(rows.select("node", "id"))
-            forget(old)
-        forget(pairs)
-        return rows
-
-    def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
-        """Compare what can be compared in these nodes; the rows of the crowded mixed ones, if any are left."""
-        rows = self.star(nodes)
-        small = rows.where(F.col("rows") <= NODE)
-        if self.compare(self.cross(small, small)):
-            old, rows = rows, self.mixed(rows.where(F.col("rows") > NODE).select("node", "id"))
-            forget(old)
-        crowd = rows.where(F.col("rows") > NODE)
-        if crowd.isEmpty():
-            return None
-        sizes = crowd.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
-        main = keep(sizes.select("node", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.k")).alias("outside")), "main")
-        near = crowd.join(main if last else main.where(F.col("outside") <= OUTSIDE), "node").where("comp <> main")
-        self.compare(self.cross(near, crowd))
-        if last:
-            return None
-        rest = keep(crowd.join(main.where(F.col("outside") > OUTSIDE).select("node"), "node").select("node", "id"), "crowd")
-        return None if rest.isEmpty() else rest
-
     def fetch(self, pairs: DataFrame) -> None:
         """Make the full sets of the classes in ``pairs`` that are not there yet."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -208,51 +240,116 @@ class PathJoin:
         if self.sets is not None and wanted.isEmpty():
             return
         new = keep(full_sets(self.documents, wanted, self.text, self.key, self.size), "sets")
+        forget(wanted)
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
-    def compare(self, pairs: DataFrame) -> bool:
-        pairs = keep(self.likely(pairs), "pairs")
+    def confirm(self, pairs: DataFrame) -> DataFrame | None:
+        """Take the pairs that are linked on their full sets into the components; the pairs that are not, None without pairs."""
         if pairs.isEmpty():
-            return False
+            return None
         self.fetch(pairs)
-        found = self.confirm(pairs)
-        forget(pairs)
-        return found
-
-    def cross(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """(a, b): pairs of a node that differ in component and may pass ``likely``, judged inside the join.
-
-        Equal tokens have equal bits, so the sketches agree in at least as many places as the tokens: no likely pair is lost.
-        """
-        sketch = self.classes.select("id", "n", *SKETCHES)
-        one = left.select("node", "id", F.col("comp").alias("cx")).join(sketch, "id").withColumnsRenamed({"id": "x", "n": "nx", **{s: f"x{s}" for s in SKETCHES}})
-        two = right.select("node", "id", F.col("comp").alias("cy")).join(sketch, "id").withColumnsRenamed({"id": "y", "n": "ny", **{s: f"y{s}" for s in SKETCHES}})
-        differ = F.lit(0).cast("long")
-        for s in SKETCHES:
-            differ = differ.bitwiseOR(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}")))
-        pairs = one.join(two, "node").where("x <> y and cx <> cy")
-        pairs = pairs.where(100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")).where(MINWISE - F.bit_count(differ) >= self.least_equal)
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def nodes(self, trees: range, long_trees: range) -> DataFrame:
-        """(node, id): the node of each class in these trees, at the end of their short and long paths."""
-        ends = [(t, PATH) for t in trees] + [(t, LONG_PATH) for t in long_trees]
-        paths = [F.xxhash64(F.lit(t), F.lit(size), *(F.get("mh", F.lit((PATH * t + k) % MINWISE)) for k in range(size))) for t, size in ends]
-        return self.classes.select("id", F.explode(F.array(*paths)).alias("node"))
-
-    def run(self) -> None:
-        short, long = 0, 0
-        for more, more_long in OPENING:
-            forget(self.star(self.nodes(range(short, short + more), range(long, long + more_long))))
-            short, long = short + more, long + more_long
-        nodes = self.nodes(range(TREES), range(LONG_TREES))
-        for depth in range(DEPTH + 1):
-            crowd = self.level(nodes, last=depth == DEPTH)
-            if crowd is None:
-                return
+        one = self.sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"))
+        two = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"))
+        both = F.size(F.array_intersect("ca", "cb"))
+        judged = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
+        judged = keep(judged.select("a", "b", (100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).alias("linked")), "judged")
+        links = judged.where("linked").select("a", "b")
+        if not links.isEmpty():
+            before = self.roots
+            old = [] if before is None else [before.select(F.col("id").alias("a"), F.col("root").alias("b"))]
+            self.roots = components(links.union(old[0]) if old else links)
+            forget(*([] if before is None else [before]))
+        return judged.where("not linked").select("a", "b")
+
+    def pairs(self, rows: DataFrame, every: bool = False) -> DataFrame:
+        """Likely pairs of the cells of ``rows`` (cell, id, lead), written."""
+        buckets = 1 + rows.count() // BUCKET
+        sample = self.with_comp(self.classes.select("id", "n", "level", "deeper", "marks"))
+        cells = rows.join(sample, "id").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
+        return keep(cell_pairs(cells, self.percent, every), "pairs")
+
+    def chunked(self, crowd: DataFrame, leads: DataFrame) -> DataFrame:
+        """(cell, id, lead): every crowded node (node, rows, id) in chunks of ``NODE`` classes, its leads (node, rows, id) in each."""
+        chunks = F.ceil(F.col("rows") / NODE).cast("int")
+        own = crowd.join(leads.select("node", "id").withColumn("led", F.lit(True)), ["node", "id"], "left").where("led is null")
+        own = own.select(F.xxhash64("node", F.pmod(F.xxhash64("id"), chunks).cast("int")).alias("cell"), "id", F.lit(False).alias("lead"))
+        each = leads.select("node", "id", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        return own.unionByName(each.select(F.xxhash64("node", "chunk").alias("cell"), "id", F.lit(True).alias("lead")))
+
+    def every_chunk(self, crowd: DataFrame) -> DataFrame:
+        """(cell, id, lead): every two chunks of a node (node, rows, id) as one cell; what the longest path could not part."""
+        chunks = F.ceil(F.col("rows") / NODE).cast("int")
+        own = F.pmod(F.xxhash64("id"), chunks).cast("int")
+        rows = crowd.select("node", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", F.lit(True).alias("lead"))
+
+    def lead(self, crowd: DataFrame) -> None:
+        """Let all classes of the crowded nodes (node, rows, id) meet the nodes' leaders, and contract what is linked."""
+        ranked = crowd.join(self.classes.select("id", "copies"), "id")
+        picks = [F.max(F.struct("copies", "id"))["id"]]
+        picks += [F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("h"), "id"))["id"] for k in range(1, LEADERS)]
+        chosen = ranked.groupBy("node").agg(F.first("rows").alias("rows"), F.array_distinct(F.array(*picks)).alias("ids"))
+        chosen = keep(chosen.select("node", "rows", F.explode("ids").alias("id")), "leaders")
+        found = self.pairs(self.chunked(crowd, chosen))
+        self.confirm(found)
+        forget(found, chosen)
+
+    def told_apart(self, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(cells, rest): what few classes outside a node's main component have to meet, and the nodes with many of them."""
+        rows = keep(self.with_comp(crowd), "crowd-components")
+        sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
+        main = keep(sizes.select("node", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.k")).alias("outside")).where("outside > 0"), "main")
+        few = rows.join(main.where(F.col("outside") <= NODE), "node")
+        cells = keep(self.chunked(few.select("node", "rows", "id"), few.where("comp <> main").select("node", "rows", "id")), "cells")
+        rest = keep(rows.join(main.where(F.col("outside") > NODE).select("node"), "node").select("node", "rows", "id"), "crowd")
+        forget(rows, main)
+        return cells, rest
+
+    def grow(self) -> list[DataFrame]:
+        """The cells (cell, id, lead) in which the classes of all trees meet."""
+        whole = F.lit(True).alias("lead")
+        if self.classes.count() <= NODE:
+            return [self.classes.select(F.lit(0).cast("long").alias("cell"), "id", whole)]
+        cells = []
+        branches = [F.xxhash64(F.lit(t), F.get("mh", F.lit(t % MINWISE))) for t in range(TREES)]
+        nodes = self.classes.select("id", F.explode(F.array(*branches)).alias("node"))
+        for level in range(1, LEVELS + 1):
+            # Nodes of the same classes, in whatever tree, are one node.
+            info = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id")).alias("members")).where("rows > 1")
+            info = keep(info.groupBy("rows", "members").agg(F.min("node").alias("node")).select("node", "rows"), "nodes")
+            met = keep(nodes.join(info, "node").select("node", "rows", "id"), "met")
+            cells.append(met.where(F.col("rows") <= NODE).select(F.col("node").alias("cell"), "id", whole))
+            crowd = met.where(F.col("rows") > NODE)
+            if info.where(F.col("rows") > NODE).isEmpty():
+                break
+            if level % LEADER_STEP == 1:
+                self.lead(crowd)
+            few, crowd = self.told_apart(crowd)
+            cells.append(few)
+            if crowd.isEmpty():
+                break
+            if level == LEVELS:
+                cells.append(self.every_chunk(crowd))
+                break
+            at = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(MINWISE)).cast("int") for k in range(2)]
+            second = F.lit(True) if level <= WIDE else F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < int(100 * EXTRA)
+            picks = F.when(second, F.array(*at)).otherwise(F.array(at[0]))
             tokens = crowd.select("node", "id").join(self.classes.select("id", "mh"), "id")
-            picks = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda k: F.pmod(F.xxhash64("node", k), F.lit(MINWISE)).cast("int"))
             nodes = tokens.select("node", "id", "mh", F.explode(picks).alias("at")).select(F.xxhash64("node", "at", F.get("mh", F.col("at"))).alias("node"), "id")
+        return cells
+
+    def run(self) -> None:
+        cells = self.grow()
+        rows = cells[0]
+        for more in cells[1:]:
+            rows = rows.unionByName(more)
+        pairs = self.pairs(rows)
+        failed = self.confirm(pairs)
+        if failed is None or failed.isEmpty():
+            return
+        # What stood behind a failed pair in a forest is looked at again, now between different components only.
+        again = rows.join(failed.select(F.col("a").alias("id")).distinct(), "id").select("cell").distinct()
+        self.confirm(self.pairs(rows.join(again, "cell"), every=True).join(failed, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -268,7 +365,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     real = rows.where("n > 0 and key is not null")
     found = keep(real.groupBy("n", "d1", "d2").agg(F.min("uid").alias("id"), F.min("key").alias("low"), F.count("*").alias("copies")), "classes")
     own = found.select("id", "low", "copies").join(real.withColumnRenamed("uid", "id"), "id")
-    classes = keep(own.select("id", "key", "low", "copies", "n", "d1", "d2", *SKETCHES, "mh"), "class-rows")
+    classes = keep(own.select("id", "key", "low", "copies", "n", "d1", "d2", "level", "deeper", "marks", "mh"), "class-rows")
     join = PathJoin(documents, classes, text, key, size, percent)
     join.run()
     with_root = join.with_comp(classes.select("id", "low", "copies", "n", "d1", "d2"))

@@ -223,7 +223,6 @@ def test_near_duplicates(docs, none):
 def test_near_duplicates_in_a_crowded_node(spark, monkeypatch):
     """With tiny nodes every route (leaders, branching, comparing with the whole node) is taken; no link is lost."""
     monkeypatch.setattr(neardup, "NODE", 2)
-    monkeypatch.setattr(neardup, "OUTSIDE", 1)
     words = [f"w{k}" for k in range(200)]
     texts = []
     for i in range(30):
