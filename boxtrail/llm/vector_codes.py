@@ -20,7 +20,7 @@ from boxtrail.llm.vectors import integer_vectors, matrix, summed, width
 from boxtrail.session import ship_package
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-ROWS = 4096
+ROWS, FEW = 256, 8
 
 
 def sequency_order(size: int) -> np.ndarray:
@@ -47,27 +47,42 @@ def walsh_hadamard(parts: np.ndarray) -> np.ndarray:
 
 
 def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, squared distance) of each row's nearest entry; among equal distances the lower index."""
+    """(index, squared distance) of each row's nearest entry; among equal distances the lower index.
+
+    While many entries of a block of rows are left, all of them take the next group of coefficients; once fewer than one in
+    ``FEW`` are, only those that are left do.
+    """
     x, y = walsh_hadamard(parts), walsh_hadamard(entries)
     size = x.shape[1]
+    reach = max(int(np.abs(x).max(initial=0)), int(np.abs(y).max(initial=0)))
+    if 4 * size * reach * reach < 1 << 31:
+        x, y = x.astype(np.int32), y.astype(np.int32)
+    columns = np.ascontiguousarray(y.T)
     index, error = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
-    groups = [(a, b) for a, b in zip([0, 2, 4, 8, *(16 << k for k in range(40))], [2, 4, 8, 16, *(32 << k for k in range(40))], strict=True) if a < size]
+    edges = [0, *(4 << k for k in range(size.bit_length()) if 4 << k < size), size]
+    room = np.empty((min(ROWS, len(x)), len(y)), dtype=x.dtype)
     for start in range(0, len(x), ROWS):
         own = x[start : start + ROWS]
-        sums = np.zeros((len(own), len(y)), dtype=np.int64)
-        for c in range(min(groups[0][1], size)):
-            sums += (own[:, c, None] - y[None, :, c]) ** 2
-        likely = sums.argmin(1)
-        bound = ((own - y[likely]) ** 2).sum(1)
-        row, entry = np.nonzero(sums <= bound[:, None])
-        left = sums[row, entry]
-        for a, b in groups[1:]:
-            left = left + ((own[row, a:b] - y[entry, a:b]) ** 2).sum(1)
-            stay = left <= bound[row]
-            row, entry, left = row[stay], entry[stay], left[stay]
-        # Rows come in order and every row still has its likely entry.
-        first = np.searchsorted(row, np.arange(len(own)))
-        least = np.minimum.reduceat(left, first)
+        sums, step = np.zeros((len(own), len(y)), dtype=x.dtype), room[: len(own)]
+        bound, left = None, None
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if left is None:
+                for c in range(a, b):
+                    np.subtract(own[:, c, None], columns[c], out=step)
+                    np.multiply(step, step, out=step)
+                    sums += step
+                if bound is None:
+                    bound = ((own - y[sums.argmin(1)]) ** 2).sum(1, dtype=x.dtype)
+                stays = sums <= bound[:, None]
+                if b == size or stays.sum() * FEW < stays.size:
+                    row, entry = np.nonzero(stays)
+                    left = sums[row, entry]
+            else:
+                left = left + ((own[row, a:b] - y[entry, a:b]) ** 2).sum(1, dtype=x.dtype)
+                stays = left <= bound[row]
+                row, entry, left = row[stays], entry[stays], left[stays]
+        # Rows come in order, and the entry that gave a row's bound is never out.
+        least = np.minimum.reduceat(left, np.searchsorted(row, np.arange(len(own))))
         best = np.flatnonzero(left == least[row])
         best = best[np.searchsorted(row[best], np.arange(len(own)))]
         index[start : start + ROWS], error[start : start + ROWS] = entry[best], least // size
