@@ -15,14 +15,15 @@ from boxtrail.llm.bpe import encode_decode
 from boxtrail.llm.components import keep
 from boxtrail.llm.decontaminate import decontaminate
 from boxtrail.llm.neardup import near_duplicates
-from boxtrail.llm.passes import replace_text
+from boxtrail.llm.passes import replace_text, spare
 from boxtrail.llm.quality import keep_good
 
-ROW = "__row"
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with one more column, and its name, which no other column has."""
+    row = spare(docs, "__row")
+    return docs.withColumn(row, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +34,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates (five words, 0.8); of rows equal in id and text, one."""
-    rows = with_row(docs)
-    dropped = near_duplicates(rows, key=ROW).where("not kept").select(ROW)
-    repeated = keep(rows.groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1").select(ROW), "repeated-rows")
-    kept = rows.join(dropped, ROW, "left_anti")
+    rows, row = with_row(docs)
+    dropped = near_duplicates(rows, key=row).where("not kept").select(row)
+    repeated = keep(rows.groupBy(row).agg(F.count("*").alias("__n")).where("__n > 1").select(row), "repeated-rows")
+    kept = rows.join(dropped, row, "left_anti")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    once = kept.join(repeated, ROW, "left_semi").dropDuplicates([ROW])
-    return kept.join(repeated, ROW, "left_anti").unionByName(once).select(*docs.columns)
+    once = kept.join(repeated, row, "left_semi").dropDuplicates([row])
+    return kept.join(repeated, row, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark window."""
-    rows = with_row(docs)
-    hit = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW).where("n_hit > 0").select(ROW)
-    return rows.join(hit, ROW, "left_anti").select(*docs.columns)
+    rows, row = with_row(docs)
+    hit = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row).where("n_hit > 0").select(row)
+    return rows.join(hit, row, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
