@@ -26,11 +26,12 @@ from boxtrail.llm.components import components, forget, keep
 from boxtrail.llm.flat import Words, distinct_per_text, flat_texts, grams, mix, slices, words_of
 from boxtrail.session import ship_package
 
-SHINGLE, MINWISE, TREES = 5, 32, 12
+SHINGLE, MINWISE, TREES = 5, 32, 16
 # Classes that are compared exhaustively; rows of a bucket of nodes; leaders of a crowded node.
-NODE, BUCKET, LEADERS = 1024, 4096, 4
-# Levels of a tree, and those at which a crowded node has two children for certain, not by chance.
-LEVELS, WIDE, EXTRA = 64, 3, 0.2
+NODE, BUCKET, LEADERS = 1024, 2048, 4
+# Levels of a tree, those at which a crowded node has two children for certain, and the share of such nodes further down: the
+# expected number of children is about 1 / similarity, so trees neither die out nor grow along large groups of near copies.
+LEVELS, WIDE, EXTRA = 64, 1, 0.2
 # Levels between two rounds of leaders.
 LEADER_STEP = 4
 SAMPLE = 512
@@ -141,7 +142,7 @@ def likeness(n: np.ndarray, level: np.ndarray, deeper: np.ndarray, marks: list[n
     On whole sets the number of common shingles is at most the number of common marks and of the doubled marks of either set,
     so no link is missed.
     """
-    out, share = np.full((len(n), len(n)), -1.0), percent / 100
+    out, share = np.full((len(n), len(n)), -1, dtype=np.float32), percent / 100
     for top in np.unique(level):
         rows = np.flatnonzero((level == top) | (level == top - 1))
         own = [marks[r] if level[r] == top else marks[r][: deeper[r]] for r in rows]
@@ -151,7 +152,7 @@ def likeness(n: np.ndarray, level: np.ndarray, deeper: np.ndarray, marks: list[n
         doubled = size - np.bincount(row, minlength=len(rows))
         shared = np.bincount(column, minlength=len(kinds)) > 1
         row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
-        both = np.minimum.outer(doubled, doubled).astype(np.float64)
+        both = np.minimum.outer(doubled.astype(np.float32), doubled.astype(np.float32))
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         for a in range(0, int(shared.sum()), NODE):
@@ -159,9 +160,15 @@ def likeness(n: np.ndarray, level: np.ndarray, deeper: np.ndarray, marks: list[n
             held = np.zeros((len(rows), min(NODE, int(shared.sum()) - a)), dtype=np.float32)
             held[row[part], column[part] - a] = 1
             both += held @ held.T
-        union = np.maximum(size[:, None] + size - both, 1)
-        least = share if top == 0 else share - DEVIATIONS * np.sqrt(share * (1 - share) / union)
-        fits = (both >= least * union - 1e-9) & (100 * np.minimum.outer(n[rows], n[rows]) >= percent * np.maximum.outer(n[rows], n[rows]))
+        # Counts are whole numbers far below 2^24, so single precision holds them and the test on whole sets exactly.
+        size = size.astype(np.float32)
+        union = np.maximum(np.add.outer(size, size) - both, 1)
+        if top == 0:
+            fits = 100 * both >= percent * union
+        else:
+            fits = both >= share * union - DEVIATIONS * np.sqrt(share * (1 - share) * union)
+        whole = n[rows].astype(np.float64)
+        fits &= 100 * np.minimum.outer(whole, whole) >= percent * np.maximum.outer(whole, whole)
         fits &= np.maximum.outer(level[rows], level[rows]) == top
         np.fill_diagonal(fits, False)
         x, y = np.nonzero(fits)
@@ -171,7 +178,7 @@ def likeness(n: np.ndarray, level: np.ndarray, deeper: np.ndarray, marks: list[n
 
 def forest(weight: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a maximum spanning forest between the components, grown class by class; a component counts as joined."""
-    left, best, by = np.ones(len(comp), dtype=bool), np.full(len(comp), -1.0), np.zeros(len(comp), dtype=np.int64)
+    left, best, by = np.ones(len(comp), dtype=bool), np.full(len(comp), -1, dtype=np.float32), np.zeros(len(comp), dtype=np.int64)
     edges = []
     while left.any():
         v = int(np.argmax(np.where(left, best, -2.0)))

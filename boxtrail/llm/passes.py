@@ -11,6 +11,14 @@ from boxtrail.llm.flat import SLICE_BYTES, slices
 from boxtrail.session import ship_package
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filter_rows(documents: DataFrame, text: str, test: Callable[[pa.Array], pa.Array], limit: int = SLICE_BYTES) -> DataFrame:
     """Rows whose text passes ``test`` (texts in, booleans out), every column as it was."""
     ship_package(documents.sparkSession)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxtrail.llm.flat import Words, distinct_per_text, flat_texts, grams, mix, prefix_codes, slices, span_codes, words_of
+from boxtrail.llm.passes import spare
 from boxtrail.session import ship_package
 
 BUCKETS, MAX_BUCKETS = 1 << 17, 1 << 20
@@ -79,8 +80,10 @@ def marks_of(trusted_ids: DataFrame, poor_ids: DataFrame | None, key: str) -> Da
 
 
 def marked(documents: DataFrame, marks: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """The rows with all their columns and their key's mark (null without one)."""
-    return documents.join(marks, documents[key] == marks["__key"], how).drop("__key")
+    """The rows with all their columns and, last, their key's mark (null without one) under a name that is not taken."""
+    own, mark = spare(documents, "__key"), spare(documents, MARK)
+    named = marks.select(F.col("__key").alias(own), F.col(MARK).alias(mark))
+    return documents.join(named, documents[key] == named[own], how).drop(own)
 
 
 def gram_counts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -210,7 +213,7 @@ def fit(documents: DataFrame, marks: DataFrame, text: str, key: str, buckets: in
 
 
 def held_out(part: pa.RecordBatch) -> np.ndarray:
-    return part.column(MARK).fill_null(False).to_numpy(zero_copy_only=False)
+    return part.column(part.num_columns - 1).fill_null(False).to_numpy(zero_copy_only=False)
 
 
 def quality_rules(
@@ -255,7 +258,7 @@ def keep_good(
     threshold: float | None = THRESHOLD,
     poor_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """The rows that ``quality_rules`` keeps, with all their columns."""
+    """The rows that ``quality_rules`` keeps, with all their columns, whatever these are called."""
     ship_package(documents.sparkSession)
     marks = marks_of(trusted_ids, poor_ids, key)
     model, least = fit(documents, marks, text, key, buckets, threshold)

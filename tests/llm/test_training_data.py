@@ -412,3 +412,49 @@ def test_pipeline_stages(spark, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == set(left)
     assert all(r.decoded_sha256 == hashlib.sha256(left[i].text.encode()).hexdigest() for i, r in out.items())
+
+
+def test_pipeline_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    words = [f"term{k % 83}" for k in range(90)]
+    texts = [(k, " ".join(words[k:] + words[:k]), "a", True, 1.5, "r") for k in range(0, 40, 7)]
+    schema = "doc_id long, text string, __key string, __mark boolean, mark double, __row string"
+    spark.createDataFrame(texts, schema).write.parquet(str(tmp_path / "full" / "documents.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for name in ("full", "none"):
+        spark.createDataFrame([(0, 1, 0), (None, 1, 0)] if name == "full" else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        before = {r.doc_id: r for r in docs.collect()}
+        for label, stage in corpus_pipeline.STAGES[:-1]:
+            columns, docs = docs.columns, corpus_pipeline.keep(stage(spark, docs, str(tmp_path / name)), label)
+            assert docs.columns == columns
+        assert all(tuple(r) == tuple(before[r.doc_id]) for r in docs.collect())
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == docs.count()
+
+
+def test_marked_samples_never_miss_a_link():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, 700).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[: 300 + 60 * k], rng.integers(0, 1 << 62, 12 * k).astype(np.uint64)))) for k in range(8)] + [np.unique(base), np.unique(base[5:])]
+    text, code = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    level, deeper, bounds, marks = neardup.samples(text, code, len(sets))
+    own = [marks[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    n = np.array([len(s) for s in sets])
+    weight = neardup.likeness(n, level, deeper, own, 85)
+    assert set(level) == {0, 1} and all(len(m) == k for m, k, z in zip(own, n, level, strict=True) if not z)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            both = len(np.intersect1d(s, t))
+            if i != j and 100 * both >= 85 * (len(s) + len(t) - both):
+                assert weight[i, j] >= 0
+            elif i != j and level[i] == level[j] == 0:
+                assert weight[i, j] < 0 or both / (len(s) + len(t) - both) > 0.84
+
+
+def test_forest_joins_components_by_the_likeliest_pairs():
+    weight = np.full((5, 5), -1.0)
+    for a, b, w in ((0, 1, 0.9), (1, 2, 0.95), (0, 2, 0.86), (3, 4, 0.99)):
+        weight[a, b] = weight[b, a] = w
+    pairs = lambda comp: {frozenset(e) for e in neardup.forest(weight, np.array(comp))}
+    assert pairs(range(5)) == {frozenset((0, 1)), frozenset((1, 2)), frozenset((3, 4))}
+    assert pairs([7, 7, 1, 2, 3]) == {frozenset((1, 2)), frozenset((3, 4))}
