@@ -34,7 +34,7 @@ NODE, BUCKET, LEADERS = 1024, 2048, 4
 LEVELS, WIDE, EXTRA = 64, 1, 0.2
 # Levels between two rounds of leaders.
 LEADER_STEP = 4
-SAMPLE = 512
+SAMPLE, STRIPE = 512, 128
 # A link between sampled sets is missed by the estimate with probability below 1e-6 (five deviations).
 DEVIATIONS = 5.0
 SLICE = 1 << 20
@@ -136,49 +136,51 @@ def full_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str, size
     return sets.join(wanted, ["key", "n", "d1", "d2"]).groupBy("id", "n").agg(F.first("codes").alias("codes"))
 
 
-def likeness(n: np.ndarray, level: np.ndarray, deeper: np.ndarray, marks: list[np.ndarray], percent: int) -> np.ndarray:
-    """Similarity of every two classes by their marks, -1 where they cannot be linked.
+def likeness(n: np.ndarray, level: np.ndarray, deeper: np.ndarray, marks: list[np.ndarray], percent: int, leads: np.ndarray) -> np.ndarray:
+    """Similarity of each lead (row) and each class (column) by their marks, -1 where they cannot be linked.
 
     On whole sets the number of common shingles is at most the number of common marks and of the doubled marks of either set,
-    so no link is missed.
+    so no link is missed. Rows are judged a stripe at a time, which bounds the memory.
     """
-    out, share = np.full((len(n), len(n)), -1, dtype=np.float32), percent / 100
+    out, share = np.full((len(leads), len(n)), -1, dtype=np.float32), percent / 100
     for top in np.unique(level):
         rows = np.flatnonzero((level == top) | (level == top - 1))
+        first = np.flatnonzero(np.isin(leads, rows))
+        at_lead = np.searchsorted(rows, leads[first])
         own = [marks[r] if level[r] == top else marks[r][: deeper[r]] for r in rows]
-        size = np.array([len(m) for m in own])
+        # Counts are whole numbers far below 2^24, so single precision holds them and the test on whole sets exactly.
+        size = np.array([len(m) for m in own], dtype=np.float32)
         kinds, at = np.unique(np.concatenate(own), return_inverse=True)
-        row, column = np.divmod(np.unique(np.repeat(np.arange(len(rows)), size) * max(len(kinds), 1) + at), max(len(kinds), 1))
-        doubled = size - np.bincount(row, minlength=len(rows))
+        row, column = np.divmod(np.unique(np.repeat(np.arange(len(rows)), size.astype(np.int64)) * max(len(kinds), 1) + at), max(len(kinds), 1))
+        doubled = size - np.bincount(row, minlength=len(rows)).astype(np.float32)
         shared = np.bincount(column, minlength=len(kinds)) > 1
         row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
-        both = np.minimum.outer(doubled.astype(np.float32), doubled.astype(np.float32))
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
+        both = np.minimum.outer(doubled[at_lead], doubled)
         for a in range(0, int(shared.sum()), NODE):
             part = slice(*np.searchsorted(column, [a, a + NODE]))
             held = np.zeros((len(rows), min(NODE, int(shared.sum()) - a)), dtype=np.float32)
             held[row[part], column[part] - a] = 1
-            both += held @ held.T
-        # Counts are whole numbers far below 2^24, so single precision holds them and the test on whole sets exactly.
-        size = size.astype(np.float32)
-        union = np.maximum(np.add.outer(size, size) - both, 1)
-        if top == 0:
-            fits = 100 * both >= percent * union
-        else:
-            fits = both >= share * union - DEVIATIONS * np.sqrt(share * (1 - share) * union)
+            both += held[at_lead] @ held.T
         whole = n[rows].astype(np.float64)
-        fits &= 100 * np.minimum.outer(whole, whole) >= percent * np.maximum.outer(whole, whole)
-        fits &= np.maximum.outer(level[rows], level[rows]) == top
-        np.fill_diagonal(fits, False)
-        x, y = np.nonzero(fits)
-        out[rows[x], rows[y]] = (both / union)[x, y]
+        for a in range(0, len(first), STRIPE):
+            mine, common = at_lead[a : a + STRIPE], both[a : a + STRIPE]
+            union = np.maximum(size[mine, None] + size - common, 1)
+            fits = 100 * common >= percent * union if top == 0 else common >= share * union - DEVIATIONS * np.sqrt(share * (1 - share) * union)
+            fits &= 100 * np.minimum(whole[mine, None], whole) >= percent * np.maximum(whole[mine, None], whole)
+            fits &= np.maximum(level[rows][mine, None], level[rows]) == top
+            fits[np.arange(len(mine)), mine] = False
+            x, y = np.nonzero(fits)
+            out[first[a + x], rows[y]] = common[x, y] / union[x, y]
     return out
 
 
-def forest(weight: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+def forest(weight: np.ndarray, leads: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a maximum spanning forest between the components, grown class by class; a component counts as joined."""
     left, best, by = np.ones(len(comp), dtype=bool), np.full(len(comp), -1, dtype=np.float32), np.zeros(len(comp), dtype=np.int64)
+    row = np.full(len(comp), -1)
+    row[leads] = np.arange(len(leads))
     edges = []
     while left.any():
         v = int(np.argmax(np.where(left, best, -2.0)))
@@ -186,9 +188,15 @@ def forest(weight: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
             edges.append((int(by[v]), v))
         new = np.flatnonzero(left & (comp == comp[v]))
         left[new] = False
-        top = weight[new].max(0)
-        better = top > best
-        best[better], by[better] = top[better], new[weight[new].argmax(0)[better]]
+        own, others = row[new[row[new] >= 0]], new[row[new] < 0]
+        if len(own):
+            top = weight[own].max(0) if len(own) > 1 else weight[own[0]]
+            better = top > best
+            best[better], by[better] = top[better], leads[own[weight[own].argmax(0)[better]]] if len(own) > 1 else leads[own[0]]
+        if len(others):
+            seen = weight[:, others]
+            better = leads[seen.max(1) > best[leads]]
+            best[better], by[better] = seen.max(1)[row[better]], others[seen.argmax(1)[row[better]]]
     return edges
 
 
@@ -208,13 +216,14 @@ def cell_pairs(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if (comp[a:b] == comp[a]).all():
                 continue
-            weight = likeness(n[a:b], level[a:b], deeper[a:b], marks[a:b], percent)
-            weight[~(lead[a:b, None] | lead[None, a:b])] = -1
-            weight[comp[a:b, None] == comp[None, a:b]] = -1
+            leads = np.flatnonzero(lead[a:b])
+            weight = likeness(n[a:b], level[a:b], deeper[a:b], marks[a:b], percent, leads)
+            weight[comp[a:b][leads, None] == comp[a:b]] = -1
             if every:
-                x, y = np.nonzero(np.triu(weight >= 0))
+                x, y = np.nonzero(weight >= 0)
+                x = leads[x]
             else:
-                x, y = np.array(forest(weight, comp[a:b]), dtype=np.int64).reshape(-1, 2).T
+                x, y = np.array(forest(weight, leads, comp[a:b]), dtype=np.int64).reshape(-1, 2).T
             one.append(ids[a + np.minimum(x, y)])
             two.append(ids[a + np.maximum(x, y)])
         none = [np.zeros(0, np.int64)]

@@ -440,7 +440,9 @@ def test_marked_samples_never_miss_a_link():
     level, deeper, bounds, marks = neardup.samples(text, code, len(sets))
     own = [marks[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     n = np.array([len(s) for s in sets])
-    weight = neardup.likeness(n, level, deeper, own, 85)
+    weight = neardup.likeness(n, level, deeper, own, 85, np.arange(len(n)))
+    some = np.array([1, 4, 8])
+    assert (neardup.likeness(n, level, deeper, own, 85, some) == weight[some]).all()
     assert set(level) == {0, 1} and all(len(m) == k for m, k, z in zip(own, n, level, strict=True) if not z)
     for i, s in enumerate(sets):
         for j, t in enumerate(sets):
@@ -452,9 +454,11 @@ def test_marked_samples_never_miss_a_link():
 
 
 def test_forest_joins_components_by_the_likeliest_pairs():
-    weight = np.full((5, 5), -1.0)
+    weight, all_ = np.full((5, 5), -1.0, dtype=np.float32), np.arange(5)
     for a, b, w in ((0, 1, 0.9), (1, 2, 0.95), (0, 2, 0.86), (3, 4, 0.99)):
         weight[a, b] = weight[b, a] = w
-    pairs = lambda comp: {frozenset(e) for e in neardup.forest(weight, np.array(comp))}
+    pairs = lambda comp: {frozenset(e) for e in neardup.forest(weight, all_, np.array(comp))}
     assert pairs(range(5)) == {frozenset((0, 1)), frozenset((1, 2)), frozenset((3, 4))}
     assert pairs([7, 7, 1, 2, 3]) == {frozenset((1, 2)), frozenset((3, 4))}
+    some = np.array([1, 4])
+    assert {frozenset(e) for e in neardup.forest(weight[some], some, np.arange(5))} == {frozenset((0, 1)), frozenset((1, 2)), frozenset((3, 4))}
