@@ -29,9 +29,9 @@ from boxtrail.session import ship_package
 SHINGLE, MINWISE, TREES = 5, 32, 16
 # Classes that are compared exhaustively; rows of a bucket of nodes; leaders of a crowded node.
 NODE, BUCKET, LEADERS = 1024, 2048, 4
-# Levels of a tree, those at which a crowded node has two children for certain, and the share of such nodes further down: the
-# expected number of children is about 1 / similarity, so trees neither die out nor grow along large groups of near copies.
-LEVELS, WIDE, EXTRA = 64, 1, 0.2
+# Levels of a tree, and the share of crowded nodes with two children: the expected number of children is about 1 / similarity, so
+# trees neither die out nor grow along large groups of near copies.
+LEVELS, EXTRA = 64, 0.2
 # Levels between two rounds of leaders.
 LEADER_STEP = 4
 SAMPLE, STRIPE = 512, 128
@@ -348,7 +348,7 @@ class PathJoin:
                 cells.append(self.every_chunk(crowd))
                 break
             at = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(MINWISE)).cast("int") for k in range(2)]
-            second = F.lit(True) if level <= WIDE else F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < int(100 * EXTRA)
+            second = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < int(100 * EXTRA)
             picks = F.when(second, F.array(*at)).otherwise(F.array(at[0]))
             tokens = crowd.select("node", "id").join(self.classes.select("id", "mh"), "id")
             nodes = tokens.select("node", "id", "mh", F.explode(picks).alias("at")).select(F.xxhash64("node", "at", F.get("mh", F.col("at"))).alias("node"), "id")
