@@ -11,6 +11,8 @@ from boxtrail.plans.matching_queries import r6
 from boxtrail.plans.registry import ORACLES, query
 from boxtrail.plans.sqltext import iou
 from boxtrail.streaming import kernels as k, streams as st, trackers as tr
+from boxtrail.streaming.feed import as_stream, run_to_end
+from boxtrail.streaming.stateful import Clock
 
 LINE = k.LineConfig(
     roi=(90, 0, 220, 110), line_fraction=0.5, minimum_hits={"cell": 2, "droplet": 3}, max_misses=3,
@@ -188,7 +190,19 @@ def st5(spark, sf):
     return r6(out.select(*cols), "fused_confidence")
 
 
-@query("st5_consensus_rejections")
+REJECTED = """,every_row as (select source_id,class_id,cur from a union all select source_id,class_id,cur from b),
+left_over as (select a.source_id,a.class_id,a.frame_index+15 as deadline,a.event_id as first_id,cast(null as bigint) as second_id from a
+  where not exists (select 1 from f where f.source_id=a.source_id and f.class_id=a.class_id and f.ue=a.event_id)
+ union all select b.source_id,b.class_id,b.frame_index+30,null,b.event_id from b
+  where not exists (select 1 from f where f.source_id=b.source_id and f.class_id=b.class_id and f.de=b.event_id))"""
+
+
+@query(
+    "st5_consensus_rejections",
+    fx.ctes("fx_timed").rstrip() + ",\n" + FUSED + REJECTED
+    + """ select l.source_id,l.class_id,min(z.cur) as frame_index,first_id,second_id from left_over l join every_row z on z.source_id=l.source_id and z.class_id=l.class_id
+ and z.cur>l.deadline group by l.source_id,l.class_id,first_id,second_id""",
+)
 def st5r(spark, sf):
     rows = tagged(spark, sf).withColumnRenamed("frame_index", "event_frame")
     out = tr.consensus_stream(rows, ["source_id", "class_id"], PAIR).filter("state = 'rejected'")
@@ -448,3 +462,78 @@ ORACLES["st3_track_optimal"] = (
     + OPTIMAL
     + " select o.source_id,o.frame_index,o.det_idx,t.id as track_id,f.class_id,round(t.x,6) as center_x,round(t.y,6) as center_y,t.now as crossed from o join fx_stream f on f.event_id=o.det_idx"
 )
+
+
+# The same operators as streams: the table comes in three micro-batches, up to two frames out of order.
+FPS = 10.0
+CLOCK = Clock("ts", 1000 / FPS)
+LAG_FRAMES, ORIGIN_US = 2, 946_684_800_000_000
+
+
+def live(table, frame="frame_index"):
+    frame_ms = int(CLOCK.frame_ms)
+    lag = F.pmod(F.xxhash64("source_id", frame), F.lit(LAG_FRAMES + 1)) * frame_ms
+    return as_stream(table.withColumn("ts", st.frame_time(frame, FPS, ORIGIN_US)), "ts", (LAG_FRAMES + 1) * frame_ms, lag_ms=lag)
+
+
+@query("st1_line_stream")
+def st1s(spark, sf):
+    """Crossings of the line tracker as a stream; the rows are those of the table form."""
+    rows = run_to_end(tr.track_lines(live(detections(spark, sf)), ["source_id"], LINE, clock=CLOCK)).filter("kind = 'event'")
+    cols = ["source_id", "frame_index", "track_id", "class_id", "hits", *NUMBERS]
+    return r6(rows.select(*cols), *NUMBERS)
+
+
+@query("st3_optimal_stream", ORACLES["st3_track_optimal"])
+def st3s(spark, sf):
+    cfg = k.OptimalConfig(model_width=130.0, line_x=155.0, minimum_hits=2, max_misses=3, max_center_distance=0.25, hysteresis=0.03)
+    rows = run_to_end(tr.track_optimal(live(detections(spark, sf)), ["source_id"], cfg, clock=CLOCK)).drop("late_rows")
+    return r6(rows, "center_x", "center_y")
+
+
+@query("st8_candidate_stream", ORACLES["st8_track_candidates"])
+def st8s(spark, sf):
+    cfg = k.PointConfig(max_distance=14.0, max_missed=2)
+    rows = run_to_end(tr.track_points(live(points(spark, sf)), ["source_id", "sequence_id"], cfg, clock=CLOCK))
+    rows = rows.filter("kind = 'track'").drop("kind", "det_idx", "frame_index", "late_rows")
+    return r6(rows, "x", "y", "mean_score", "max_score").withColumn("confidence", F.round("confidence", 9))
+
+
+@query("st9_particle_stream", ORACLES["st9_track_particles"])
+def st9s(spark, sf):
+    cfg = k.PointConfig(max_distance=16.0, max_missed=2, smoothing=0.7, min_hits=3, confidence=0.6)
+    rows = run_to_end(tr.track_points(live(points(spark, sf)), ["source_id", "sequence_id"], cfg, clock=CLOCK))
+    rows = rows.filter("kind = 'observation'").drop("kind", "late_rows")
+    return r6(rows, "x", "y", "mean_score", "max_score").withColumn("confidence", F.round("confidence", 9))
+
+
+@query("st4_associator_stream", ORACLES["st4_associate_stream"])
+def st4s(spark, sf):
+    rows = live(tagged(spark, sf).drop("current_frame"))
+    out = run_to_end(tr.associate_stream(rows, ["source_id", "class_id"], PAIR, clock=CLOCK))
+    return out.select("source_id", "event_id", "upstream_id", "delay_frames", "cross_axis_distance", "verified")
+
+
+@query(
+    "st5_event_time_stream",
+    fx.ctes("fx_timed").rstrip() + ",\n" + FUSED + REJECTED
+    + """ select 'fused' as state,source_id,class_id,ue as first_id,de as second_id,round(sqrt(ca*cb),6) as fused_confidence from f
+ union all select 'rejected',source_id,class_id,first_id,second_id,null from left_over""",
+)
+def st5s(spark, sf):
+    """Both inputs of the consensus as one tagged stream; at its end every event is fused or rejected by its timer."""
+    rows = live(tagged(spark, sf).withColumnRenamed("frame_index", "event_frame"), "current_frame")
+    out = run_to_end(tr.consensus_stream(rows, ["source_id", "class_id"], PAIR, clock=CLOCK))
+    return r6(out.select("state", "source_id", "class_id", "first_id", "second_id", "fused_confidence"), "fused_confidence")
+
+
+@query(
+    "st12_latest_stream",
+    fx.ctes("fx_timed").rstrip() + " select source_id,max(frame_index) as frame_index,count(*) as received,true as balanced from fx_timed group by 1",
+)
+def st12s(spark, sf):
+    """Load shedding on the stream: the last frame sent of each source, and whether sent and dropped rows add up to those received."""
+    rows = live(fx.timed(spark, sf).select("source_id", "frame_index", "event_id"))
+    out = run_to_end(st.latest_stream(rows, "source_id", "frame_index"))
+    balanced = F.sum(F.col("dropped") + F.col("sent").cast("long")) == F.max("received")
+    return out.groupBy("source_id").agg(F.max(F.when(F.col("sent"), F.col("frame_index"))).alias("frame_index"), F.max("received").alias("received"), balanced.alias("balanced"))

@@ -62,6 +62,14 @@ class Kernel:
         """Output for tracks still alive when the source ends for good."""
         return []
 
+    def alive(self) -> bool:
+        """Whether anything is kept that time alone can end."""
+        return not self.idle()
+
+    def expire(self) -> list[dict]:
+        """Output of the frames after the last one, until nothing is kept any more."""
+        return self.skip_to(self.last + self.cfg.longest_miss + 2)
+
     def advance(self, frame: int, rows: list[dict]) -> list[dict]:
         """Frames between the last one and this one passed without detections."""
         out = self.skip_to(frame - 1)
@@ -619,6 +627,13 @@ class Associator(Kernel):
     def idle(self) -> bool:
         return True
 
+    def alive(self) -> bool:
+        return bool(self.extra.get("wait"))
+
+    def expire(self) -> list[dict]:
+        self.extra["wait"] = []
+        return []
+
     def frame(self, frame: int, rows: list[dict]) -> list[dict]:
         c = self.cfg
         wait = self.extra.setdefault("wait", [])
@@ -654,6 +669,18 @@ class Consensus(Kernel):
     def idle(self) -> bool:
         return True
 
+    def alive(self) -> bool:
+        return any(self.extra.get(side) for side in SIDES)
+
+    def expire(self) -> list[dict]:
+        """Both sides are past their time: what is still unmatched comes out as rejected, at the frame after its last one."""
+        out = []
+        for side, who, keep in zip(SIDES, ("first", "second"), (self.cfg.max_delay, 2 * self.cfg.max_delay)):
+            kept = self.extra.get(side, [])
+            out += [self._row("rejected", e["frame"] + keep + 1, e["class_id"], **{f"{who}_id": e["event_id"]}) for e in kept]
+            self.extra[side] = []
+        return out
+
     def frame(self, frame: int, rows: list[dict]) -> list[dict]:
         c, out = self.cfg, []
         a, b = (self.extra.setdefault(k, []) for k in SIDES)

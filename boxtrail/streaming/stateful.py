@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from boxtrail.session import ship_package
 
 
 # Schemas are built here, on the driver: a worker has no context to parse DDL text with.
 STATE = StructType([StructField("state", StringType())])
+TIME = "event_ms"
 
 
 class KernelProcessor(StatefulProcessor):
@@ -67,6 +72,119 @@ class KernelProcessor(StatefulProcessor):
         pass
 
 
+CLOCK = StructType([StructField("at", LongType()), StructField("late", LongType())])
+
+
+@dataclass(frozen=True)
+class Clock:
+    """Event time of a stream: its timestamp column (with a watermark) and the milliseconds between two frames."""
+
+    column: str
+    frame_ms: float
+
+
+class TimedKernelProcessor(KernelProcessor):
+    """Feeds a source's frames to its kernel once the watermark has passed them.
+
+    Rows wait in list state until the source's timer fires, so rows of a frame may come in any order and in several
+    micro-batches within the watermark's delay, and the newest frame needs no later one. One timer a source stands at its
+    oldest waiting frame or, without one, where everything that the kernel still keeps must have ended: it then puts out
+    what is left and drops it. Rows that come after their frame was closed are counted in ``late_rows``; those behind the
+    watermark are dropped and counted by Spark.
+    """
+
+    def __init__(self, *args, idle_ms: int, drain: bool):
+        super().__init__(*args)
+        self.idle_ms, self.drain = idle_ms, drain
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.clock = handle.getValueState("clock", CLOCK)
+        self.timer = handle.getValueState("timer", StructType([StructField("ms", LongType())]))
+
+    def _load(self, key):
+        kernel = self.make(dict(zip(self.keys, key)))
+        if self.saved.exists():
+            kernel.restore(json.loads(self.saved.get()[0]))
+        at, late = self.clock.get() if self.clock.exists() else (None, 0)
+        items = [dict(zip(self.columns, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        return kernel, at, late, items
+
+    def _store(self, kernel, at, late, items) -> None:
+        if items:
+            self.waiting.put([tuple(r[c] for c in self.columns) for r in items])
+        else:
+            self.waiting.clear()
+        self.saved.update((json.dumps(kernel.state(), default=float),))
+        self.clock.update((at, late))
+        due = min((int(r[TIME]) for r in items), default=None)
+        if due is None and at is not None and kernel.alive():
+            due = at + self.idle_ms
+        set_ = self.timer.get()[0] if self.timer.exists() else None
+        if set_ == due:
+            return
+        if set_ is not None:
+            self.handle.deleteTimer(set_)
+            self.timer.clear()
+        if due is not None:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kernel, at, late, items = self._load(key)
+        for pdf in rows:
+            for r in pdf[self.columns].to_dict("records"):
+                r[self.frame] = int(r[self.frame])
+                if kernel.last is not None and r[self.frame] <= kernel.last:
+                    late += 1
+                else:
+                    items.append(r)
+        self._store(kernel, at, late, items)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        kernel, at, late, items = self._load(key)
+        ready = sorted((r for r in items if int(r[TIME]) < now), key=lambda r: (int(r[self.frame]), *[r[t] for t in self.tie]))
+        found = []
+        for frame, group in groupby(ready, key=lambda r: int(r[self.frame])):
+            group = [{**r, self.frame: frame, **dict(zip(self.keys, key))} for r in group]
+            found += kernel.advance(frame, group)
+            at = int(group[0][TIME])
+        items = [r for r in items if int(r[TIME]) >= now]
+        if not items and at is not None and kernel.alive() and at + self.idle_ms < now:
+            found += kernel.expire()
+            if self.drain:
+                found += kernel.drain()
+                kernel.tracks = {}
+        self._store(kernel, at, late, items)
+        if found:
+            body = pd.DataFrame([[r.get(n) for n in self.names] for r in found], columns=self.names).assign(late_rows=late)
+            for i, k in enumerate(self.keys):
+                body.insert(i, k, key[i])
+            yield body
+
+
+def run_timed(df: DataFrame, keys: list[str], frame: str, tie: list[str], make, out: str, clock: Clock, longest: int, drain: bool = False) -> DataFrame:
+    """Streaming twin of ``replay`` in event time: nothing is left open once the watermark has passed the last frame.
+
+    ``df`` has a watermark on ``clock.column``; ``longest`` is the number of frames after which nothing of a frame is kept.
+    One more column, ``late_rows``, counts the rows of the source that came too late so far.
+    """
+    ship_package(df.sparkSession)
+    rows = df.withColumn(TIME, F.unix_millis(clock.column))
+    pending = StructType([StructField(f.name, f.dataType) for f in rows.schema.fields if f.name not in (*keys, clock.column)])
+    key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    processor = TimedKernelProcessor(
+        keys, frame, tie, make, StructType.fromDDL(out).names, pending, idle_ms=math.ceil((longest + 1) * clock.frame_ms), drain=drain
+    )
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"{key_ddl}, {out}, late_rows long", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def run_stream(df: DataFrame, keys: list[str], frame: str, tie: list[str], make, out: str, mode: str = "None") -> DataFrame:
     """Streaming twin of ``replay``: same kernels, same output columns, state kept per key in the state store."""
     ship_package(df.sparkSession)

@@ -13,9 +13,9 @@ from boxtrail.session import ship_package
 from boxtrail.sources.records import LONG_RECORD, MAX_PAYLOAD, MAX_RECORDS
 
 
-def frame_time(frame: str, fps: float) -> Column:
-    """Event time of a frame; monotone per source."""
-    return F.timestamp_micros((F.col(frame) * (1e6 / fps)).cast("long"))
+def frame_time(frame: str, fps: float, origin_us: int = 0) -> Column:
+    """Event time of a frame, counted from ``origin_us`` (microseconds since 1970); monotone per source."""
+    return F.timestamp_micros(F.lit(origin_us) + (F.col(frame) * (1e6 / fps)).cast("long"))
 
 
 def burst_sessions(packets: DataFrame, keys: list[str], gap: str, delay: str = "1 minute") -> DataFrame:
@@ -50,13 +50,18 @@ LAST = StructType([StructField("frame", LongType())])
 
 
 class NewerThan(StatefulProcessor):
-    """Per source: keep only the newest row of a micro-batch, and only when it is newer than the last one sent."""
+    """Per source: keep only the newest row of a micro-batch, and only when it is newer than the last one sent.
 
-    def __init__(self, frame: str, columns: list[str]):
-        self.frame, self.columns = frame, columns
+    A batch without such a row puts out its count alone (``sent`` false), so rows sent and rows dropped always add up to the
+    rows received. ``received`` is their number so far, carried in state.
+    """
+
+    def __init__(self, source: str, frame: str, columns: list[str]):
+        self.source, self.frame, self.columns = source, frame, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", LAST)
+        self.received = handle.getValueState("received", LAST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best, seen = None, 0
@@ -65,25 +70,37 @@ class NewerThan(StatefulProcessor):
             top = pdf.loc[[pdf[self.frame].idxmax()]]
             if best is None or int(top[self.frame].iloc[0]) > int(best[self.frame].iloc[0]):
                 best = top
+        total = seen + (self.received.get()[0] if self.received.exists() else 0)
+        self.received.update((total,))
         newest = int(best[self.frame].iloc[0])
-        if self.last.exists() and newest <= self.last.get()[0]:
-            return
-        self.last.update((newest,))
-        yield best[self.columns].assign(dropped=seen - 1)
+        sent = not self.last.exists() or newest > self.last.get()[0]
+        if sent:
+            self.last.update((newest,))
+        else:
+            best = pd.DataFrame([[key[0] if c == self.source else None for c in self.columns]], columns=self.columns, dtype=object)
+        yield best[self.columns].assign(dropped=seen - sent, received=total, sent=sent)
 
     def close(self) -> None:
         pass
 
 
 def latest_stream(df: DataFrame, source: str, frame: str) -> DataFrame:
-    """Load shedding on a stream: at most one row per source and micro-batch, never an old one."""
+    """Load shedding on a stream: at most one row per source and micro-batch, never an old one, and the counts of all others."""
     ship_package(df.sparkSession)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.groupBy(source).transformWithStateInPandas(
-        statefulProcessor=NewerThan(frame, df.columns), outputStructType=f"{ddl}, dropped long", outputMode="Append", timeMode="None"
+        statefulProcessor=NewerThan(source, frame, df.columns), outputStructType=f"{ddl}, dropped long, received long, sent boolean", outputMode="Append", timeMode="None"
     )
 
 
+def next_after(sent: DataFrame, source: str, frame: str, seen: DataFrame) -> DataFrame:
+    """For each source of ``seen`` (source, frame): the newest row sent that is newer than the frame seen there, if there is one."""
+    asked = seen.select(source, F.col(frame).alias("_seen"))
+    newer = sent.where("sent").join(asked, source).where(F.col(frame) > F.col("_seen")).drop("_seen")
+    cols = [c for c in newer.columns if c != source]
+    return newer.groupBy(source).agg(F.max_by(F.struct(*cols), frame).alias("_b")).select(source, "_b.*")
+
+
 FRAGMENT = StructType(
     [
         StructField(n, t)

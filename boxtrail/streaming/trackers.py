@@ -9,7 +9,7 @@ from boxtrail.operators import association as assoc
 from boxtrail.operators.ordered import indexed
 from boxtrail.streaming import kernels as k
 from boxtrail.streaming.replay import replay
-from boxtrail.streaming.stateful import run_stream
+from boxtrail.streaming.stateful import Clock, run_stream, run_timed
 
 LINE_OUT = (
     "kind string, frame_index long, track_id long, class_id int, class_name string, confidence double, center_x double, "
@@ -50,7 +50,7 @@ def _is_stream(df: DataFrame) -> bool:
     return df.isStreaming
 
 
-def _run(df, keys, tie, kernel, cfg, out, config_key=None, drain=False, renumber=True, frame="frame_index", slack=1, ends=None):
+def _run(df, keys, tie, kernel, cfg, out, config_key=None, drain=False, renumber=True, frame="frame_index", slack=1, ends=None, clock=None):
     pick = _config_of(cfg, config_key)
 
     def make(at):
@@ -58,21 +58,25 @@ def _run(df, keys, tie, kernel, cfg, out, config_key=None, drain=False, renumber
 
     # A key column is already in front of the output.
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromDDL(out).fields if f.name not in keys)
+    if _is_stream(df) and clock is not None:
+        return run_timed(df, keys, frame, tie, make, out, clock, _widest(cfg) + slack, drain)
     if _is_stream(df):
         return run_stream(df, keys, frame, tie, make, out)
     return replay(df, keys, frame, tie, make, out, _widest(cfg) + slack, drain, renumber, ends)
 
 
 def track_lines(
-    det: DataFrame, keys: list[str], cfg, region_key: str | None = None, tie: list[str] | None = None, ends: DataFrame | None = None
+    det: DataFrame, keys: list[str], cfg, region_key: str | None = None, tie: list[str] | None = None, ends: DataFrame | None = None,
+    clock: Clock | None = None,
 ) -> DataFrame:
     """Crossing events (kind ``event``) and, when configured, track observations per frame (kind ``observation``).
 
     ``det`` has keys, frame_index, class_id, class_name, confidence, x1..y2. ``ends`` (keys, last_frame) is for tables
-    whose sources go on without detections after their last row.
+    whose sources go on without detections after their last row. A stream with a ``clock`` (and a watermark on its column)
+    closes frames by event time; without one, the newest frame of a source waits for the next.
     """
     tie = tie or ["det_idx"]
-    out = _run(det, keys, tie, k.LineTracker, cfg, LINE_OUT, region_key, ends=ends)
+    out = _run(det, keys, tie, k.LineTracker, cfg, LINE_OUT, region_key, ends=ends, clock=clock)
     return out if _is_stream(det) else out.withColumnRenamed("_seg", "segment").withColumnRenamed("_seq", "seq")
 
 
@@ -84,14 +88,14 @@ def crossing_events(tracked: DataFrame, keys: list[str]) -> DataFrame:
     return indexed(counted, keys, order, "event_id").drop("kind", "segment", "seq")
 
 
-def track_optimal(det: DataFrame, keys: list[str], cfg, tie: list[str] | None = None) -> DataFrame:
-    out = _run(det, keys, tie or ["det_idx"], k.OptimalTracker, cfg, OPTIMAL_OUT)
+def track_optimal(det: DataFrame, keys: list[str], cfg, tie: list[str] | None = None, clock: Clock | None = None) -> DataFrame:
+    out = _run(det, keys, tie or ["det_idx"], k.OptimalTracker, cfg, OPTIMAL_OUT, clock=clock)
     return out if _is_stream(det) else out.drop("_seg", "_seq")
 
 
-def track_points(points: DataFrame, keys: list[str], cfg, tie: list[str] | None = None) -> DataFrame:
+def track_points(points: DataFrame, keys: list[str], cfg, tie: list[str] | None = None, clock: Clock | None = None) -> DataFrame:
     """Observations and finished tracks of scored points (x, y, score). Keys include the sequence, so it resets there."""
-    out = _run(points, keys, tie or ["det_idx"], k.PointTracker, cfg, POINT_OUT, drain=True)
+    out = _run(points, keys, tie or ["det_idx"], k.PointTracker, cfg, POINT_OUT, drain=True, clock=clock)
     return out if _is_stream(points) else out.drop("_seg", "_seq")
 
 
@@ -110,14 +114,17 @@ def consensus_counter(events: DataFrame, keys: list[str], cfg) -> DataFrame:
     return _run(events, keys, ["side", "class_id", "y"], k.RingConsensus, cfg, RING_OUT, renumber=False, slack=2)
 
 
-def associate_stream(events: DataFrame, keys: list[str], cfg) -> DataFrame:
+def associate_stream(events: DataFrame, keys: list[str], cfg, clock: Clock | None = None) -> DataFrame:
     """Associator over tagged events (side 0 upstream, 1 downstream); the table form is ``associate_events``."""
-    return _run(events, keys, ["side", "event_id"], k.Associator, cfg, ASSOC_OUT, renumber=False)
+    return _run(events, keys, ["side", "event_id"], k.Associator, cfg, ASSOC_OUT, renumber=False, clock=clock)
 
 
-def consensus_stream(events: DataFrame, keys: list[str], cfg) -> DataFrame:
-    """Consensus over tagged events in arrival order (frame column ``current_frame``; rows keep ``event_frame``)."""
-    return _run(events, keys, ["side", "event_id"], k.Consensus, cfg, CONSENSUS_OUT, renumber=False, frame="current_frame", slack=2)
+def consensus_stream(events: DataFrame, keys: list[str], cfg, clock: Clock | None = None) -> DataFrame:
+    """Consensus over tagged events in arrival order (frame column ``current_frame``; rows keep ``event_frame``).
+
+    A stream with a ``clock`` rejects every event that stays unmatched, by a timer where no later row does.
+    """
+    return _run(events, keys, ["side", "event_id"], k.Consensus, cfg, CONSENSUS_OUT, renumber=False, frame="current_frame", slack=2, clock=clock)
 
 
 def refractory(peaks: DataFrame, keys: list[str], frame: str, wait: int) -> DataFrame:
