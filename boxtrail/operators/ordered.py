@@ -51,14 +51,16 @@ class Ordered:
             .agg(F.first("_last").alias("_key"), *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
             .withColumnRenamed(PID, "_from")
         )
-        carry = (
-            edges.join(tails, (F.col("_from") < F.col(PID)) & F.col("_first").eqNullSafe(F.col("_key")))
-            .groupBy(PID)
-            .agg(F.first("_first").alias("_key"), *[F.sum(f"_t_{n}").alias(f"_c_{n}") for n in totals])
-        )
+        # What stands before a partition's first key: a prefix sum over one row per partition, heads before their own tails.
+        heads = edges.select(F.col("_first").alias("_key"), F.col(PID).alias("_from"), F.lit(0).alias("_kind"))
+        both = heads.unionByName(tails.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+        before = Window.partitionBy("_key").orderBy("_from", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        sums = [F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in totals]
+        scan = both.select("_key", F.col("_from").alias(PID), "_kind", *sums)
+        carry = scan.where("_kind = 0").dropna("all", subset=[f"_c_{n}" for n in totals]).drop("_kind")
         out = local.join(F.broadcast(carry), PID, "left")
         added = F.coalesce(self.group.eqNullSafe(F.col("_key")), F.lit(False))
-        fixed = {n: F.col(n) + F.when(added, F.col(f"_c_{n}")).otherwise(0) for n in totals}
+        fixed = {n: F.col(n) + F.coalesce(F.when(added, F.col(f"_c_{n}")), F.lit(0)) for n in totals}
         return out.withColumns(fixed).drop(PID, POS, "_key", *[f"_c_{n}" for n in totals])
 
     def lag(self, cols: dict[str, Column]) -> DataFrame:

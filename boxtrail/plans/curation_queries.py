@@ -234,6 +234,14 @@ gst as (select c.image_id,c.det_idx,case when confidence>=9e-1 then 'accepted' w
  when h.response>=28 and h.contrast>=12 then 'guarded' else 'rejected' end as state from ce c left join hit h on c.image_id=h.image_id and c.det_idx=h.det_idx and h.r=1)"""
 
 
+# The same with both sides written first, joined on the image alone.
+GUARD_SETTLED = GUARD.replace("sp as (", "sp as materialized (").replace("ce as (", "ce as materialized (").replace(
+    "from ce c join sp s on c.image_id=s.image_id and abs(c.sx-s.sx)<=2 and abs(c.sy-s.sy)<=2)",
+    "from (select ce.*,sp.sx as px,sp.sy as py,response,contrast from ce join sp using (image_id)) s, lateral (select s.image_id,s.det_idx) c"
+    " where greatest(abs(s.sx-s.px),abs(s.sy-s.py))<=2)",
+).replace("order by s.response desc,s.sy,s.sx,s.contrast desc", "order by s.response desc,s.py,s.px,s.contrast desc")
+
+
 def guard_inputs(spark, sf):
     d, t = both(spark, sf)
     det = d.filter("class_id = 0").select(
@@ -247,7 +255,7 @@ def guard_inputs(spark, sf):
     return det, pts, t
 
 
-@query("jn8_guarded_accept", fx.ctes("fx_gt", "fx_det").rstrip() + ",\n" + GUARD + " select image_id,det_idx,state from gst")
+@query("jn8_guarded_accept", fx.ctes("fx_gt", "fx_det", settled=True).rstrip() + ",\n" + GUARD_SETTLED + " select image_id,det_idx,state from gst")
 def jn8(spark, sf):
     det, pts, _ = guard_inputs(spark, sf)
     return gd.guarded_accept(det, pts, 0.5, 0.9, 28, 2, 12).select("image_id", "det_idx", "state")
@@ -600,9 +608,9 @@ def ag29i(spark, sf):
 
 @query(
     "jn9_refine_by_circle",
-    fx.ctes("fx_gt", "fx_det").rstrip()
+    fx.ctes("fx_gt", "fx_det", settled=True).rstrip()
     + """,
-ci as (select o_orderkey as image_id,10e0+cast(o_custkey%80 as double) as circle_x,10e0+cast(o_custkey%60 as double) as circle_y,15e0+cast(o_custkey%20 as double) as radius from orders),
+ci as materialized (select o_orderkey as image_id,10e0+cast(o_custkey%80 as double) as circle_x,10e0+cast(o_custkey%60 as double) as circle_y,15e0+cast(o_custkey%20 as double) as radius from orders),
 p as (select d.image_id,class_id,det_idx,confidence,(x1+x2)/2*96e0 as x,(y1+y2)/2*96e0 as y,circle_x,circle_y,radius,
  sqrt(power((x1+x2)/2*96e0-circle_x,2)+power((y1+y2)/2*96e0-circle_y,2)) as dist from fx_det d join ci on ci.image_id=d.image_id),
 k as (select *,row_number() over (partition by image_id order by dist,-confidence,det_idx) r from p where class_id=1),

@@ -81,8 +81,11 @@ NEEDS = {
 }
 
 
-def ctes(*names: str) -> str:
-    """``with`` prefix that defines the named views (and what they need) for the SQL check."""
+def ctes(*names: str, settled: bool = False) -> str:
+    """``with`` prefix that defines the named views (and what they need) for the SQL check.
+
+    ``settled`` views are written once before they are joined, and the prefix allows no recursion.
+    """
     ordered: list[str] = []
 
     def visit(name):
@@ -93,7 +96,8 @@ def ctes(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "with recursive " + ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in ordered) + "\n"
+    how = "as materialized" if settled else "as"
+    return ("with " if settled else "with recursive ") + ",\n".join(f"{n} {how} ({VIEWS[n].strip()})" for n in ordered) + "\n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -240,13 +240,14 @@ def jn5(spark, sf):
 
 
 JN6_SQL = (
-    fx.ctes("fx_gt", "fx_det").rstrip()
+    fx.ctes("fx_gt", "fx_det", settled=True).rstrip()
     + """,
-inside as (select distinct c.image_id,c.det_idx from fx_det c join fx_det d on c.image_id=d.image_id and c.class_id=0 and d.class_id=1
- where (c.x1+c.x2)/2 between (d.x1+d.x2)/2-(d.x2-d.x1)*13e-1/2 and (d.x1+d.x2)/2+(d.x2-d.x1)*13e-1/2
- and (c.y1+c.y2)/2 between (d.y1+d.y2)/2-(d.y2-d.y1)*13e-1/2 and (d.y1+d.y2)/2+(d.y2-d.y1)*13e-1/2)
-select image_id,class_id,det_idx from fx_det where class_id<>0 or confidence>=9e-1
- or exists (select 1 from inside i where i.image_id=fx_det.image_id and i.det_idx=fx_det.det_idx)"""
+small as materialized (select image_id,det_idx,(x1+x2)/2 as cx,(y1+y2)/2 as cy from fx_det where class_id=0),
+large as materialized (select image_id,(x1+x2)/2 as cx,(y1+y2)/2 as cy,(x2-x1)*13e-1/2 as rx,(y2-y1)*13e-1/2 as ry from fx_det where class_id=1),
+inside as materialized (select image_id,det_idx from (select c.image_id,c.det_idx,case when c.cx between d.cx-d.rx and d.cx+d.rx then 1 else 0 end
+ +case when c.cy between d.cy-d.ry and d.cy+d.ry then 1 else 0 end as axes from small c join large d on c.image_id=d.image_id) z group by 1,2 having max(axes)=2)
+select image_id,class_id,det_idx from fx_det left join (select image_id,det_idx,true as held from inside) i using (image_id,det_idx)
+ where class_id<>0 or confidence>=9e-1 or held"""
 )
 
 

@@ -236,7 +236,7 @@ tr as (select t.k as trial,group_id,cells,droplets,row_number() over (partition
 sp as (select trial,group_id,cells,droplets,case when p<=round_even(n*7e-1,0) then 'train' when p<=round_even(n*7e-1,0)+round_even(n*15e-2,0) then 'valid' else 'test' end as split from tr,tt),
 ag as (select trial,split,sum(cells) as c,sum(droplets) as d,case split when 'train' then 7e-1 else 15e-2 end as q from sp group by 1,2),
 sc as (select trial,sum(power((c-tc*q)/greatest(tc*q,1e0),2)+power((d-td*q)/greatest(td*q,1e0),2)) as score from ag,tt group by 1),
-bt as (select arg_min(trial,(round(score,12),trial)) as trial from sc)""".replace("{trials}", "60")
+bt as (select arg_min(trial,(round(score,12),trial)) as trial from sc)""".replace("{trials}", "5000")
 
 
 @query("so12_grouped_split", "with " + GROUPS + " select group_id,split from sp join bt using (trial)")
@@ -244,7 +244,7 @@ def so12(spark, sf):
     li = fx.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
     measures = {"cells": F.count_if(F.col("l_partkey") % 2 == 0), "droplets": F.count_if(F.col("l_partkey") % 2 == 1)}
     groups = sp.group_totals(li.withColumnRenamed("l_suppkey", "group_id"), "group_id", measures)
-    return sp.grouped_split(groups, "group_id", ["cells", "droplets"], 60, 7)
+    return sp.grouped_split(groups, "group_id", ["cells", "droplets"], 5000, 7)
 
 
 def trial_sql(groups: str, trials: int, seed: int, train: str, valid: str, error: str, ok: str) -> str:
@@ -270,7 +270,7 @@ VALID, HALF = "greatest(1,round_even(n*15e-2,0))", "round_even(n*15e-2,0)"
     "so12_grouped_split_weighted",
     trial_sql(
         "select d.doc_id%40 as group_id,count(*) as c,count(*) filter (quality=1) as d,count(*) filter (quality=0) as b from documents d join labels l on d.doc_id=l.doc_id group by 1",
-        60, 7, f"(n-{VALID}-{VALID})", VALID, f"{_square('c', 'tc')}+4e0*{_square('d', 'td')}+{_square('b', 'tb')}", "d>0",
+        50000, 7, f"(n-{VALID}-{VALID})", VALID, f"{_square('c', 'tc')}+4e0*{_square('d', 'td')}+{_square('b', 'tb')}", "d>0",
     ),
 )
 def so12w(spark, sf):
@@ -283,7 +283,7 @@ def so12w(spark, sf):
         {"total": F.count(F.lit(1)), "particle": F.count_if(F.col("quality") == 1), "background": F.count_if(F.col("quality") == 0)},
     )
     return sp.grouped_split(
-        groups, "group_id", ["total", "particle", "background"], 60, 7,
+        groups, "group_id", ["total", "particle", "background"], 50000, 7,
         weights={"particle": 4.0}, required={"particle": "any"}, at_least_one=True,
     )
 

@@ -36,8 +36,8 @@ def as_stream(table: DataFrame, clock: str, delay_ms: int, pieces: int = 3, lag_
     return timed.drop(BEAT)
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """All rows that the stream puts out until its input is used up, as a table."""
+def run_counted(stream: DataFrame) -> tuple[DataFrame, int]:
+    """All rows that the stream puts out until its input is used up, as a table, and the number of rows behind the watermark."""
     spark = stream.sparkSession
     path = scratch_path(spark, "stream")
     query = (
@@ -45,4 +45,10 @@ def run_to_end(stream: DataFrame) -> DataFrame:
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    late = sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows"), late
+
+
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """The rows of ``run_counted`` alone."""
+    return run_counted(stream)[0]
