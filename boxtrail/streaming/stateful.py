@@ -111,7 +111,7 @@ class TimedKernelProcessor(KernelProcessor):
         items = [dict(zip(self.columns, r)) for r in self.waiting.get()] if self.waiting.exists() else []
         return kernel, at, late, items
 
-    def _store(self, kernel, at, late, items) -> None:
+    def _store(self, kernel, at, late, items, now) -> None:
         if items:
             self.waiting.put([tuple(r[c] for c in self.columns) for r in items])
         else:
@@ -121,6 +121,8 @@ class TimedKernelProcessor(KernelProcessor):
         due = min((int(r[TIME]) for r in items), default=None)
         if due is None and at is not None and kernel.alive():
             due = at + self.idle_ms
+        # A timer at or before the watermark would be passed over.
+        due = None if due is None else max(due, now + 1)
         set_ = self.timer.get()[0] if self.timer.exists() else None
         if set_ == due:
             return
@@ -140,26 +142,26 @@ class TimedKernelProcessor(KernelProcessor):
                     late += 1
                 else:
                     items.append(r)
-        self._store(kernel, at, late, items)
+        self._store(kernel, at, late, items, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         now = timerValues.getCurrentWatermarkInMs()
         kernel, at, late, items = self._load(key)
-        ready = sorted((r for r in items if int(r[TIME]) < now), key=lambda r: (int(r[self.frame]), *[r[t] for t in self.tie]))
+        ready = sorted((r for r in items if int(r[TIME]) <= now), key=lambda r: (int(r[self.frame]), *[r[t] for t in self.tie]))
         found = []
         for frame, group in groupby(ready, key=lambda r: int(r[self.frame])):
             group = [{**r, self.frame: frame, **dict(zip(self.keys, key))} for r in group]
             found += kernel.advance(frame, group)
             at = int(group[0][TIME])
-        items = [r for r in items if int(r[TIME]) >= now]
-        if not items and at is not None and kernel.alive() and at + self.idle_ms < now:
+        items = [r for r in items if int(r[TIME]) > now]
+        if not items and at is not None and kernel.alive() and at + self.idle_ms <= now:
             found += kernel.expire()
             if self.drain:
                 found += kernel.drain()
                 kernel.tracks = {}
-        self._store(kernel, at, late, items)
+        self._store(kernel, at, late, items, now)
         if found:
             body = pd.DataFrame([[r.get(n) for n in self.names] for r in found], columns=self.names).assign(late_rows=late)
             for i, k in enumerate(self.keys):
