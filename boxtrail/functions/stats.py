@@ -15,13 +15,20 @@ def histogram_entropy(df: DataFrame, keys: list[str], value: str, bins: int = 64
     return counts.groupBy(*keys).agg((F.log2(total) - F.sum(F.col("c") * F.log2("c")) / total).alias("entropy"))
 
 
-def gray_patch_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+def gray_patch_stats(df: DataFrame, keys: list[str], value: str, bins: int = 64) -> DataFrame:
+    """Mean, deviation, median, p10, p90, contrast (p90 - p10) and entropy of the gray values of each key; nulls are outside the mask."""
+    from boxtrail.operators.ordered import quantiles
+
+    rows = df.where(F.col(value).isNotNull())
+    plain = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    marks = quantiles(rows, keys, F.col(value).cast("double"), {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    out = plain.join(marks, keys).join(histogram_entropy(rows, keys, value, bins), keys)
+    return out.withColumn("contrast", F.col("p90") - F.col("p10"))
 
 
 def slug(text: Column) -> Column:
-    """Lower-case words joined by underscores."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Lower-case letters and digits, every other character an underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "_"), "^_+|_+$", "")
 
 
 def arg_index(values: Column, best: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from boxtrail.operators.greedy import greedy_pairs
 from boxtrail.operators.ordered import indexed
+from boxtrail.operators.skew import split_hot
+from boxtrail.session import materialize
 
 EVENT = ["event_id", "frame_index", "center_x", "center_y", "confidence", "velocity_x"]
 
@@ -36,6 +38,7 @@ def associate_events(
 
     ``keys`` must include the class. The score is the delay error against line distance / speed plus the cross-axis
     share; with ``preserve_order`` the oldest upstream event wins. Events have unique increasing ``event_id`` per key.
+    Keys with many pairs walk their events in order once instead, cut at pauses; the number of jobs does not grow with them.
     """
     pairs = _interval_edges(upstream, downstream, keys, min_delay, max_delay)
     cross = F.abs(F.col("d_center_y") - F.col("u_center_y"))
@@ -47,15 +50,36 @@ def associate_events(
     )
     prefer = ["u_frame_index", "score"] if preserve_order else ["score", "u_frame_index"]
     order = ["d_frame_index", "d_event_id", *prefer, "u_event_id"]
-    taken = greedy_pairs(edges, keys, "d_event_id", "u_event_id", [*order, "delay", "cross"])
+    cold, hot = split_hot(materialize(edges), keys)
+    taken = greedy_pairs(cold, keys, "d_event_id", "u_event_id", [*order, "delay", "cross"])
     links = taken.select(
         *keys, F.col("d_event_id").alias("event_id"), F.col("u_event_id").alias("upstream_id"),
         F.col("delay").alias("delay_frames"), F.col("cross").alias("cross_axis_distance"),
     )
+    if hot is not None:
+        busy = hot.select(*keys).distinct()
+        setting = {"max_delay": max_delay, "max_cross": max_cross, "line_distance": line_distance, "preserve_order": preserve_order}
+        links = links.unionByName(_walked_links(upstream.join(busy, keys), downstream.join(busy, keys), keys, min_delay, setting))
     out = downstream.join(links, [*keys, "event_id"], "left")
     return out.withColumn("verified", F.col("upstream_id").isNotNull())
 
 
+def _walked_links(upstream: DataFrame, downstream: DataFrame, keys: list[str], min_delay: int, setting: dict) -> DataFrame:
+    """The links of ``associate_events`` from one ordered pass per key over both sides, whose state is the waiting upstream events."""
+    from boxtrail.streaming import kernels
+    from boxtrail.streaming.trackers import associate_stream
+
+    def side(df, number):
+        cols = [F.col(c) for c in ("event_id", "frame_index", "center_y", "velocity_x")]
+        other = [] if "class_id" in keys else [F.lit(0).alias("class_id")]
+        rows = df.select(*keys, *cols, *other, F.lit(0.0).alias("confidence"), F.lit(number).alias("side"))
+        # What lacks a place or a time is linked with nothing.
+        return rows.dropna(subset=["event_id", "frame_index", "center_y"])
+
+    found = associate_stream(side(upstream, 0).unionByName(side(downstream, 1)), keys, kernels.PairConfig(min_delay=min_delay, **setting))
+    return found.filter("verified").select(*keys, "event_id", "upstream_id", "delay_frames", "cross_axis_distance")
+
+
 def consensus(
     first: DataFrame,
     second: DataFrame,

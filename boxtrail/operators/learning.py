@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -18,7 +19,8 @@ from pyspark.sql.functions import pandas_udf
 from boxtrail.operators.features import finite
 from boxtrail.operators.grid import with_row
 from boxtrail.operators.metrics import binary_counts, prf
-from boxtrail.session import ship_package
+from boxtrail.operators.ordered import top_k
+from boxtrail.session import materialize, ship_package
 
 ERROR = 0.0001
 
@@ -60,15 +62,78 @@ def pca2(df: DataFrame, column: str = "features") -> tuple[DataFrame, list[float
     return out.drop("_pca", "_p", "_m1", "_m2"), [float(v) for v in model.explainedVariance]
 
 
-def cluster(df: DataFrame, k: int, seed: int = 42, column: str = "features") -> DataFrame:
-    """Adds cluster_id and the distance to the nearest center."""
-    model = KMeans(k=k, seed=seed, featuresCol=column, predictionCol="cluster_id", maxIter=50).fit(df)
+def _first_centers(points: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
+    """(start, center, place): for every start the ``k`` different points that come first by a hash of its own."""
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))
+    rows = points.select("v").distinct().withColumn("start", numbers).withColumn("h", F.xxhash64(F.lit(seed), "start", "v"))
+    picked = top_k(rows, ["start"], ["h", "v"], k).orderBy("start", "h", "v").collect()
+    if not picked:
+        return np.zeros((starts, 0, 0))
+    return np.array([r.v for r in picked], dtype=float).reshape(starts, -1, len(picked[0].v))
+
+
+def _advance(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(new centers, cost of the old ones) of all starts, from one aggregation over the points."""
+    starts, k, places = centers.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n, cost = np.zeros(centers.shape), np.zeros((starts, k), np.int64), np.zeros((starts, k))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, places)
+            for s in range(starts):
+                far = ((x[:, None] - centers[s][None]) ** 2).sum(2)
+                at = far.argmin(1)
+                np.add.at(sums[s], at, x)
+                n[s] += np.bincount(at, minlength=k)
+                cost[s] += np.bincount(at, weights=far.min(1), minlength=k)
+        start, center = np.divmod(np.arange(starts * k), k)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(starts * k + 1, dtype=np.int32) * places), pa.array(sums.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(start), pa.array(center), pa.array(n.ravel()), pa.array(cost.ravel()), lists], names=["start", "center", "n", "cost", "sums"])
+
+    rows = points.select("v").mapInArrow(run, "start long, center long, n long, cost double, sums array<double>")
+    cells = [F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(places)]
+    moved, total = centers.copy(), np.zeros(starts)
+    for r in rows.groupBy("start", "center").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *cells).collect():
+        total[r.start] += r.cost
+        if r.n:
+            moved[r.start, r.center] = [r[f"s{j}"] / r.n for j in range(places)]
+    return moved, total
+
+
+def best_centers(df: DataFrame, k: int, seed: int = 42, column: str = "features", starts: int = 20, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(centers, cost of every start): the centers with the least sum of squared distances among all starts.
+
+    All starts take a step in the same aggregation; an empty cluster keeps its center. Fewer different points than ``k`` give
+    as many centers as there are.
+    """
+    ship_package(df.sparkSession)
+    points = materialize(df.select(vector_to_array(column).alias("v")))
+    centers = _first_centers(points, k, starts, seed)
+    for _ in range(steps if centers.size else 0):
+        moved, _ = _advance(points, centers)
+        if np.allclose(moved, centers, rtol=0, atol=1e-9):
+            break
+        centers = moved
+    cost = _advance(points, centers)[1] if centers.size else np.zeros(starts)
+    return centers[int(cost.argmin())], cost
+
+
+def cluster(df: DataFrame, k: int, seed: int = 42, column: str = "features", starts: int = 20) -> DataFrame:
+    """Adds cluster_id and the distance to the nearest center of the best of ``starts`` searches."""
+    found, _ = best_centers(df, k, seed, column, starts)
     # k centers are model-sized; they enter the plan as literals.
-    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    out = model.transform(df).withColumn("_v", vector_to_array(column))
-    off = F.zip_with("_v", centers[F.col("cluster_id")], lambda a, b: (a - b) * (a - b))
-    distance = F.sqrt(F.aggregate(off, F.lit(0.0), lambda acc, v: acc + v))
-    return out.withColumn("cluster_distance", distance).drop("_v")
+    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in found])
+    out = df.withColumn("_v", vector_to_array(column))
+    if not len(found):
+        return out.withColumn("cluster_id", F.lit(None).cast("int")).withColumn("cluster_distance", F.lit(None).cast("double")).drop("_v")
+
+    def distance(center):
+        off = F.zip_with("_v", center, lambda a, b: (a - b) * (a - b))
+        return F.sqrt(F.aggregate(off, F.lit(0.0), lambda acc, v: acc + v))
+
+    out = out.withColumn("_d", F.transform(centers, distance))
+    nearest = F.array_min("_d")
+    return out.withColumn("cluster_id", (F.array_position("_d", nearest) - 1).cast("int")).withColumn("cluster_distance", nearest).drop("_v", "_d")
 
 
 TREE = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"

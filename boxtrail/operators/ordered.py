@@ -63,6 +63,22 @@ class Ordered:
         fixed = {n: F.col(n) + F.coalesce(F.when(added, F.col(f"_c_{n}")), F.lit(0)) for n in totals}
         return out.withColumns(fixed).drop(PID, POS, "_key", *[f"_c_{n}" for n in totals])
 
+    def latest(self, name: str, value: Column) -> DataFrame:
+        """Adds the last value up to each row of its key that is not null; a partition hands on one value."""
+        frame = self._local().rowsBetween(Window.unboundedPreceding, 0)
+        local = self.df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
+        edges = self._edges()
+        tails = self.df.withColumn("_v", value).groupBy(PID, self.group.alias("_key")).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(POS))).alias("_v"))
+        heads = edges.select(F.col("_first").alias("_key"), F.col(PID).alias("_from"), F.lit(0).alias("_kind"))
+        own = edges.select(PID, F.col("_last").alias("_end"))
+        ends = tails.join(F.broadcast(own), PID).where(F.col("_key").eqNullSafe(F.col("_end"))).select("_key", F.col(PID).alias("_from"), F.lit(1).alias("_kind"), "_v")
+        before = Window.partitionBy("_key").orderBy("_from", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        scan = heads.unionByName(ends, allowMissingColumns=True).withColumn("_carry", F.last("_v", ignorenulls=True).over(before))
+        carry = scan.where("_kind = 0").select(F.col("_from").alias(PID), F.col("_key"), "_carry")
+        out = local.join(F.broadcast(carry), PID, "left")
+        handed = F.when(self.group.eqNullSafe(F.col("_key")), F.col("_carry"))
+        return out.withColumn(name, F.coalesce(F.col(name), handed)).drop(PID, POS, "_key", "_carry")
+
     def lag(self, cols: dict[str, Column]) -> DataFrame:
         """Values of the previous row of the same key (null on the first)."""
         local = self.df.withColumns({n: F.lag(c).over(self._local()) for n, c in cols.items()}).withColumn(

@@ -121,10 +121,11 @@ def hardware_summary(reports: DataFrame, keys: list[str] | None = None) -> DataF
     )
 
 
-def run_report(crossings: DataFrame, frames: DataFrame, transactions: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per run from three tables, each aggregated before the small results are joined.
+def run_report(crossings: DataFrame, frames: DataFrame, transactions: DataFrame, keys: list[str], updates: DataFrame | None = None) -> DataFrame:
+    """One row per run from its tables, each aggregated before the small results are joined.
 
-    crossings: class_name, verified, edge. frames: lag_frames. transactions: payload_bytes.
+    crossings: class_name, verified, edge. frames: lag_frames. transactions: payload_bytes. updates: kind, the rows of a tracked
+    table; those of kind ``coasted`` are the updates of confirmed tracks without a detection.
     """
     crossed = crossings.groupBy(*keys).agg(
         F.count_if(F.col("class_name") == "cell").alias("cell_crossings"),
@@ -138,6 +139,8 @@ def run_report(crossings: DataFrame, frames: DataFrame, transactions: DataFrame,
         F.avg("payload_bytes").alias("payload_mean"), F.max("payload_bytes").alias("payload_max")
     )
     out = _with(_with(crossed, lag, keys), size, keys)
+    if updates is not None:
+        out = _with(out, updates.groupBy(*keys).agg(F.count_if(F.col("kind") == "coasted").alias("coasted_updates")), keys)
     return out
 
 

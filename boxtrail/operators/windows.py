@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from boxtrail.operators.ordered import indexed, lagged, running, value_ranks
+from boxtrail.operators.ordered import Ordered, indexed, lagged, running, value_ranks
 from boxtrail.operators.skew import union_routes
 from boxtrail.session import WINDOW_ROWS, setting
 
@@ -148,10 +148,7 @@ def latest_result(frames: DataFrame, results: DataFrame, keys: list[str], frame:
         return df.withColumn("_last", F.last("_r", ignorenulls=True).over(w))
 
     def spread(df):
-        # Number the results in order; a frame looks up the number reached so far.
-        seq = running(df, keys, order, {"_k": (F.col("_side") == 0).cast("long")})
-        table = seq.filter("_side = 0").select(*keys, "_k", F.col("_r").alias("_last"))
-        return seq.join(table, [*keys, "_k"], "left").drop("_k")
+        return Ordered(df, keys, order).latest("_last", F.col("_r"))
 
     joined = union_routes(rows, keys, plain, spread, setting(frames.sparkSession, WINDOW_ROWS))
     lag = F.when(F.col("_last").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("_t") - F.col("_last")))

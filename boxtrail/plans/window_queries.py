@@ -274,11 +274,12 @@ def ag24(spark, sf):
 @query(
     "ag25_run_report",
     TIMED
-    + """select a.run_id,a.cell_crossings,a.droplet_crossings,a.verified,a.edge_hits,b.lag_mean,b.frames,b.lag_p95,c.payload_mean,c.payload_max from
+    + """select a.run_id,a.cell_crossings,a.droplet_crossings,a.verified,a.edge_hits,b.lag_mean,b.frames,b.lag_p95,c.payload_mean,c.payload_max,e.coasted_updates from
  (select source_id%10 as run_id,count(*) filter (event_id%2=0) as cell_crossings,count(*) filter (event_id%2=1) as droplet_crossings,
   count(*) filter (value>1e1) as verified,count(*) filter (detections=0) as edge_hits from fx_timed where event_type='purchase' group by 1) a
  join (select source_id%10 as run_id,round(avg(detections),6) as lag_mean,count(*) as frames,round(quantile_cont(cast(detections as double),95e-2),6) as lag_p95 from fx_timed group by 1) b using (run_id)
- join (select source_id%10 as run_id,round(avg(value),6) as payload_mean,max(value) as payload_max from fx_timed where event_type<>'error' group by 1) c using (run_id)""",
+ join (select source_id%10 as run_id,round(avg(value),6) as payload_mean,max(value) as payload_max from fx_timed where event_type<>'error' group by 1) c using (run_id)
+ join (select source_id%10 as run_id,count(*) filter (event_type='error') as coasted_updates from fx_timed group by 1) e using (run_id)""",
 )
 def ag25(spark, sf):
     t = fx.timed(spark, sf).withColumn("run_id", F.col("source_id") % 10)
@@ -290,7 +291,8 @@ def ag25(spark, sf):
     )
     lag = t.select("run_id", F.col("detections").alias("lag_frames"))
     sent = t.filter("event_type <> 'error'").select("run_id", F.col("value").alias("payload_bytes"))
-    return r6(tl.run_report(crossings, lag, sent, ["run_id"]), "lag_mean", "lag_p95", "payload_mean")
+    updates = t.select("run_id", F.when(F.col("event_type") == "error", "coasted").otherwise("observation").alias("kind"))
+    return r6(tl.run_report(crossings, lag, sent, ["run_id"], updates), "lag_mean", "lag_p95", "payload_mean")
 
 
 def _z(col, src):
@@ -417,3 +419,53 @@ def fn_entropy(spark, sf):
 
     li = fx.table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_partkey") % 256).cast("double").alias("v"))
     return r6(histogram_entropy(li, ["l_suppkey"], "v"), "entropy")
+
+
+@query(
+    "fn_patch_stats",
+    """with v as (select l_suppkey,l_partkey%256 as g from lineitem where l_linenumber>1),
+b as (select l_suppkey,least(floor(g/4e0),63) as bin,count(*) as c from v group by 1,2),
+t as (select l_suppkey,sum(c) as n from b group by 1),
+e as (select l_suppkey,round(-sum(c*1e0/n*log2(c*1e0/n)),6) as entropy from b join t using (l_suppkey) group by 1),
+s as (select l_suppkey,round(avg(g),6) as mean,round(stddev_pop(g),6) as std,round(quantile_cont(cast(g as double),5e-1),6) as median,
+ round(quantile_cont(cast(g as double),1e-1),6) as p10,round(quantile_cont(cast(g as double),9e-1),6) as p90 from v group by 1)
+select l_suppkey,mean,std,median,p10,p90,round(p90-p10,6) as contrast,entropy from s join e using (l_suppkey)""",
+)
+def fn_patch(spark, sf):
+    """Gray values of masked pixels; the first line of an order lies outside the mask."""
+    from boxtrail.functions.stats import gray_patch_stats
+
+    gray = F.when(F.col("l_linenumber") > 1, F.col("l_partkey") % 256)
+    rows = fx.table(spark, sf, "lineitem").select("l_suppkey", gray.alias("g"))
+    return r6(gray_patch_stats(rows, ["l_suppkey"], "g"), "mean", "std", "median", "p10", "p90", "contrast", "entropy")
+
+
+@query(
+    "fn_slug",
+    r"select page_id,regexp_replace(regexp_replace(lower(url),'[^\p{L}\p{N}]','_','g'),'^_+|_+$','','g') as slug from pages",
+)
+def fn_slug(spark, sf):
+    from boxtrail.functions.stats import slug
+
+    return fx.table(spark, sf, "pages").select("page_id", slug(F.col("url")).alias("slug"))
+
+
+@query(
+    "fn_arg_index",
+    "select vec_id,list_position(embedding,list_max(embedding))-1 as largest,list_position(embedding,list_min(embedding))-1 as smallest from embeddings",
+)
+def fn_arg(spark, sf):
+    from boxtrail.functions.stats import arg_index
+
+    v = F.col("embedding")
+    return fx.table(spark, sf, "embeddings").select(
+        "vec_id", arg_index(v, F.array_max(v)).alias("largest"), arg_index(v, F.array_min(v)).alias("smallest")
+    )
+
+
+@query("fn_frame_time", fx.ctes("fx_frames").rstrip() + " select event_id,frame_index*40000 as at_us from fx_frames")
+def fn_time(spark, sf):
+    """Event time of every frame at 25 frames a second, in microseconds."""
+    from boxtrail.streaming.streams import frame_time
+
+    return fx.frames(spark, sf).select("event_id", F.unix_micros(frame_time("frame_index", 25.0)).alias("at_us"))

@@ -237,8 +237,10 @@ class LineTracker(Kernel):
                 continue
             t["misses"] += 1
             if t["hits"] >= per_class(self.cfg.minimum_hits, t["class_name"]):
-                self.extra["coasted"] = self.extra.get("coasted", 0) + 1
-                out += self._crossing(t, frame, *self._ahead(t, frame - t["seen"]))
+                x, y = self._ahead(t, frame - t["seen"])
+                out += self._crossing(t, frame, x, y)
+                if self.cfg.observations:
+                    out.append(self._row("coasted", t, frame, x, y))
         used = {j for _, j in links}
         for j, d in enumerate(rows):
             self.extra["edge"] = self.extra.get("edge", 0) + int(self._edge(d))
@@ -481,6 +483,31 @@ class SequenceFilter(Kernel):
         return out
 
 
+@dataclass
+class WaitConfig:
+    """Frames that must lie between two kept peaks."""
+
+    wait: int = 1
+
+    @property
+    def longest_miss(self):
+        return self.wait
+
+
+class Refractory(Kernel):
+    """Keeps a peak when the last kept one is ``wait`` frames back; its only state is that frame."""
+
+    def idle(self) -> bool:
+        return True
+
+    def frame(self, frame: int, rows: list[dict]) -> list[dict]:
+        kept = self.extra.get("kept")
+        if kept is not None and frame - kept < self.cfg.wait:
+            return []
+        self.extra["kept"] = frame
+        return [{"kept_frame": frame}]
+
+
 @dataclass
 class TwoHitConfig:
     max_motion: float = 6.0

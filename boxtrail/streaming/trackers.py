@@ -69,7 +69,8 @@ def track_lines(
     det: DataFrame, keys: list[str], cfg, region_key: str | None = None, tie: list[str] | None = None, ends: DataFrame | None = None,
     clock: Clock | None = None,
 ) -> DataFrame:
-    """Crossing events (kind ``event``) and, when configured, track observations per frame (kind ``observation``).
+    """Crossing events (kind ``event``) and, when configured, track observations per frame (kind ``observation``) and
+    updates of confirmed tracks without a detection (kind ``coasted``).
 
     ``det`` has keys, frame_index, class_id, class_name, confidence, x1..y2. ``ends`` (keys, last_frame) is for tables
     whose sources go on without detections after their last row. A stream with a ``clock`` (and a watermark on its column)
@@ -128,8 +129,12 @@ def consensus_stream(events: DataFrame, keys: list[str], cfg, clock: Clock | Non
 
 
 def refractory(peaks: DataFrame, keys: list[str], frame: str, wait: int) -> DataFrame:
-    """Peaks at least ``wait`` frames after the last emitted one, walked in frame order."""
+    """Peaks at least ``wait`` frames after the last emitted one, walked in frame order.
+
+    A source with many peaks is cut at pauses of ``wait`` frames and streamed through in order once, with one frame of state.
+    """
     from boxtrail.operators.selection import greedy_keep
+    from boxtrail.operators.skew import union_routes
 
     size = max(int(wait), 1)
     base = F.floor(F.col(frame) / size)
@@ -137,8 +142,16 @@ def refractory(peaks: DataFrame, keys: list[str], frame: str, wait: int) -> Data
     def conflict(kept, row):
         return F.abs(kept(frame) - row(frame)) < wait
 
-    rows = peaks.select(*keys, frame)
-    kept = greedy_keep(rows, keys, [frame], [frame], conflict, F.sequence(base, base + 1))
+    def bounded(rows):
+        return greedy_keep(rows, keys, [frame], [frame], conflict, F.sequence(base, base + 1)).select(*keys, frame)
+
+    def walked(rows):
+        cfg = k.WaitConfig(int(wait))
+        kept = replay(rows, keys, frame, [], lambda at: k.Refractory(cfg), "kept_frame long", size, renumber=False)
+        return kept.select(*keys, F.col("kept_frame").cast(rows.schema[frame].dataType).alias(frame))
+
+    # A peak without a frame or a key is joined to nothing below.
+    kept = union_routes(peaks.select(*keys, frame).dropna().distinct(), keys, bounded, walked)
     return peaks.join(kept, [*keys, frame])
 
 

@@ -100,3 +100,101 @@ def test_matrix_search_equals_rows_of_trials(spark, monkeypatch, kind):
     monkeypatch.undo()
     with pytest.raises(ValueError, match="no permutation"):
         splits.grouped_split(spark.createDataFrame([("a", 1, 1), ("b", 1, 0), ("c", 1, 0)], "g string, total long, hit long"), "g", ["total", "hit"], 20, 1, required={"hit": "any"})
+
+
+def plain_links(up, down, low, high, reach, line, preserve):
+    """The associator written as two loops over a class's events."""
+    free, out = list(up), {}
+    for d in sorted(down, key=lambda r: (r[1], r[0])):
+        best = None
+        for u in free:
+            delay, cross = d[1] - u[1], abs(d[2] - u[2])
+            if low <= delay <= high and cross <= reach:
+                want = line / abs(u[3]) if abs(u[3]) >= 0.25 else float(delay)
+                score = abs(delay - want) / max(want, 1.0) + cross / max(reach, 1.0)
+                rank = (u[1], score, u[0]) if preserve else (score, u[1], u[0])
+                best = min(best, (rank, u)) if best else (rank, u)
+        out[d[0]] = best[1][0] if best else None
+        if best:
+            free.remove(best[1])
+    return out
+
+
+@pytest.mark.parametrize("route", ["plain", "hot"])
+@pytest.mark.parametrize("preserve", [False, True])
+def test_association_walks_busy_keys_once(spark, request, route, preserve):
+    from boxtrail.operators import association
+
+    if route == "hot":
+        request.getfixturevalue("hot")
+    rng = np.random.default_rng(12)
+    cols = "source long, event_id long, frame_index long, center_x double, center_y double, confidence double, velocity_x double"
+    make = lambda n, base: [(int(s), base + i, int(f), 0.0, float(y), 0.5, float(v)) for i, (s, f, y, v) in enumerate(zip(rng.integers(0, 3, n), np.sort(rng.integers(0, 120, n)), rng.integers(0, 30, n), rng.integers(0, 8, n) / 2, strict=True))]
+    up, down = make(90, 0), [*make(90, 1000), (0, 2000, 50, 0.0, None, 0.5, 1.0)]
+    out = association.associate_events(spark.createDataFrame(up, cols), spark.createDataFrame(down, cols), ["source"], 1, 12, 14.0, 12.0, preserve)
+    found = {(r.source, r.event_id): r.upstream_id for r in out.collect()}
+    for s in range(3):
+        pick = lambda rows: [(r[1], r[2], r[4], r[6]) for r in rows if r[0] == s and r[4] is not None]
+        for event, link in plain_links(pick(up), pick(down), 1, 12, 14.0, 12.0, preserve).items():
+            assert found[s, event] == link
+    assert found[0, 2000] is None and len(found) == len(down)
+
+
+@pytest.mark.parametrize("route", ["plain", "hot"])
+def test_refractory_walks_in_order(spark, request, route):
+    if route == "hot":
+        request.getfixturevalue("hot")
+    rng = np.random.default_rng(7)
+    rows = [(s, int(f), int(f) % 5) for s in (1, 2) for f in np.unique(rng.integers(0, 300, 140))] + [(1, None, 0), (None, 4, 0)]
+    got = sorted((r.source, r.frame) for r in tr.refractory(spark.createDataFrame(rows, "source long, frame long, v int"), ["source"], "frame", 7).collect())
+    want = []
+    for s in (1, 2):
+        last = -10**9
+        for f in sorted(r[1] for r in rows if r[0] == s and r[1] is not None):
+            if f - last >= 7:
+                want.append((s, f))
+                last = f
+    assert got == want
+
+
+@pytest.mark.parametrize("route", ["plain", "hot"])
+def test_last_result_is_carried_over_partitions(spark, request, route):
+    from boxtrail.operators.windows import latest_result
+
+    if route == "hot":
+        request.getfixturevalue("hot")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        frames = [(s, f) for s in (1, 2, 3) for f in range(300)]
+        results = [(1, 5, 3), (2, 10, 9), (2, 150, 140), (2, 150, 149), (2, 290, 200)]
+        out = latest_result(spark.createDataFrame(frames, "source long, frame long"), spark.createDataFrame(results, "source long, done long, result_frame long"), ["source"], "frame", "done")
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(rows) == len(frames)
+    for r in rows:
+        last = max(((d, x) for s, d, x in results if s == r.source and d <= r.frame), default=(None, None))[1]
+        assert (r.latest_result, r.lag_frames) == (last, max(0, r.frame - last) if last is not None else 0)
+
+
+def test_clusters_are_the_best_of_all_starts(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from boxtrail.operators import learning
+
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (6, 0), (0, 6), (6, 6), (3, 12))])
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame([tuple(map(float, p)) for p in points], "a double, b double"))
+    centers, cost = learning.best_centers(df, 5, starts=12)
+    out = learning.cluster(df, 5, starts=12).collect()
+    assert len(cost) == 12 and np.isclose(sum(r.cluster_distance**2 for r in out), cost.min(), rtol=1e-9)
+    assert {frozenset(np.round(c).astype(int).tolist()) for c in centers} and sorted(np.bincount([r.cluster_id for r in out]).tolist()) == [40] * 5
+    assert learning.cluster(df.limit(0), 5).count() == 0
+    assert {r.cluster_id for r in learning.cluster(df.limit(2), 5).collect()} <= {0, 1}
+
+
+def test_slug_keeps_letters_of_any_language(spark):
+    from boxtrail.functions.stats import slug
+
+    rows = spark.createDataFrame([("  A b--C é9_",), ("__",), (None,)], "t string")
+    assert [r[0] for r in rows.select(slug(F.col("t"))).collect()] == ["a_b__c_é9", "", None]
