@@ -7,18 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boxtrail.functions import geometry as g
 from boxtrail.operators import matching as m
 from boxtrail.operators.grid import with_grid, with_row
-from boxtrail.operators.metrics import match_counts, prf
-
-GRID = ["grid_id", "image_id", "class_id"]
-
-
-def grid_counts(det: DataFrame, gt: DataFrame, settings: int, threshold: float = 0.5) -> DataFrame:
-    """tp/fp/fn per grid_id and class when settings move the boxes; ``det`` already carries grid_id 0..settings-1."""
-    slim = gt.select("image_id", "class_id", "gt_idx", *g.Box._fields)
-    truth = slim.withColumn("grid_id", F.explode(F.sequence(F.lit(0), F.lit(settings - 1))))
-    found = m.match_best(det, truth, threshold, GRID)
-    return match_counts(det, truth, found, ["grid_id", "class_id"])
-
+from boxtrail.operators.metrics import prf
+from boxtrail.operators.skew import split_pair
 
 def filter_sweep(det: DataFrame, gt: DataFrame, keep: list[Column], threshold: float = 0.5) -> DataFrame:
     """tp/fp/fn per grid_id and class when settings only filter detections.
@@ -87,33 +77,104 @@ def _edge_clip(b: g.Box) -> g.Box:
     )
 
 
-def _moved(det: DataFrame) -> DataFrame:
-    cx, cy = g.center(g.box())
-    w = (F.col("x2") - F.col("x1")) * F.col("width_scale")
-    h = (F.col("y2") - F.col("y1")) * F.col("height_scale")
-    shifted = g.xywh_to_xyxy(cx + F.col("center_x_offset"), cy + F.col("center_y_offset"), w, h)
-    return det.withColumns(dict(zip(g.Box._fields, _edge_clip(shifted))))
+def moved_box(b: g.Box, setting: dict) -> g.Box:
+    """The box under a setting's scales about its center, then its offsets."""
+    cx, cy = g.center(b)
+    w, h = (b.x2 - b.x1) * setting["width_scale"], (b.y2 - b.y1) * setting["height_scale"]
+    shifted = g.xywh_to_xyxy(cx + setting["center_x_offset"], cy + setting["center_y_offset"], w, h)
+    return _edge_clip(shifted)
+
 
+SETTINGS_AT_ONCE = 60
 
-def _score(det: DataFrame, gt: DataFrame, settings: list[dict], threshold: float) -> list[dict]:
-    grid = [{k: float(s[k]) for k in NEUTRAL} for s in settings]
-    counts = overall(grid_counts(_moved(with_grid(det, grid)), gt, len(grid), threshold))
-    # One row per setting comes back; a grid has about twenty settings.
-    found = {r["grid_id"]: r for r in counts.collect()}
-    zero = {"f1": 0.0, "recall": 0.0, "precision": 0.0}
-    return [dict(s, **({k: found[i][k] for k in zero} if i in found else zero)) for i, s in enumerate(settings)]
+
+def move_sweep(det: DataFrame, gt: DataFrame, settings: list[dict], threshold: float = 0.5, cell: float = m.CELL) -> DataFrame:
+    """``tp`` of the best-then-check rule per ``grid_id`` (position in ``settings``) when settings move the boxes.
+
+    A detection meets the truths that the hull of all its moved boxes touches, once; a pair carries its overlap under every
+    setting. So neither truths nor detections are copied per setting. A truth counts for a setting when some detection
+    names it, kept as one bit a setting. Without any named truth all counts are 0.
+    """
+    if len(settings) > SETTINGS_AT_ONCE:
+        raise ValueError(f"at most {SETTINGS_AT_ONCE} settings at once")
+    keys = m.IMAGE_CLASS
+    names = list(NEUTRAL)
+    table = F.array(*[F.struct(*[F.lit(float(s[k])).alias(k) for k in names]) for s in settings])
+    moved = F.transform(table, lambda s: F.struct(*[c.alias(n) for n, c in zip(g.Box._fields, moved_box(g.box(), {k: s[k] for k in names}))]))
+    outer = (F.array_min, F.array_min, F.array_max, F.array_max)
+    hull = {f"h_{n}": end(F.col("_m")[n]) for n, end in zip(g.Box._fields, outer)}
+    d = det.select(*keys, "det_idx", moved.alias("_m")).select("*", *[c.alias(n) for n, c in hull.items()])
+    t = gt.select(*keys, "gt_idx", *g.Box._fields)
+    near = (F.col("d.h_x1") < F.col("t.x2")) & (F.col("d.h_x2") > F.col("t.x1")) & (F.col("d.h_y1") < F.col("t.y2")) & (F.col("d.h_y2") > F.col("t.y1"))
+
+    def join(left, right, on, also=None):
+        joined = left.alias("d").join(right.alias("t"), [F.col(f"d.{k}") == F.col(f"t.{k}") for k in on]).filter(near)
+        joined = joined if also is None else joined.filter(also)
+        scores = [g.iou(g.field_box(F.col("d._m")[i]), g.box("t")).alias(f"o{i}") for i in range(len(settings))]
+        return joined.select(*[F.col(f"d.{k}").alias(k) for k in keys], "det_idx", "gt_idx", *scores)
+
+    cold, hot = split_pair(d, t, keys)
+    pairs = join(*cold, keys)
+    if hot is not None:
+        def cells(x1, y1, x2, y2):
+            across = F.sequence(F.floor(F.col(x1) / cell), F.floor(F.col(x2) / cell))
+            down = F.sequence(F.floor(F.col(y1) / cell), F.floor(F.col(y2) / cell))
+            return F.explode(F.flatten(F.transform(across, lambda x: F.transform(down, lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+
+        tall = (F.col("h_x1") <= F.col("h_x2")) & (F.col("h_y1") <= F.col("h_y2"))
+        left = hot[0].filter(tall).withColumn("_c", cells(*hull))
+        right = hot[1].filter("x1 <= x2 and y1 <= y2").withColumn("_c", cells(*g.Box._fields))
+        start = [F.floor(F.greatest(F.col(f"d.h_{c}"), F.col(f"t.{c}")) / cell) for c in ("x1", "y1")]
+        once = (F.col("d._c.x") == start[0]) & (F.col("d._c.y") == start[1])
+        pairs = pairs.unionByName(join(left, right, [*keys, "_c"], once))
+    ids = range(len(settings))
+    best = [F.min(F.when(F.col(f"o{i}") >= threshold, F.struct((-F.col(f"o{i}")).alias("k"), F.col("gt_idx"))))["gt_idx"].alias(f"n{i}") for i in ids]
+    named = pairs.groupBy(*keys, "det_idx").agg(*best)
+    truths = F.filter(F.array_distinct(F.array(*[F.col(f"n{i}") for i in ids])), lambda v: v.isNotNull())
+
+    def bits(truth):
+        out = F.lit(0).cast("long")
+        for i in ids:
+            out = out.bitwiseOR(F.when(F.col(f"n{i}") == truth, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    each = named.select(*keys, F.explode(F.transform(truths, lambda v: F.struct(v.alias("gt_idx"), bits(v).alias("held")))).alias("_t"))
+    held = each.groupBy(*keys, "_t.gt_idx").agg(F.bit_or("_t.held").alias("held"))
+    flags = [F.coalesce(F.sum(F.shiftright("held", i).bitwiseAND(F.lit(1).cast("long"))), F.lit(0)).alias("tp") for i in ids]
+    one = held.agg(F.array(*flags).alias("_tp"))
+    return one.select(F.posexplode("_tp").alias("grid_id", "tp"))
+
+
+def _score(det: DataFrame, gt: DataFrame, settings: list[dict], threshold: float, sizes: tuple[int, int]) -> list[dict]:
+    out = []
+    for at in range(0, len(settings), SETTINGS_AT_ONCE):
+        part = settings[at : at + SETTINGS_AT_ONCE]
+        # One row per setting comes back; a grid has about twenty settings.
+        tp = {r["grid_id"]: r["tp"] for r in move_sweep(det, gt, part, threshold).collect()}
+        for i, s in enumerate(part):
+            n_det, n_truth = sizes
+            out.append(
+                dict(
+                    s,
+                    f1=2.0 * tp[i] / (n_det + n_truth) if n_det + n_truth else 0.0,
+                    recall=tp[i] / n_truth if n_truth else 0.0,
+                    precision=tp[i] / n_det if n_det else 0.0,
+                )
+            )
+    return out
 
 
 def calibrate_geometry(det: DataFrame, gt: DataFrame, rounds: int = 3, steps: dict | None = None, threshold=0.5) -> dict:
     """Coordinate descent on box scale and offset; kept only when it beats the neutral setting."""
     steps = steps or STEPS
+    sizes = (det.count(), gt.count())
     current = dict(NEUTRAL)
-    base = _score(det, gt, [current], threshold)[0]
+    base = _score(det, gt, [current], threshold, sizes)[0]
     best = base
     for _ in range(rounds):
         changed = False
         for name, values in steps.items():
-            scored = _score(det, gt, [{**current, name: v} for v in values], threshold)
+            scored = _score(det, gt, [{**current, name: v} for v in values], threshold, sizes)
             neutral = NEUTRAL[name]
             top = max(scored, key=lambda s: (s["f1"], s["recall"], s["precision"], -abs(s[name] - neutral)))
             changed |= top[name] != current[name]
@@ -173,8 +234,6 @@ def smallest_expansion(det: DataFrame, largest: float, grid: float = 0.125) -> D
     def span(mid, half):
         return F.explode(F.sequence(F.floor((mid - half) / grid), F.floor((mid + half) / grid)))
 
-    from boxtrail.operators.skew import split_hot
-
     dx = F.abs(F.col("px") - (F.col("x1") + F.col("x2")) / 2) / ((F.col("x2") - F.col("x1")) / 2)
     dy = F.abs(F.col("py") - (F.col("y1") + F.col("y2")) / 2) / ((F.col("y2") - F.col("y1")) / 2)
     need = F.greatest(dx, dy)
@@ -183,11 +242,11 @@ def smallest_expansion(det: DataFrame, largest: float, grid: float = 0.125) -> D
         near = a.join(b, on).filter(need <= largest + 1e-9)
         return near.groupBy("image_id", "det_idx").agg(F.min(need).alias("needed"))
 
-    cold, hot = split_hot(inner, ["image_id"])
-    found = meet(cold, outer, ["image_id"])
+    cold, hot = split_pair(inner, outer, ["image_id"])
+    found = meet(*cold, ["image_id"])
     if hot is not None:
-        b = outer.withColumn("_bx", span(cx, hw)).withColumn("_by", span(cy, hh))
-        a = hot.withColumns({"_bx": F.floor(F.col("px") / grid), "_by": F.floor(F.col("py") / grid)})
+        b = hot[1].withColumn("_bx", span(cx, hw)).withColumn("_by", span(cy, hh))
+        a = hot[0].withColumns({"_bx": F.floor(F.col("px") / grid), "_by": F.floor(F.col("py") / grid)})
         found = found.unionByName(meet(a, b, ["image_id", "_bx", "_by"]))
     return det.join(found, ["image_id", "det_idx"], "left")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boxtrail.functions import geometry as g
 from boxtrail.operators.grid import with_row
 from boxtrail.operators.ordered import lagged
-from boxtrail.operators.skew import split_hot
+from boxtrail.operators.skew import split_pair
 
 
 def safe_negatives(points: DataFrame, boxes: DataFrame, side: float, keys: list[str]) -> DataFrame:
@@ -23,8 +23,8 @@ def safe_negatives(points: DataFrame, boxes: DataFrame, side: float, keys: list[
         cond = [F.col(f"p.{k}") == F.col(f"b.{k}") for k in on] + [near | touching]
         return p.alias("p").join(b.alias("b"), cond, "left_anti")
 
-    cold, hot = split_hot(points, keys)
-    out = anti(cold, boxes, keys)
+    cold, hot = split_pair(points, boxes, keys)
+    out = anti(*cold, keys)
     if hot is None:
         return out
     cell = side * 4
@@ -34,8 +34,8 @@ def safe_negatives(points: DataFrame, boxes: DataFrame, side: float, keys: list[
         reach = F.greatest(1.2 * F.greatest(size, F.lit(1.0)), size / 2 + side / 2)
         return F.explode(F.sequence(F.floor((mid - reach) / cell), F.floor((mid + reach) / cell)))
 
-    p = hot.withColumns({"_bx": F.floor(F.col("x") / cell), "_by": F.floor(F.col("y") / cell)})
-    b = boxes.withColumn("_bx", span("x1", "x2")).withColumn("_by", span("y1", "y2"))
+    p = hot[0].withColumns({"_bx": F.floor(F.col("x") / cell), "_by": F.floor(F.col("y") / cell)})
+    b = hot[1].withColumn("_bx", span("x1", "x2")).withColumn("_by", span("y1", "y2"))
     return out.unionByName(anti(p, b, [*keys, "_bx", "_by"]).drop("_bx", "_by"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from boxtrail.functions import geometry as g
-from boxtrail.operators.skew import split_hot
+from boxtrail.operators.skew import split_pair
 
 
 def associate(
@@ -32,8 +32,8 @@ def associate(
         cond = [F.col(f"c.{k}") == F.col(f"d.{k}") for k in on] + [inside]
         return rows.alias("c").join(boxes.alias("d"), cond, "left_semi")
 
-    cold, hot = split_hot(unsure, keys)
-    held = semi(cold, droplets, keys)
+    cold, hot = split_pair(unsure, droplets, keys)
+    held = semi(*cold, keys)
     if hot is not None:
         px, py = g.center(g.box())
         hw, hh = (F.col("x2") - F.col("x1")) * expansion / 2, (F.col("y2") - F.col("y1")) * expansion / 2
@@ -41,8 +41,8 @@ def associate(
         def span(mid, half):
             return F.explode(F.sequence(F.floor((mid - half) / grid), F.floor((mid + half) / grid)))
 
-        rows = hot.withColumns({"_bx": F.floor(px / grid), "_by": F.floor(py / grid)})
-        boxes = droplets.withColumn("_bx", span(px, hw)).withColumn("_by", span(py, hh))
+        rows = hot[0].withColumns({"_bx": F.floor(px / grid), "_by": F.floor(py / grid)})
+        boxes = hot[1].withColumn("_bx", span(px, hw)).withColumn("_by", span(py, hh))
         held = held.unionByName(semi(rows, boxes, [*keys, "_bx", "_by"]).drop("_bx", "_by"))
     return others.unionByName(cells.filter(sure)).unionByName(held)
 

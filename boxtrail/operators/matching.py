@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from boxtrail.functions import geometry as g
 from boxtrail.operators.greedy import box_cells, disc_cells, greedy_keep, greedy_pairs
 from boxtrail.operators.ordered import top_k
-from boxtrail.operators.skew import split_hot
+from boxtrail.operators.skew import split_pair
 
 IMAGE_CLASS = ["image_id", "class_id"]
 CELL = 0.125
@@ -52,16 +52,16 @@ def pair(
     keys = keys or IMAGE_CLASS
     d = det.select(*keys, "det_idx", "confidence", "x1", "y1", "x2", "y2")
     t = gt.select(*keys, "gt_idx", "x1", "y1", "x2", "y2")
-    cold, hot = split_hot(d, keys)
-    out = _join_pairs(cold, t, keys, keys, threshold)
+    cold, hot = split_pair(d, t, keys)
+    out = _join_pairs(*cold, keys, keys, threshold)
     if hot is None:
         return out
     if _reach(threshold) <= 2:
-        bd, bt, on = _binned(hot, t, keys, threshold, cell)
+        bd, bt, on = _binned(*hot, keys, threshold, cell)
         return out.unionByName(_join_pairs(bd, bt, on, keys, threshold))
     # A low threshold allows distant centers; boxes then meet in the cells they cover, once, where the overlap starts.
     spread = F.explode(box_cells(cell)).alias("_c")
-    bd, bt = hot.select("*", spread), t.select("*", spread)
+    bd, bt = (side.select("*", spread) for side in hot)
     start = F.struct(*[F.floor(F.greatest(F.col(f"d.{c}"), F.col(f"t.{c}")) / cell) for c in ("x1", "y1")])
     return out.unionByName(_join_pairs(bd, bt, [*keys, "_c"], keys, threshold, F.col("d._c") == start))
 
@@ -74,13 +74,12 @@ def touching(det: DataFrame, gt: DataFrame, keys: list[str], cell: float = CELL)
         joined = d.alias("d").join(t.alias("t"), [F.col(f"d.{k}") == F.col(f"t.{k}") for k in on]).filter(overlap > 0)
         return joined.select(*[F.col(f"t.{k}").alias(k) for k in keys], "gt_idx", overlap.alias("iou"))
 
-    cold, hot = split_hot(det.select(*keys, *g.Box._fields), keys)
-    t = gt.select(*keys, "gt_idx", *g.Box._fields)
-    out = join(cold, t, keys)
+    cold, hot = split_pair(det.select(*keys, *g.Box._fields), gt.select(*keys, "gt_idx", *g.Box._fields), keys)
+    out = join(*cold, keys)
     if hot is None:
         return out
     spread = F.explode(box_cells(cell))
-    return out.unionByName(join(hot.withColumn("_c", spread), t.withColumn("_c", spread), [*keys, "_c"]))
+    return out.unionByName(join(*(side.withColumn("_c", spread) for side in hot), [*keys, "_c"]))
 
 
 def name_truths(
@@ -131,7 +130,7 @@ def match_greedy_iou(det: DataFrame, gt: DataFrame, threshold: float = 0.5, keys
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], xy: tuple[str, str], reach: float) -> DataFrame:
     """Rows of both sides whose points lie within ``reach``; hot groups also join on cells. Adds ``distance``."""
     x, y = xy
-    cold, hot = split_hot(left, keys)
+    cold, hot = split_pair(left, right, keys)
     dx, dy = F.col(f"l.{x}") - F.col(f"r.{x}"), F.col(f"l.{y}") - F.col(f"r.{y}")
     d = F.sqrt(dx * dx + dy * dy)
 
@@ -140,12 +139,12 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], xy: tuple[str
         cols = [F.col(f"l.{c}").alias(c) for c in left.columns]
         return joined.select(*cols, *[F.col(f"r.{c}").alias(f"{c}_r") for c in right.columns if c not in keys], d.alias("distance"))
 
-    out = join(cold, right, keys)
+    out = join(*cold, keys)
     if hot is None:
         return out
-    base = hot.withColumns({"_bx": F.floor(F.col(x) / reach), "_by": F.floor(F.col(y) / reach)})
+    base = hot[0].withColumns({"_bx": F.floor(F.col(x) / reach), "_by": F.floor(F.col(y) / reach)})
     around = F.expr("explode(array(-1,0,1))")
-    other = right.withColumn("_bx", F.floor(F.col(x) / reach) + 0).withColumn("_by", F.floor(F.col(y) / reach) + 0)
+    other = hot[1].withColumn("_bx", F.floor(F.col(x) / reach) + 0).withColumn("_by", F.floor(F.col(y) / reach) + 0)
     other = other.withColumn("_ox", around).withColumn("_oy", around)
     other = other.withColumns({"_bx": F.col("_bx") + F.col("_ox"), "_by": F.col("_by") + F.col("_oy")})
     return out.unionByName(join(base, other, [*keys, "_bx", "_by"]))

@@ -81,33 +81,37 @@ def fill_representative(
 ) -> DataFrame:
     """Frames nearest to evenly spaced targets that keep ``gap`` from all used ones, up to ``total`` per key.
 
-    One small job per target; each looks at all keys at once and keeps only the list of used frames (at most ``total``).
+    A used frame blocks at most 2*gap-1 frames, and fewer than ``total`` are ever used, so a target's nearest free frame is
+    among a bounded number of frames on each side of it. One range join brings these together for all targets; a fold per
+    key then takes the targets in order. The number of jobs does not depend on the targets.
     """
-    ends = df.groupBy(*keys).agg(F.min(frame).alias("_first"), F.max(frame).alias("_last"))
+    frames = df.select(*keys, F.col(frame).cast("long").alias("_f")).dropna().distinct()
+    ends = frames.groupBy(*keys).agg(F.min("_f").alias("_first"), F.max("_f").alias("_last"))
     held = used.groupBy(*keys).agg(F.collect_list(F.col(frame).cast("long")).alias("_used"))
     state = ends.join(held, keys, "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<long>")))
-    state = materialize(state.withColumns({"_need": F.lit(total) - F.size("_used"), "_new": F.array().cast("array<long>")}))
-    frames = df.select(*keys, F.col(frame).cast("long").alias("_f"))
-    for i in range(total):
-        steps = F.greatest(F.col("_need") - 1, F.lit(1))
-        target = F.col("_first") + i * ((F.col("_last") - F.col("_first")) / steps)
-        open_rows = state.filter(F.col("_need") > i)
-        free = F.forall("_used", lambda u: F.abs(u - F.col("_f")) >= gap)
-        joined = open_rows.join(frames, keys).filter(free)
-        found = joined.groupBy(*keys).agg(F.min_by("_f", F.struct(F.abs(F.col("_f") - target), "_f")).alias("_pick"))
-        nxt = state.join(found, keys, "left")
-        got = F.col("_pick").isNotNull()
-        state = materialize(
-            nxt.withColumns(
-                {
-                    "_used": F.when(got, F.array_append("_used", F.col("_pick"))).otherwise(F.col("_used")),
-                    "_new": F.when(got, F.array_append("_new", F.col("_pick"))).otherwise(F.col("_new")),
-                }
-            ).drop("_pick")
-        )
-        if not state.filter(F.col("_need") > i + 1).take(1):
-            break
-    return state.select(*keys, F.explode("_new").alias(frame))
+    need = F.lit(total) - F.size("_used")
+    step = (F.col("_last") - F.col("_first")) / F.greatest(need - 1, F.lit(1))
+    targets = F.transform(F.sequence(F.lit(0), need - 1), lambda i: F.col("_first") + i * step)
+    state = materialize(state.filter(need > 0).select(*keys, "_used", targets.alias("_targets")))
+    # The place of each target among the key's frames: the last frame not after it.
+    reach = (total - 1) * max(2 * int(gap) - 1, 0) + 1
+    numbered = materialize(indexed(frames, keys, ["_f"], "_n"))
+    places = numbered.join(state.select(*keys, "_targets"), keys).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_f") <= F.get("_targets", F.lit(i)), F.col("_n"))).alias(f"_p{i}") for i in range(total)]
+    )
+    place = F.explode(F.array_compact(F.array(*[F.col(f"_p{i}") for i in range(total)])))
+    blocks = F.explode(F.sequence(F.floor((F.col("_p") - reach + 1) / reach), F.floor((F.col("_p") + reach) / reach)))
+    wanted = places.select(*keys, place.alias("_p")).select(*keys, blocks.alias("_b")).distinct()
+    near = numbered.withColumn("_b", F.floor(F.col("_n") / reach)).join(wanted, [*keys, "_b"])
+    choices = near.groupBy(*keys).agg(F.sort_array(F.collect_list("_f")).alias("_near"))
+
+    def take(taken, target):
+        free = F.filter("_near", lambda f: F.forall(taken, lambda u: F.abs(u - f) >= gap))
+        nearest = F.array_min(F.transform(free, lambda f: F.struct(F.abs(f - target).alias("d"), f.alias("f"))))
+        return F.concat(taken, F.array_compact(F.array(nearest["f"])))
+
+    rows = state.join(choices, keys).withColumn("_all", F.aggregate("_targets", F.col("_used"), take))
+    return rows.select(*keys, F.explode(F.slice("_all", F.size("_used") + 1, total)).alias(frame))
 
 
 def diverse_records(
@@ -172,14 +176,14 @@ def review_queue(df: DataFrame, cluster: str, key: str, priority: str, hits: str
     persistent = top_k(slim.filter(F.col(hits) >= 3), [cluster], order, half).withColumn("tier", F.lit(0))
     taken = persistent.groupBy(cluster).agg(F.count(F.lit(1)).alias("_p"))
     transient = top_k_ranked(slim.filter(F.col(hits) < 3), [cluster], order, count)
-    transient = transient.join(F.broadcast(taken), cluster, "left").filter(
+    transient = transient.join(taken, cluster, "left").filter(
         F.col("_k") <= count - F.coalesce("_p", F.lit(0))
     )
     first = materialize(persistent.unionByName(transient.drop("_k", "_p").withColumn("tier", F.lit(1))))
     have = first.groupBy(cluster).agg(F.count(F.lit(1)).alias("_h"))
     # At most count rows a cluster are ever marked, so the rest's best 2*count hold every row still needed.
     best = top_k(slim, [cluster], order, 2 * count).join(first.select(cluster, key), [cluster, key], "left_anti")
-    more = top_k_ranked(best, [cluster], order, count).join(F.broadcast(have), cluster, "left")
+    more = top_k_ranked(best, [cluster], order, count).join(have, cluster, "left")
     more = more.filter(F.col("_k") <= count - F.coalesce("_h", F.lit(0))).drop("_k", "_h").withColumn("tier", F.lit(2))
     return first.unionByName(more)
 
@@ -194,7 +198,7 @@ def top_k_ranked(df: DataFrame, keys: list[str], order: list, k: int) -> DataFra
 def representatives(df: DataFrame, cluster: str, key: str, axes: list[str], hits: str) -> DataFrame:
     """Rows with their distance to the cluster centroid and rank by (distance, more hits, key)."""
     mids = df.groupBy(cluster).agg(*[F.avg(a).alias(f"_m_{a}") for a in axes])
-    joined = df.join(F.broadcast(mids), cluster)
+    joined = df.join(mids, cluster)
     square = sum(((F.col(a) - F.col(f"_m_{a}")) * (F.col(a) - F.col(f"_m_{a}")) for a in axes), F.lit(0.0))
     far = joined.withColumn("centroid_distance", F.sqrt(square)).drop(*[f"_m_{a}" for a in axes])
     return indexed(far, [cluster], ["centroid_distance", -F.col(hits), key], "rank")

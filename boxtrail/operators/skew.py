@@ -21,6 +21,24 @@ def split_hot(df: DataFrame, keys: list[str], limit: int | None = None) -> tuple
     return rows.join(marks, on, "left_anti"), rows.join(marks, on, "left_semi")
 
 
+def split_pair(left: DataFrame, right: DataFrame, keys: list[str], limit: int | None = None):
+    """((left, right) of bounded keys, (left, right) of hot keys or None) for two sides that meet on ``keys``.
+
+    A key is hot when either side has many rows of it. Both sides are split, so the hot twin spreads hot keys' rows only.
+    """
+    limit = limit or setting(left.sparkSession, FOLD_ROWS)
+    sizes = [side.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys) for side in (left, right)]
+    hot = sizes[0].unionByName(sizes[1]).distinct()
+    if not hot.take(1):
+        return (left, right), None
+
+    def parts(rows, how):
+        on = [F.col(f"a.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+        return rows.alias("a").join(hot.alias("h"), on, how)
+
+    return tuple(parts(s, "left_anti") for s in (left, right)), tuple(parts(s, "left_semi") for s in (left, right))
+
+
 def union_routes(df: DataFrame, keys: list[str], bounded, hot, limit: int | None = None) -> DataFrame:
     """Apply ``bounded`` to bounded keys and ``hot`` to hot keys, and put the rows together."""
     cold_rows, hot_rows = split_hot(df, keys, limit)

@@ -301,6 +301,28 @@ def ag8(spark, sf):
     return spark.createDataFrame([res]).select(*sorted(res))
 
 
+MOVES = (
+    fx.ctes("fx_gt", "fx_det", settled=True).rstrip()
+    + """,
+st as (select unnest(range(21)) as grid_id),
+mv as (select grid_id,image_id,class_id,det_idx,greatest(0e0,cx-w/2) as x1,greatest(0e0,y1) as y1,least(1e0,cx+w/2) as x2,least(1e0,y2) as y2 from (
+ select grid_id,image_id,class_id,det_idx,(x1+x2)/2 as cx,(x2-x1)*round(8e-1+25e-3*grid_id,3) as w,(y1+y2)/2-(y2-y1)/2 as y1,(y1+y2)/2+(y2-y1)/2 as y2 from fx_det, st) z),
+pa as (select grid_id,image_id,class_id,d.det_idx,g.gt_idx,"""
+    + iou("d", "g")
+    + """ as iou from mv d join fx_gt g using (image_id,class_id)),
+nm as (select *,row_number() over (partition by grid_id,image_id,class_id,det_idx order by iou desc,gt_idx) r from pa where iou>=5e-1),
+ct as (select grid_id,count(distinct (image_id,class_id,gt_idx)) as tp from nm where r=1 group by 1)
+select cast(grid_id as int) as grid_id,coalesce(tp,0) as tp from st left join ct using (grid_id)"""
+)
+
+
+@query("ag8_move_sweep", MOVES)
+def ag8_sweep(spark, sf):
+    """One step of the calibration: truths found under each width scale."""
+    d, t = both(spark, sf)
+    return cal.move_sweep(d, t, [{**cal.NEUTRAL, "width_scale": v} for v in cal.STEPS["width_scale"]])
+
+
 ASSOC = """need as (select c.image_id,c.det_idx,min(greatest(abs((c.x1+c.x2)/2-(d.x1+d.x2)/2)/((d.x2-d.x1)/2),abs((c.y1+c.y2)/2-(d.y1+d.y2)/2)/((d.y2-d.y1)/2))) as needed
  from fx_det c join fx_det d on c.image_id=d.image_id and c.class_id=0 and d.class_id=1 group by 1,2),
 gr as (select row_number() over (order by e,k,t)-1 as g0,* from (values """ + ",".join(

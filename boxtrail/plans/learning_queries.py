@@ -71,9 +71,12 @@ SEARCHES: dict = {}
 
 
 def search(spark, sf):
-    """One search over the full grid, shared by the queries of a session that ask for it."""
-    at = (spark.sparkContext.applicationId, sf)
+    """One search over the full grid, shared by the queries of a session that ask for it while the table's files stay the same."""
+    rows = fx.table(spark, sf, "embeddings").select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t"))
+    stamp = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)"))).first()
+    at = (spark.sparkContext.applicationId, sf, tuple(stamp))
     if at not in SEARCHES:
+        SEARCHES.clear()
         rows = learning_rows(spark, sf)
         parts = [rows.filter(F.col("split") == p) for p in ("train", "valid", "test")]
         SEARCHES[at] = ml.model_search(*parts, FEATURES, "target")

@@ -102,24 +102,25 @@ def sc2(spark, sf):
     + """select cast(image_id%4 as varchar) as split,image_id,count(*) filter (class_id=1) as boxes,round(coalesce(sum(case when class_id=1 then w*640 end),0e0),4) as width_sum from fx_gt group by 1,2""",
 )
 def sc3(spark, sf):
-    """Orders as COCO documents (one per order), droplets kept; an image without droplets stays with zero boxes."""
+    """Orders as COCO export files (up to 256 orders a file), droplets kept; an image without droplets stays with zero boxes."""
     t = fx.gt(spark, sf).withColumn("split", (F.col("image_id") % 4).cast("string"))
     ann = F.struct(
         F.col("gt_idx").cast("long").alias("id"), F.col("image_id").alias("image_id"), F.col("class_id").alias("category_id"),
         F.array(F.col("x1") * 640, F.col("y1") * 480, F.col("w") * 640, F.col("h") * 480).alias("bbox"),
     )
-    docs = t.groupBy("split", "image_id").agg(F.collect_list(ann).alias("annotations"))
+    image = F.struct(F.col("image_id").alias("id"), F.concat(F.lit("src"), F.col("image_id"), F.lit("_tile0.jpg")).alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    folder = F.concat_ws("-", "split", F.floor(F.col("image_id") / 1024).cast("string")).alias("split")
+    docs = t.groupBy(folder).agg(F.collect_set(image).alias("images"), F.collect_list(ann).alias("annotations"))
     docs = docs.select(
         "split",
-        F.array(F.struct(F.col("image_id").alias("id"), F.concat(F.lit("src"), F.col("image_id"), F.lit("_tile0.jpg")).alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"))).alias("images"),
+        "images",
         "annotations",
         F.array(F.struct(F.lit(0).alias("id"), F.lit("Cell ").alias("name")), F.struct(F.lit(1).alias("id"), F.lit("Droplet").alias("name"))).alias("categories"),
     )
     path = scratch_path(spark, "coco")
-    docs.write.partitionBy("split").json(path)
-    raw = spark.read.schema(coco.SCHEMA + ",split string").json(path)
-    images, boxes = coco.coco_tables(raw, ["droplet"])
-    rows = coco.coco_rows(images, boxes)
+    coco.write_coco(docs, path)
+    images, boxes = coco.read_coco(spark, path, ["droplet"])
+    rows = coco.coco_rows(images, boxes).withColumn("split", F.substring_index("split", "-", 1))
     out = rows.groupBy("split", "image_id").agg(
         F.count("class_name").alias("boxes"), F.round(F.coalesce(F.sum("w"), F.lit(0.0)), 4).alias("width_sum")
     )
@@ -155,17 +156,18 @@ def sc5(spark, sf):
 
 @query(
     "sc8_file_manifest",
-    "select concat('b',doc_id%8) as name,count(*) as docs from documents group by 1",
+    """select concat('b',cast(doc_id//256 as varchar)) as name,count(*) as docs,sum(strlen(coalesce(text,''))+1)::bigint as bytes,
+ sha256(string_agg(coalesce(text,'')||chr(10),'' order by doc_id,text nulls first)) as sha256 from documents group by 1""",
 )
 def sc8(spark, sf):
-    """Eight files written from the documents; the manifest must list each once (docs: lines found in the file)."""
-    d = fx.table(spark, sf, "documents").select((F.col("doc_id") % 8).alias("b"), F.col("doc_id").cast("string").alias("value"))
+    """The texts in files of 256 documents; the manifest must give each file's size and digest."""
+    d = fx.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 256).alias("b"), "doc_id", F.coalesce("text", F.lit("")).alias("value"), "text")
     path = scratch_path(spark, "manifest")
-    d.repartition("b").write.partitionBy("b").text(path)
+    d.repartition("b").sortWithinPartitions("b", "doc_id", "text").select("b", "value").write.partitionBy("b").text(path)
     found = files.file_manifest(spark, path, "part-*")
-    lines = spark.read.text(path).groupBy("b").agg(F.count(F.lit(1)).alias("docs"))
-    named = found.select(F.concat(F.lit("b"), F.regexp_extract("path", r"b=(\d+)", 1)).alias("name"), "sha256")
-    return named.join(lines.withColumn("name", F.concat(F.lit("b"), "b")), "name").groupBy("name").agg(F.max("docs").alias("docs"))
+    name = F.concat(F.lit("b"), F.regexp_extract("path", r"b=(\d+)", 1)).alias("name")
+    docs = d.groupBy(F.concat(F.lit("b"), "b").alias("name")).agg(F.count(F.lit(1)).alias("docs"))
+    return found.select(name, "bytes", "sha256").join(docs, "name")
 
 
 @query(

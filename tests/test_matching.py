@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from boxtrail.operators import calibration as cal, matching as m, metrics as mt
+from boxtrail.operators.skew import split_pair
 
 BOX = "image_id long, class_id int, {0} long, confidence double, x1 double, y1 double, x2 double, y2 double"
 
@@ -171,3 +173,44 @@ def test_missing_class_threshold_raises(spark):
     df = spark.createDataFrame([(3, 0.5)], "class_id int, confidence double")
     with pytest.raises(Exception, match="no threshold for class 3"):
         cal.filter_confidence(df, {0: 0.5}).collect()
+
+
+@pytest.mark.parametrize("route", ["cold", "hot"])
+def test_moved_boxes_equal_a_loop(spark, request, route):
+    if route == "hot":
+        request.getfixturevalue("hot")
+    rng = np.random.default_rng(5)
+
+    def boxes(n):
+        mid, size = rng.uniform(0, 1, (n, 2)), rng.uniform(0.05, 0.3, (n, 2))
+        return np.clip(np.hstack([mid - size / 2, mid + size / 2]), 0, 1)
+
+    truth = boxes(24)
+    found = np.clip(truth[rng.integers(0, 24, 40)] + rng.normal(0, 0.02, (40, 4)), 0, 1)
+    d = spark.createDataFrame([(i % 3, 1, i, *map(float, b)) for i, b in enumerate(found)], "image_id int, class_id int, det_idx int, x1 double, y1 double, x2 double, y2 double")
+    t = spark.createDataFrame([(i % 3, 1, i, *map(float, b)) for i, b in enumerate(truth)], "image_id int, class_id int, gt_idx int, x1 double, y1 double, x2 double, y2 double")
+    settings = [{**cal.NEUTRAL, "width_scale": w, "center_x_offset": o} for w in (0.8, 1.0, 1.3) for o in (-0.04, 0.0, 0.03)]
+    got = {r.grid_id: r.tp for r in cal.move_sweep(d, t, settings, 0.4).collect()}
+    for i, s in enumerate(settings):
+        named = set()
+        for k, (x1, y1, x2, y2) in enumerate(found):
+            mid, half = (x1 + x2) / 2 + s["center_x_offset"], (x2 - x1) * s["width_scale"] / 2
+            box = (max(0, mid - half), y1, min(1, mid + half), y2)
+            best = (0.0, None)
+            for j, g in enumerate(truth):
+                if j % 3 == k % 3:
+                    inter = max(0, min(box[2], g[2]) - max(box[0], g[0])) * max(0, min(box[3], g[3]) - max(box[1], g[1]))
+                    over = inter / ((box[2] - box[0]) * (box[3] - box[1]) + (g[2] - g[0]) * (g[3] - g[1]) - inter)
+                    best = max(best, (over, j), key=lambda v: v[0])
+            if best[0] >= 0.4:
+                named.add(best[1])
+        assert got[i] == len(named)
+    assert {r.tp for r in cal.move_sweep(d.limit(0), t, settings).collect()} == {0}
+
+
+def test_one_side_hot(spark, hot):
+    left = spark.createDataFrame([(1, 0, 0, 0.9, 0.1, 0.1, 0.3, 0.3)], "image_id int, class_id int, det_idx int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    right = spark.createDataFrame([(1, 0, i, 0.1, 0.1, 0.3, 0.3 + i / 100) for i in range(9)], "image_id int, class_id int, gt_idx int, x1 double, y1 double, x2 double, y2 double")
+    cold, crowded = split_pair(left, right, ["image_id", "class_id"])
+    assert [x.count() for x in (*cold, *crowded)] == [0, 0, 1, 9]
+    assert m.pair(left, right, 0.5).count() == 9

@@ -111,6 +111,26 @@ def test_gap_respects_used_frames(rows, spark):
     assert len(more) == 3 and all(abs(a - b) >= 6 for a in more for b in [16, 40, *[m for m in more if m != a]])
 
 
+@pytest.mark.parametrize("total,gap,seed", [(6, 4, 0), (9, 1, 1), (5, 12, 2), (7, 0, 3)])
+def test_spaced_fill_equals_a_loop(spark, total, gap, seed):
+    rng = np.random.default_rng(seed)
+    frames = {k: sorted({int(x) for x in rng.integers(0, 150, 70)}) for k in range(4)}
+    used = {k: [int(x) for x in rng.choice(frames[k], k, replace=False)] for k in range(4)}
+    df = spark.createDataFrame([(k, x) for k, f in frames.items() for x in f + f[:5]], "k int, f int")
+    old = spark.createDataFrame([(k, x) for k, u in used.items() for x in u], "k int, f int")
+    got = sorted((r.k, r.f) for r in sel.fill_representative(df, ["k"], "f", old, 3, total, gap).collect())
+    want = []
+    for k, f in frames.items():
+        taken, need = list(used[k]), total - len(used[k])
+        for i in range(need):
+            target = f[0] + i * ((f[-1] - f[0]) / max(need - 1, 1))
+            free = [x for x in f if all(abs(x - u) >= gap for u in taken)]
+            if free:
+                taken.append(min(free, key=lambda x: (abs(x - target), x)))
+                want.append((k, taken[-1]))
+    assert got == sorted(want)
+
+
 def test_grouped_split_properties(spark):
     rows = spark.createDataFrame([(f"v_{i}", int(i % 3 == 0)) for i in range(60) for _ in range(3)], "g string, y int")
     groups = sp.group_totals(rows, "g", {"n": F.count(F.lit(1)), "pos": F.sum("y")})

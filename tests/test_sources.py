@@ -64,6 +64,21 @@ def test_coco(spark, tmp_path):
         lb.parse_names(spark.createDataFrame([("plain.jpg",)], "n string"), "n").collect()
 
 
+def test_coco_files_written_and_read(spark, tmp_path):
+    schema = "split string, " + coco.SCHEMA
+    rows = [(f"s{k}", [(k, f"x{k}.jpg", 10, 10)], [(1, k, 0, [1.0, 2.0, 3.0, 4.0])], [(0, "Cell")]) for k in range(5)]
+    root = str(tmp_path / "export")
+    for _ in range(2):  # a repeated write replaces the same files
+        coco.write_coco(spark.createDataFrame(rows, schema), root)
+    write(tmp_path, "export/deep/er/_annotations.coco.json", "{}")
+    for at in (root, "file://" + root):
+        images, boxes = coco.read_coco(spark, at, ["cell"])
+        assert sorted((r.split, r.image_id) for r in images.collect()) == [(f"s{k}", k) for k in range(5)]
+        assert {(r.x, r.h) for r in boxes.collect()} == {(1.0, 4.0)}
+    (tmp_path / "none").mkdir()
+    assert coco.read_coco(spark, str(tmp_path / "none"), ["cell"])[0].count() == 0
+
+
 def packets(payload, limit=39, **change):
     n = max(1, -(-len(payload) // limit))
     rows = []
