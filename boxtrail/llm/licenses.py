@@ -46,22 +46,18 @@ def scan_licenses(documents: DataFrame, known: DataFrame, text: str = "text", ke
     """One row per document row: key, ``text_license`` (of the whole text, null if none), ``line_licenses`` (sorted, distinct),
     ``n_license_lines``.
 
-    Null, empty and all-copyright texts match nothing. Rows that repeat a key (null included) share the matches of all of them.
-    Only matched units are shuffled; ``known`` is broadcast, as it holds one row per licence text.
+    Null, empty and all-copyright texts match nothing; an empty table gives none. Rows that repeat a key (null included) keep
+    their own matches each; other columns are not read. ``known`` is broadcast, as it holds one row per licence text; one unit
+    a row and the matched lines are shuffled.
     """
-    lines = documents.select(documents[key].alias("key"), canonical_lines(documents[text]).alias("lines")).where(F.size("lines") > 0)
-    whole = F.struct(F.lit(True).alias("whole"), F.sha2(F.concat_ws(" ", "lines"), 256).alias("digest"))
+    lines = documents.select(F.monotonically_increasing_id().alias("uid"), documents[key].alias("key"), canonical_lines(documents[text]).alias("lines"))
+    whole = F.struct(F.lit(True).alias("whole"), F.when(F.size("lines") > 0, F.sha2(F.concat_ws(" ", "lines"), 256)).alias("digest"))
     each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("digest")))
-    units = lines.select("key", F.explode(F.concat(F.array(whole), each)).alias("u")).select("key", "u.*")
-    found = units.join(F.broadcast(known), "digest").groupBy("key").agg(
+    units = lines.select("uid", "key", F.explode(F.concat(F.array(whole), each)).alias("u")).select("uid", "key", "u.*")
+    met = units.join(F.broadcast(known), "digest", "left").where("whole or license is not null")
+    found = met.groupBy("uid", "key").agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
         F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license")))).alias("line_licenses"),
         F.count(F.when(~F.col("whole"), 1)).alias("n_license_lines"),
     )
-    rows = documents.select(documents[key].alias("own"))
-    return rows.join(found, rows["own"].eqNullSafe(found["key"]), "left").select(
-        F.col("own").alias(key),
-        "text_license",
-        F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"),
-        F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"),
-    )
+    return found.select(F.col("key").alias(key), "text_license", "line_licenses", "n_license_lines")
