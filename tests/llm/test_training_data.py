@@ -1,6 +1,8 @@
 """The ten operators and the pipeline against plain loops, on rows with nulls, empty and long texts, repeats and odd columns."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
@@ -167,6 +169,83 @@ def test_decontaminate(docs, none, spark):
     assert decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
+def test_brown_exchanges_all_words(spark, monkeypatch):
+    """With a core of 12 words, classes, contexts, likelihood and scores agree with plain loops over all 300 words."""
+    monkeypatch.setattr(brown, "CORE", 12)
+    rng = random.Random(3)
+    kinds = [[f"k{k}w{i}" for i in range(100)] for k in range(3)]
+    texts = [(d, " ".join(rng.choices(kinds[(d + i) % 3], [1 / (k + 1) for k in range(100)])[0] for i in range(40)) if d % 9 else None) for d in range(180)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    blocks = brown.keep(brown.to_blocks(docs, "text", "doc_id"), "blocks")
+    buckets = brown.count_buckets(blocks)
+    counts = brown.keep(brown.word_counts(blocks, buckets), "counts")
+    core, pairs = brown.cluster_core(blocks, brown.most_frequent(counts, brown.CORE)[0])
+    first = brown.keep(brown.build_lexicon(blocks, counts, core, pairs, buckets), "lexicon")
+
+    def classes(lexicon):
+        return {int(c): int(k) for r in lexicon.collect() for c, k in zip(np.frombuffer(r.codes, "<u8"), np.frombuffer(r.classes, np.uint8))}
+
+    coded = {}
+    for r in blocks.collect():
+        b = brown.Block({"held": r.held, "counts": r["counts"], "ids": r.ids, "vocab": r.vocab}, False)
+        code = np.append(b.vocab, brown.END_CODE)[b.seq]
+        for key, part in zip(r["keys"], np.split(code, np.cumsum(b.sizes)[:-1])):
+            coded[key] = [int(x) for x in part]
+    train = [v for k, v in coded.items() if crc32(str(k).encode()) % 7 != 2]
+
+    def matrix(of):
+        out = np.zeros((brown.CLASSES, brown.CLASSES))
+        for seq in train:
+            last = brown.END
+            for w in seq:
+                out[last, of[w]] += 1
+                last = of[w]
+        return out
+
+    start = classes(first)
+    found = brown.keep(brown.context_counts(blocks, first, buckets), "contexts")
+    assert (brown.class_pairs(found) == matrix(start)).all()
+    slots = Counter()
+    for r in found.where("bucket >= 0").collect():
+        at = 0
+        slot, n = np.frombuffer(r.slots, np.uint8), np.frombuffer(r.n, "<u4")
+        for code, size in zip(np.frombuffer(r.codes, "<u8"), np.frombuffer(r.sizes, np.uint8)):
+            for k in range(at, at + size):
+                slots[int(code), int(slot[k])] += int(n[k])
+            at += size
+    want = Counter()
+    for seq in train:
+        for i, w in enumerate(seq[:-1]):
+            want[w, start[seq[i + 1]]] += 1
+            want[w, brown.CLASSES + (start[seq[i - 1]] if i else brown.END)] += 1
+    assert slots == want
+    tokens = sum(map(len, train))
+    best, top = brown.refine(blocks, first, buckets, tokens)
+    end = classes(best)
+    assert (top == matrix(end)).all() and brown.likelihood(top) > brown.likelihood(matrix(start)) + 0.02 * tokens
+    moved = [w for w in end if end[w] != start[w]]
+    assert len(set(moved) - {int(c) for c in core.code}) > 20 and end[0] == brown.END
+
+    size, types, n = np.zeros(brown.CLASSES), np.zeros(brown.CLASSES), Counter(w for seq in train for w in seq)
+    for w, c in n.items():
+        size[end[w]] += c
+        types[end[w]] += 1
+    prior = (size + 1) / (size.sum() + brown.CLASSES)
+    step = (top + brown.PRIOR * prior) / (top.sum(axis=1, keepdims=True) + brown.PRIOR)
+    unseen = np.where(size > 0, brown.DISCOUNT * types / np.maximum(size, 1), 1.0)
+    scores = {r.doc_id: r.score for r in brown.brown_scores(docs).collect()}
+    for key, seq in coded.items():
+        last, total = brown.END, 0.0
+        for w in seq:
+            if w in n:
+                total += math.log10(step[last, end[w]] * (n[w] - brown.DISCOUNT) / size[end[w]])
+                last = end[w]
+            else:
+                total += math.log10(step[last] @ unseen)
+                last = int(np.argmax(types))
+        assert abs(scores[key] - total) < 1e-6
+
+
 def test_brown_base_and_gain(none, spark):
     texts = [(k, " ".join(f"{side}{(k * 7 + j * j) % 13}" for j in range(40))) for k, side in ((k, "a" if k % 2 else "b") for k in range(60))] + [(100, None), (101, ""), (None, "A1 b2")]
     found = rows(brown.brown_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)))
@@ -263,6 +342,11 @@ def test_pii(docs, none):
     assert pii.find_pii(none, pii.train(none)).count() == 0
 
 
+def test_pii_long_runs_of_digits():
+    text = "1" * 1_000_000 + " 10.0.0.255 " + "9" * 400_000 + ".1.2.3 1.2.3.4.5.6.7.8"
+    assert [s for s in pii.base_spans(text) if s[0] == "ip"] == [("ip", 1_000_001, 1_000_011), ("ip", 1_400_019, 1_400_026), ("ip", 1_400_027, 1_400_034)]
+
+
 def test_pii_patterns_against_plain_search():
     cases = ["a@b.com_c@d.e", "@x.y a@", "..@-.-", "1.2.3.4.5.6.7.8", "300.1.1.1 0001.2.3.4", "+12345678 +123456789", "4111-1111-1111-1111-", "é@x.y a@é.b a.b@c.d.e", "1" * 40, "a" * 5000 + "@"]
     for t in cases:
@@ -354,6 +438,15 @@ def test_licenses(docs, none, spark):
     assert licenses.scan_licenses(none, known).count() == 0
 
 
+def test_licenses_keep_rows_of_one_key_apart(spark):
+    mit = dict(licenses.known_texts())["MIT"]
+    docs = spark.createDataFrame([(1, mit, "x"), (1, "plain words", "y"), (None, mit, "z"), (None, "", "x"), (2, None, "x"), (3, "a\n" + mit + "\nb", "x")], "doc_id long, text string, license string")
+    found = rows(licenses.scan_licenses(docs, licenses.known_digests(spark)))
+    got = {k: sorted((r.text_license or "", r.line_licenses, r.n_license_lines) for r in v) for k, v in found.items()}
+    assert got[1] == got[None] == [("", [], 0), ("MIT", ["MIT"], 1)]
+    assert got[2] == [("", [], 0)] and got[3] == [("", ["MIT"], 1)]
+
+
 def test_licenses_under_a_title_and_with_unfilled_copyright_lines(spark):
     body = dict(licenses.known_texts()[:6])
     texts = [
