@@ -18,7 +18,7 @@ from boxtrail.llm.flat import slices
 from boxtrail.session import ship_package
 
 BATCH_BYTES = 1 << 18
-CACHE_WORDS = 500_000
+CACHE_WORDS, CACHE_BYTES = 500_000, 64 << 20
 
 
 @functools.cache
@@ -33,12 +33,13 @@ def load_tokenizer(path: str):
 
 
 class WordCounter:
-    """Token counts of words, with a cache of bounded size (emptied when full, so results never depend on it)."""
+    """Token counts of words, with a cache bounded in words and bytes (emptied when full, so results never depend on it)."""
 
     def __init__(self, path: str, batch_bytes: int = BATCH_BYTES, cache_words: int = CACHE_WORDS):
         self.tokenizer = load_tokenizer(path)
         self.batch_bytes, self.cache_words = batch_bytes, cache_words
         self.cache: dict[bytes, int] = {}
+        self.held = 0
 
     def learn(self, words: set[bytes]) -> None:
         batch, size = [], 0
@@ -58,9 +59,14 @@ class WordCounter:
     def count(self, texts: list[bytes]) -> list[int]:
         split = [t.split() for t in texts]  # bytes.split cuts at ASCII white space only
         seen = set().union(*split)
-        if len(self.cache) + len(seen) > self.cache_words:
+        new = seen.difference(self.cache)
+        size = sum(map(len, new))
+        if len(self.cache) + len(new) > self.cache_words or self.held + size > CACHE_BYTES:
             self.cache.clear()
-        self.learn(seen.difference(self.cache))
+            new, self.held = seen, 0
+            size = sum(map(len, new))
+        self.held += size
+        self.learn(new)
         get = self.cache.__getitem__
         return [sum(map(get, words)) for words in split]
 

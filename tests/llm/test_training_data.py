@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -481,6 +482,22 @@ def test_bpe_overlapping_pairs_and_small_cache():
         assert own.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_long_words_and_caches_bounded_in_bytes():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own = Tokenizer.from_file(path), bpe.ByteBPE(path, cache_bytes=1000)
+    rng = np.random.default_rng(9)
+    kinds = [[*"abcdefghijklmnopqrstuvwxyz"], ["a"], ["a", "b"], ["the", "ing", "under", "x"], [*"éaß漢"], [" ", "\t", "\n"], ["=", "-"]]
+    texts = ["".join(rng.choice(k, n)) for k in kinds for n in (511, 513, 3000)] + ["hi " + "ab" * 400 + " there <|endoftext|>" + "q" * 900]
+    for t in [*texts, " ".join(texts), *texts]:
+        assert own.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    start = time.perf_counter()
+    own.encode(["".join(rng.choice(kinds[0], 500_000))])
+    assert time.perf_counter() - start < 30
+    counter = token_counts.WordCounter(public_tokenizers.path("word_bpe_49k.json"))
+    counter.held = token_counts.CACHE_BYTES
+    assert counter.count([b"one two"]) == counter.count([b"two one"]) and counter.held <= 20
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = np.random.default_rng(5)
     words = [f"term{k}" for k in range(300)]
