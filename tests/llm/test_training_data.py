@@ -204,13 +204,16 @@ def test_brown_exchanges_all_words(spark, monkeypatch):
         return out
 
     start = classes(first)
-    found = brown.keep(brown.context_counts(blocks, first, buckets), "contexts")
+    numbered = brown.keep(brown.number_words(blocks, counts, buckets), "numbered")
+    found = brown.keep(brown.context_counts(numbered, first, buckets), "contexts")
+    words = {r.bucket: np.frombuffer(r.codes, "<u8") for r in counts.collect()}
     assert (brown.class_pairs(found) == matrix(start)).all()
     slots = Counter()
     for r in found.where("bucket >= 0").collect():
         at = 0
-        slot, n = np.frombuffer(r.slots, np.uint8), np.frombuffer(r.n, "<u4")
-        for code, size in zip(np.frombuffer(r.codes, "<u8"), np.frombuffer(r.sizes, np.uint8)):
+        slot, n = np.frombuffer(r.slots, np.uint8), brown.unpack(r.n, len(r.slots))
+        codes = words[r.bucket][brown.unpack(r.places, len(r.sizes)).astype(int) - 1]
+        for code, size in zip(codes, np.frombuffer(r.sizes, np.uint8)):
             for k in range(at, at + size):
                 slots[int(code), int(slot[k])] += int(n[k])
             at += size
@@ -221,8 +224,8 @@ def test_brown_exchanges_all_words(spark, monkeypatch):
             want[w, brown.CLASSES + (start[seq[i - 1]] if i else brown.END)] += 1
     assert slots == want
     tokens = sum(map(len, train))
-    best, top = brown.refine(blocks, first, buckets, tokens)
-    end = classes(best)
+    best, top = brown.refine(numbered, first, buckets, tokens)
+    end = classes(counts.select("bucket", "codes").join(best, "bucket"))
     assert (top == matrix(end)).all() and brown.likelihood(top) > brown.likelihood(matrix(start)) + 0.02 * tokens
     moved = [w for w in end if end[w] != start[w]]
     assert len(set(moved) - {int(c) for c in core.code}) > 20 and end[0] == brown.END
