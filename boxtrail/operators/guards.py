@@ -50,7 +50,8 @@ def associate(
 def local_support(rows: DataFrame, support: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """Strongest support point (response, contrast) within ``radius`` of a row on both axes; ties by (y, x).
 
-    Both sides meet on bins of the radius, so a crowded image is spread over its bins.
+    Both sides meet on bins of the radius, so a crowded image is spread over its bins. Support points of one place collapse to the
+    strongest and rows of one place ask once: on whole pixels a bin holds at most radius x radius of each, however dense it is.
     """
     step = float(radius) if radius else 1.0
 
@@ -58,15 +59,16 @@ def local_support(rows: DataFrame, support: DataFrame, radius: float, keys: list
         return df.withColumns({"_bx": F.floor(F.col("x") / step), "_by": F.floor(F.col("y") / step)})
 
     near = F.expr("explode(array(-1L,0L,1L))")
-    pts = binned(support).withColumn("_ox", near).withColumn("_oy", near)
+    place = [*keys, "x", "y"]
+    peaks = support.groupBy(*place).agg(F.max(F.struct("response", "contrast")).alias("_p")).select(*place, "_p.*")
+    pts = binned(peaks).withColumn("_ox", near).withColumn("_oy", near)
     pts = pts.withColumns({"_bx": F.col("_bx") + F.col("_ox"), "_by": F.col("_by") + F.col("_oy")})
     on = [F.col(f"d.{k}") == F.col(f"s.{k}") for k in [*keys, "_bx", "_by"]]
     close = (F.abs(F.col("d.x") - F.col("s.x")) <= radius) & (F.abs(F.col("d.y") - F.col("s.y")) <= radius)
-    hits = binned(rows).alias("d").join(pts.alias("s"), [*on, close])
+    hits = binned(rows.select(*place).distinct()).alias("d").join(pts.alias("s"), [*on, close])
     strongest = F.struct("s.response", -F.col("s.y"), -F.col("s.x"), "s.contrast")
-    best = hits.groupBy(*[F.col(f"d.{k}").alias(k) for k in keys], F.col("d.det_idx").alias("det_idx")).agg(
-        F.max(strongest).alias("_best")
-    )
+    found = hits.groupBy(*[F.col(f"d.{k}").alias(k) for k in place]).agg(F.max(strongest).alias("_best"))
+    best = rows.select(*place, "det_idx").join(found, place)
     return best.select(*keys, "det_idx", F.col("_best.response").alias("response"), F.col("_best.contrast").alias("contrast"))
 
 

@@ -9,6 +9,7 @@ from boxtrail.operators.decode import keep_code
 from boxtrail.plans import fixtures as fx
 from boxtrail.plans.matching_queries import both
 from boxtrail.plans.registry import query
+from boxtrail.plans.sqltext import COUNTS, matched, prf
 from boxtrail.session import scratch_path
 from boxtrail.sources import coco, files, labels as lb, records as rc
 
@@ -231,12 +232,22 @@ def sc11(spark, sf):
     return files.explode_points(reviews(spark, sf).withColumn("size", F.lit(64)), "points_json", "size", ["review_id"])
 
 
-@query("sc12_report_json")
+@query(
+    "sc12_report_json",
+    matched(0.5).rstrip()
+    + ",\n"
+    + COUNTS
+    + """,al as (select class_id,tp,fp,fn from cnt union all select -1,sum(tp),sum(fp),sum(fn) from cnt),
+r as (select class_id,tp,fp,fn,"""
+    + prf()
+    + """ from al)
+select '{"classes":{'||string_agg('"'||class_id||'":{"tp":'||tp||',"fp":'||fp||',"fn":'||fn||',"f1":'||f1||'}',',' order by cast(class_id as varchar))||'},"policy":"best-then-check at IoU 0.5"}' as report from r""",
+)
 def sc12(spark, sf):
     from boxtrail.operators import matching as m, metrics as mt
 
     d, t = both(spark, sf)
-    rows = mt.detection_metrics(d, t, m.match_best(d, t, 0.5)).withColumn("class_id", F.coalesce("class_id", F.lit(-1)))
+    rows = mt.detection_metrics(d, t, m.match_best(d, t, 0.5)).withColumns({"class_id": F.coalesce("class_id", F.lit(-1)), "f1": F.round("f1", 6)})
     one = rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("class_id").cast("string"), F.struct("tp", "fp", "fn", "f1"))))).alias("classes"))
     return files.report_json(one.withColumn("policy", F.lit("best-then-check at IoU 0.5")))
 

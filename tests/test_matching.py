@@ -214,3 +214,24 @@ def test_one_side_hot(spark, hot):
     cold, crowded = split_pair(left, right, ["image_id", "class_id"])
     assert [x.count() for x in (*cold, *crowded)] == [0, 0, 1, 9]
     assert m.pair(left, right, 0.5).count() == 9
+
+
+def test_local_support_with_repeated_places(spark):
+    from boxtrail.operators.guards import local_support
+
+    rng = np.random.default_rng(4)
+    support = [(int(k), float(x), float(y), int(r), int(c)) for k, x, y, r, c in zip(*rng.integers(0, [[2], [12], [12], [6], [4]], (5, 400)))]
+    rows = [(int(k), i, float(x), float(y)) for i, (k, x, y) in enumerate(zip(*rng.integers(0, [[3], [12], [12]], (3, 60))))]
+    rows += [(0, 60, None, 1.0), (1, 61, 2.5, 3.5)]
+    found = local_support(
+        spark.createDataFrame(rows, "image_id int, det_idx int, x double, y double"),
+        spark.createDataFrame([*support, (0, None, 1.0, 9, 9)], "image_id int, x double, y double, response int, contrast int"),
+        1.0, ["image_id"],
+    )
+    got = {(r.image_id, r.det_idx): (r.response, r.contrast) for r in found.collect()}
+    want = {}
+    for k, i, x, y in rows:
+        near = [(r, -b, -a, c) for key, a, b, r, c in support if key == k and x is not None and abs(a - x) <= 1 and abs(b - y) <= 1]
+        if near:
+            want[k, i] = (max(near)[0], max(near)[3])
+    assert got == want and len(want) > 30
